@@ -17,6 +17,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.decontaminate import contamination_digest
+
+    return contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,9 +31,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.language_id import language_digest
+
+    return language_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op4_decontamination": op4_decontamination,
     "op6_byte_bpe": op6_byte_bpe,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {}
