@@ -17,6 +17,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.toxicity import toxicity_digest
+
+    return toxicity_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernel.llm.decontaminate import contamination_digest
 
@@ -39,6 +45,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_toxicity": op2_toxicity,
     "op4_decontamination": op4_decontamination,
     "op6_byte_bpe": op6_byte_bpe,
     "op10_language_id": op10_language_id,
