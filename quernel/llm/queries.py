@@ -37,6 +37,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.substring_dedup import repeats_digest
+
+    return repeats_digest(_table(spark, sf_dir, "documents"), length=13)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernel.llm.language_id import language_digest
 
@@ -48,6 +54,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_decontamination": op4_decontamination,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_language_id": op10_language_id,
 }
 
