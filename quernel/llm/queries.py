@@ -49,6 +49,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(_table(spark, sf_dir, "documents"), length=13)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernel.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernel.llm.language_id import language_digest
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_language_id": op10_language_id,
 }
 
