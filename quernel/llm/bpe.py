@@ -147,7 +147,7 @@ class PrefixEncoder:
 class Encoder:
     """Encodes texts: each match of `pattern` separately, whole tokens first."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, most_kept: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, most_kept: int = 250_000):
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
         self.kept, self.pieces, self.last = Kept(most_kept), Kept(most_kept), Kept(2 * most_kept)
 
@@ -192,7 +192,7 @@ class Encoder:
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
         ids = []
         for p in self.find(chunk):
-            if (known := self.pieces.get(p)) is None:
+            if (known := self.pieces.get(p)) is None and (known := self.pieces.again(p)) is None:
                 known = self.piece(p)
                 if len(p) <= 64:
                     self.pieces.room(1)
@@ -206,13 +206,12 @@ class Encoder:
         found = list(map(self.kept.get, parts))
         if None in found:
             for i, c in enumerate(parts):
-                if found[i] is None and (known := self.kept.get(c)) is None:
-                    known = self._chunk(c)
-                    if len(c) <= 64:
-                        self.kept.room(1)
-                        self.kept[c] = known
-                    found[i] = known
-                elif found[i] is None:
+                if found[i] is None:
+                    if (known := self.kept.get(c)) is None and (known := self.kept.again(c)) is None:
+                        known = self._chunk(c)
+                        if len(c) <= 64:
+                            self.kept.room(1)
+                            self.kept[c] = known
                     found[i] = known
         ids, decoded = zip(*found)
         joined = b",".join(filter(None, ids))

@@ -12,26 +12,44 @@ import re
 
 #: Every character that Python or Unicode counts as white space.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_ASCII_PAIRS = tuple(c + " " for c in WHITE if c.isascii())
-_WIDE_PAIRS = tuple(c + " " for c in WHITE if not c.isascii())
+_PAIRS = tuple(dict.fromkeys([c + " " for c in WHITE] + [c + "\n" for c in WHITE] + ["\n" + c for c in WHITE]))
+_ASCII_PAIRS, _WIDE_PAIRS = tuple(x for x in _PAIRS if x.isascii()), tuple(x for x in _PAIRS if not x.isascii())
 _BOUND = re.compile(r"(?<=\S)(?= )")
 
 
 def chunks(text: str) -> list[str]:
-    """The pieces of a text; joined they give the text again."""
-    if any(x in text for x in _ASCII_PAIRS) or not text.isascii() and any(x in text for x in _WIDE_PAIRS) or text[:1] == " ":
+    """The pieces of a text; joined they give the text again.
+
+    Words with the space before them and single line feeds, or longer pieces
+    where white space stands side by side.
+    """
+    if any(x in text for x in _ASCII_PAIRS) or not text.isascii() and any(x in text for x in _WIDE_PAIRS):
         return _BOUND.split(text)
-    parts = text.split(" ")
-    return parts[:1] + [" " + x for x in parts[1:]]
+    out: list[str] = []
+    for line in text.split("\n"):
+        parts = line.split(" ")
+        out.append(parts[0])
+        out += [" " + x for x in parts[1:]]
+        out.append("\n")
+    del out[-1]
+    return out
 
 
 class Kept(dict):
-    """A bounded memory: emptied when it is full, so its size doesn't grow with the data."""
+    """A bounded memory of two generations: when it is full, what it holds becomes the older one, from which `again` fetches."""
 
     def __init__(self, most: int):
         super().__init__()
-        self.most = most
+        self.most, self.older = most, {}
 
     def room(self, more: int) -> None:
         if len(self) + more > self.most:
+            self.older = dict(self)
             self.clear()
+
+    def again(self, key):
+        """What the older generation holds of a key, taken up again; None if nothing."""
+        if (value := self.older.get(key)) is not None:
+            self.room(1)
+            self[key] = value
+        return value

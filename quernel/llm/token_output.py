@@ -15,10 +15,12 @@ The dictionary is a file of its own, found by its hash.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,32 +37,73 @@ from quernel.llm.shared import hashed_sample, new_folder, split_count, text_byte
 MAGIC, END = b"QTOK0001", b"QEND"
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("bytes", "<u4"), ("tokens", "<u4")])
 TRAILER = struct.Struct("<QQI4s")
-_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A word of Latin letters, perhaps after a space and with a mark after it: one match of the pattern, or two.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one beyond the bytes."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class TextEncoder:
-    """Encodes texts by a tokenizers file, remembering what recurring chunks give."""
+    """Encodes texts by a tokenizers file, remembering what recurring chunks and words give.
+
+    A chunk that is one plain word goes straight to the tokenizer's model;
+    any other goes through the whole tokenizer.
+    """
 
-    def __init__(self, path: str, most_kept: int = 700_000):
+    def __init__(self, path: str, most_kept: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept = Kept(most_kept)
+        self.model, self.characters = self.tokenizer.model, byte_characters()
+        self.kept, self.words = Kept(most_kept), Kept(most_kept)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.marks = {"": b""} | {m: self._whole([m])[0] for m in ".,"}
+        plain = ["", "Zoë", "straße"]  # a normalizer or another pattern would tell words apart
+        self.plain = [self._word(" " + w) for w in plain[1:]] == self._whole([" " + w for w in plain[1:]]) and self._whole([" Zoë,"])[0] == self._word(" Zoë") + self.marks[","]
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        return self._bytes([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))])
+
+    def _new(self, chunks: list[str]) -> dict[str, bytes]:
+        made, rest = {}, []
+        for c in chunks:
+            if (x := self.kept.again(c)) is not None:
+                made[c] = x
+            elif self.plain and len(c) <= 64 and (m := _PLAIN(c)):
+                word = m[1]
+                if (x := self.words.get(word)) is None and (x := self.words.again(word)) is None:
+                    x = self._word(word)
+                    self.words.room(1)
+                    self.words[word] = x
+                made[c] = x + self.marks[m[2]]
+            else:
+                rest.append(c)
+        made.update(zip(rest, self._whole(rest)))
+        return made
 
     def serialized(self, text: str, last: tuple[int, ...] = ()) -> bytes:
         """The ids of a text and then `last`, as little-endian unsigned integers of `width` bytes."""
-        kind, parts = f"<u{self.width}", chunks(text)
+        parts = chunks(text)
         found = list(map(self.kept.get, parts))
         if None in found:
-            new = list({c for c, x in zip(parts, found) if x is None})
-            ids = [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            made = dict(zip(new, ids))
+            made = self._new(list({c for c, x in zip(parts, found) if x is None}))
             found = [made[c] if x is None else x for c, x in zip(parts, found)]
             self.kept.room(len(made))
             self.kept.update((c, x) for c, x in made.items() if len(c) <= 64)
-        return b"".join(found) + np.array(last, kind).tobytes()
+        return b"".join(found) + self._bytes(last)
 
 
 _encoders: dict[str, TextEncoder] = {}
@@ -117,7 +160,10 @@ class ShardReader:
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=False)
+    prepared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if prepared:
+        prepared.precompute_compress(level=3)
+    return zstandard.ZstdCompressor(level=3, dict_data=prepared, write_checksum=False)
 
 
 def decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
