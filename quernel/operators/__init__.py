@@ -1 +1 @@
-
+"""Operators from DataFrame to DataFrame: lazy, declarative, without Python rows."""

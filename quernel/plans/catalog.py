@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quernel.plans import curation, evaluation, selection
+from quernel.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "curation", "evaluation", "selection"]
