@@ -24,9 +24,9 @@ def upsert(stream: DataFrame, target: str, checkpoint: str, key: str, order: str
 
     def batch(rows: DataFrame, n: int) -> None:
         spark, now = rows.sparkSession, rows
-        if n and there(spark, f"{target}/v={n - 1}"):
-            now = spark.read.parquet(f"{target}/v={n - 1}").unionByName(rows)
-        best(now, key, [F.col(order).desc(), F.xxhash64(*rows.columns)]).write.mode("overwrite").parquet(f"{target}/v={n}")
+        if n and there(spark, f"{target}/batch_version={n - 1}"):
+            now = spark.read.parquet(f"{target}/batch_version={n - 1}").unionByName(rows)
+        best(now, key, [F.col(order).desc(), F.xxhash64(*rows.columns)]).write.mode("overwrite").parquet(f"{target}/batch_version={n}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -34,7 +34,7 @@ def upsert(stream: DataFrame, target: str, checkpoint: str, key: str, order: str
 def latest(spark: SparkSession, target: str) -> DataFrame:
     """The version of the greatest batch."""
     rows = spark.read.parquet(target)
-    return rows.join(F.broadcast(rows.agg(F.max("v").alias("v"))), "v", "left_semi").drop("v")
+    return rows.join(F.broadcast(rows.agg(F.max("batch_version").alias("batch_version"))), "batch_version", "left_semi").drop("batch_version")
 
 
 def append_new(stream: DataFrame, target: str, checkpoint: str, key: str, time: str, delay: str = "1 day"):
