@@ -59,13 +59,13 @@ class LanguageModel:
         return e / e.sum(-1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, dim: int = 16, epochs: int = 6, rate: float = 0.5, target: float = 0.99, seed: int = 7) -> LanguageModel:
+def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, dim: int = 16, epochs: int = 6, rate: float = 0.5, target: float = 0.97, seed: int = 7) -> LanguageModel:
     """Fit a model; every fifth text is held back for calibration.
 
     Texts are seen whole and as stretches of a dozen words, so that short
     texts are scored by a model that has met short ones. reject_below is the
     least score at which the held-back stretches and texts that score as much
-    are right in `target` of all cases, and 0 if they all are.
+    are right in `target` of all cases: 0 if they all are, and a half if no score is so good.
     """
     languages = sorted(set(langs))
     n_lang = max(1, len(languages))
@@ -112,7 +112,9 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, dim: int =
         order = np.argsort(-top)
         precision = np.cumsum(right[order]) / np.arange(1, len(y) + 1)
         good = np.nonzero(precision >= target)[0]
-        if len(good) and good[-1] + 1 < len(y):
+        if not len(good):
+            model.reject_below = 0.5
+        elif good[-1] + 1 < len(y):
             model.reject_below = float(top[order][good[-1]])
     return model
 
