@@ -197,7 +197,15 @@ def link_sets(hashes: np.ndarray, begins: np.ndarray, percent: int) -> np.ndarra
 # On Spark
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", most_together: int = 1000, broadcast_rows: int = 500_000) -> DataFrame:
+def small_batches(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of about `size` bytes, one row at least."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", most_together: int = 4000, broadcast_rows: int = 500_000) -> DataFrame:
     """(id, n_shingles, component_id): sets of shingles, and the least id that links reach.
 
     Two documents link if 100 x intersection >= percent x union. Empty sets
@@ -215,12 +223,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
     ranges_n = Deal.of(rows, "text").groups
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             hashes, begins = shingle_sets(Texts.of(pa.Table.from_batches([batch]), "id", "text"), n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(begins)), pa.array(set_keys(hashes, begins).view(np.int64))], names=["id", "n_shingles", "node"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = Texts.of(pa.Table.from_batches([batch]), "id", "text")
             hashes, begins = shingle_sets(texts, n)
             nodes = set_keys(hashes, begins)
@@ -272,7 +280,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
     texts = rows.where(F.col("id").isNotNull()).join(F.broadcast(members) if n_members <= broadcast_rows else members, "id")
     texts = texts.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))))
     texts = texts.withColumn("i", F.when(F.col("parts").isNull(), -1).otherwise(F.least("part", "other"))).withColumn("j", F.when(F.col("parts").isNull(), -1).otherwise(F.greatest("part", "other")))
-    bins = max(1, n_members // 200)
+    bins = max(1, n_members // 500)
     links = texts.withColumn("bin", F.pmod(F.xxhash64("coarse", "i", "j"), F.lit(bins))).select("bin", "coarse", "i", "j", "node", "id", "text").groupBy("bin").applyInArrow(link, "a long, b long")
     joined = components(links)
     placed = saved(sets.join(joined, "node", "left").withColumn("component", F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node"))))
