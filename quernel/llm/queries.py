@@ -86,4 +86,45 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: DuckDB SQL over whole tables. For op3 (strings of bytes) it is too slow; tokenizers and trained models are beyond SQL.
+SQL: dict[str, str] = {
+    "op4_decontamination": rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark where item_id is not null),
+bl as (select item_id, ws, least(10, len(ws)) as l from b where len(ws) > 0),
+bw as (select distinct item_id, l, array_to_string(ws[i:i + l - 1], ' ') as k from (select item_id, l, ws, unnest(range(1, len(ws) - l + 2)) as i from bl)),
+dw as (select doc_id, l, i, array_to_string(ws[i:i + l - 1], ' ') as k from (select doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) as i from d, (select distinct l from bw) where len(ws) >= l)),
+h as (select doc_id, item_id, i, bw.l from dw join bw on bw.k = dw.k and bw.l = dw.l),
+n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + l)) as p from h) group by 1),
+it as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') as items from h group by 1)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (doc_id) left join it using (doc_id)""",
+    "op7_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from d where len(ws) >= 13)),
+o as (select k, min(doc_id) as owner from w group by 1 having count(distinct doc_id) > 1),
+g as (select distinct doc_id, unnest(range(i, i + 13)) as p from w join o using (k) where owner < doc_id),
+r as (select doc_id, count(*) as n, list(p) as ps from g group by 1)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n, 0) as n_removed,
+  sha256(case when n is null then array_to_string(ws, ' ') else coalesce((select string_agg(ws[j], ' ' order by j) from (select unnest(range(1, len(ws) + 1)) as j) where not list_contains(ps, j)), '') end) as kept_sha256
+from d left join r using (doc_id)""",
+    "op8_jaccard_join": rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, case when len(ws) < 4 then array_to_string(ws, ' ') else array_to_string(ws[i:i + 3], ' ') end as k from (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 2))) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.k = b.k and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+r as (select doc_id as node, doc_id as reach from d union select l.b, r.reach from r join l on l.a = r.node),
+m as (select node, min(reach) as component_id from r group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from d join m on m.node = d.doc_id left join n on n.doc_id = d.doc_id""",
+    "op9_embedding_dedup": """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings
+    where label is not null and vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n as (select *, sqrt(list_inner_product(e, e)) as norm from v),
+l as (select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+c as (select vec_id as node, vec_id as reach from embeddings union select l.b, c.reach from c join l on l.a = c.node),
+m as (select node, min(reach) as component_id from c group by 1)
+select e.vec_id, coalesce(k.n, 0) as n_links, m.component_id, m.component_id = e.vec_id as kept from embeddings e join m on m.node = e.vec_id left join (select a, count(*) as n from l group by 1) k on k.a = e.vec_id""",
+}
