@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from quernel.llm.exchange import Deal, Rolling, Texts, flagged_columns, mixed, p
 _bytes = Rolling(31)
 PLACE_BITS = 28
 SPARE_BITS = 8
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 # Suffix arrays
@@ -47,30 +48,35 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """
     n = len(text)
     first = eight_bytes(text)
-    sa = np.argsort(first).astype(np.int64)
-    ordered = first[sa]
-    rank = np.zeros(n + 1, np.int64)
-    starts = np.nonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))[0] if n else np.zeros(0, np.int64)
-    rank[sa] = np.repeat(starts, np.diff(np.append(starts, n)))
-    rank[n] = -1
+    if text[-8:].all():
+        sa = np.argsort(first).astype(np.int64)
+        ordered, left = first[sa], np.zeros(n, np.int64)
+    else:  # zero bytes at the end look like what follows it; the shorter suffix comes first
+        left = np.minimum(n - np.arange(n), 8)
+        sa = np.lexsort((left, first)).astype(np.int64)
+        ordered, left = first[sa], left[sa]
+    if not n:
+        return sa
+    new = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | (left[1:] != left[:-1])])
+    starts = np.nonzero(new)[0]
+    rank = np.empty(n + 1, np.int64)
+    rank[sa], rank[n] = starts[np.cumsum(new) - 1], -1
+    at, sizes = np.arange(n), np.diff(np.append(starts, n))
     h = 8
     while True:
-        sizes = np.diff(np.append(starts, n))
-        tied = np.repeat(sizes > 1, sizes)
-        at = np.nonzero(tied)[0]
+        at = at[np.repeat(sizes > 1, sizes)]  # places of suffixes that are still tied
         if not len(at):
-            break
+            return sa
         suffix = sa[at]
         key = (rank[suffix].astype(np.uint64) << np.uint64(32)) | (rank[np.minimum(suffix + h, n)] + 1).astype(np.uint64)
         order = np.argsort(key)
         key, suffix = key[order], suffix[order]
         sa[at] = suffix
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        heads = at[new]
-        rank[suffix] = heads[np.cumsum(new) - 1]
-        starts = np.union1d(starts, heads)
+        heads = np.nonzero(new)[0]
+        rank[suffix] = at[heads][np.cumsum(new) - 1]
+        sizes = np.diff(np.append(heads, len(at)))
         h *= 2
-    return sa
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int, lane: int = 256) -> np.ndarray:
@@ -207,11 +213,48 @@ def blocks(texts: Texts, length: int, part: int) -> tuple[np.ndarray, ...]:
 
 def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Stretches of data one after another."""
+    return data[stretches_of(starts, sizes)]
+
+
+def stretches_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each stretch, one after another."""
     ends = np.cumsum(sizes)
-    return data[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column: str = "doc_id", text_column: str = "text", kept_to: str = "kept", group_bytes: int = 8 << 20, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+class Named:
+    """The stretches that the groups of a range name, entry by entry.
+
+    first: of each distinct stretch the entry with the least id; least: that
+    id; contested: whether the anchor has other stretches too. Equal strings
+    have equal anchors, so all strings of an uncontested stretch are its own,
+    and its least id is theirs; contested ones need the suffix arrays.
+    """
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Named:
+        self = cls()
+        self.groups = table.column("\x01group").to_pylist()
+        anchors = [unpack_sorted(x) for x in table.column("anchor").to_pylist()]
+        none = np.zeros(0, np.uint64)
+        anchor = np.concatenate([none, *anchors])
+        self.stretch = np.concatenate([none, *[np.frombuffer(x, np.uint64) for x in table.column("stretch").to_pylist()]])
+        self.ids = np.concatenate([none.astype(np.int64), *[unpack(x).astype(np.int64) + b for x, b in zip(table.column("ids").to_pylist(), table.column("least_id").to_pylist())]])
+        self.of = np.repeat(np.arange(len(anchors)), [len(a) for a in anchors])
+        order = np.lexsort((self.of, self.ids, self.stretch, anchor))
+        a, s = anchor[order], self.stretch[order]
+        new_a = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
+        new_s = new_a | np.concatenate([[True], s[1:] != s[:-1]])[: len(a)]
+        self.first = order[new_s]
+        self.least, self.contested = np.empty(len(a), np.int64), np.empty(len(a), bool)
+        run = np.cumsum(new_s) - 1
+        self.least[order] = self.ids[self.first][run] if len(a) else 0
+        per_anchor = np.bincount(np.cumsum(new_a) - 1, new_s) if len(a) else np.zeros(0)
+        self.contested[order] = per_anchor[np.cumsum(new_a) - 1] > 1 if len(a) else False
+        return self
+
+
+def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column: str = "doc_id", text_column: str = "text", kept_to: str = "kept", group_bytes: int = 4 << 20, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (maximal removed runs) and the kept bytes.
 
     A byte of a text's UTF-8 is removed if a string of `length` bytes that
@@ -221,9 +264,10 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
     names of the results are replaced. kept is binary: a removed run may end
     inside a character.
 
-    The texts are shuffled once and read from that shuffle by each of three
-    steps. Equal stretches of a group's texts are sent once, so what a hot
-    passage adds is bounded by the number of groups.
+    The texts are shuffled once and read from that shuffle by each of four
+    steps. A stretch of text is named once by each group that has it and sent
+    by one of them if other stretches share its anchor, so what a hot passage
+    adds is bounded by the number of groups.
     """
     names = ("n_bytes", "n_removed", "n_spans", kept_to)
     docs = docs.select(*[c for c in docs.columns if c not in names])
@@ -243,80 +287,112 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
         flags = flagged_columns(list(zip(table.column("columns").to_pylist(), table.column("twice").to_pylist())))
         return pa.table([table.column("range"), table.column("\x01group"), pa.array([pack_flags(f) for f in flags], pa.binary()), pa.array([len(f) for f in flags], pa.int64())], answered)
 
-    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(table):
-            return pa.Table.from_pylist([], sent)
-        group, texts = table.column("\x01group")[0].as_py(), Texts.of(table, id_column, text_column)
-        start, end, doc, anchor, stretch = blocks(texts, length, part)
-        if not len(start):
-            return pa.Table.from_pylist([], sent)
+    def flagged(table: pa.Table, answers: pa.Table):
+        """The texts of a group and, of each distinct stretch whose anchor is repeated, a block with the least id, by ranges of the anchors."""
+        texts = Texts.of(table, id_column, text_column)
+        _, _, doc, anchor, stretch = blocks(texts, length, part)
         columns, _ = sketch(anchor, doc, bits)
         cut = ranges(columns, bits, n)
         found = {b: unpack_flags(f, k) for b, f, k in zip(*(answers.column(c).to_pylist() for c in ("range", "often", "n")))}
-        flags = np.concatenate([found[b] for b, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo])
-        often = np.nonzero(flags[np.searchsorted(columns, anchor >> np.uint64(64 - bits))])[0]
-        ids = texts.ids[doc[often]]
-        order = np.lexsort((ids, stretch[often]))
+        flags = [found[b] for b, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
+        often = np.nonzero(np.concatenate(flags)[np.searchsorted(columns, anchor >> np.uint64(64 - bits))])[0] if flags else np.zeros(0, np.int64)
+        order = np.lexsort((texts.ids[doc[often]], stretch[often]))
         f = stretch[often][order]
         pick = often[order[np.concatenate([[True], f[1:] != f[:-1]])]] if len(often) else often
-        pick = pick[np.argsort(anchor[pick], kind="stable")]
-        cut = ranges(anchor[pick], 64, n)
+        by_range = (anchor[pick] >> np.uint64(32)).astype(np.int64) * n >> 32
+        parts = []
+        for b in np.unique(by_range):
+            p = pick[by_range == b]
+            parts.append((int(b), p[np.argsort(anchor[p])]))
+        return texts, doc, anchor, stretch, parts
+
+    def name(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        if len(table):
+            group = table.column("\x01group")[0].as_py()
+            texts, doc, anchor, stretch, parts = flagged(table, answers)
+            for b, p in parts:
+                own = texts.ids[doc[p]]
+                out.append((b, group, pack_sorted(anchor[p]), stretch[p].tobytes(), int(own.min()), pack((own - own.min()).astype(np.uint64))))
+        return pa.Table.from_pylist([dict(zip(named.names, x)) for x in out], named)
+
+    def choose(table: pa.Table) -> pa.Table:
+        named_ = Named.of(table)
+        first = named_.first[named_.contested[named_.first]]
+        out = [(g, pack_sorted(np.sort(named_.stretch[first[named_.of[first] == i]]))) for i, g in enumerate(named_.groups)]
+        return pa.Table.from_pylist([dict(zip(chosen.names, x)) for x in out], chosen)
+
+    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        for b, (lo, hi) in enumerate(zip(cut, cut[1:])):
-            if hi > lo:
-                p = pick[lo:hi]
+        keys = [unpack_sorted(x) for x in answers.column("stretch").to_pylist()]
+        if len(table) and keys:
+            group, texts = table.column("\x01group")[0].as_py(), Texts.of(table, id_column, text_column)
+            start, end, doc, anchor, stretch = blocks(texts, length, part)
+            order = np.lexsort((texts.ids[doc], stretch))
+            f = stretch[order]
+            pick = order[np.concatenate([[True], f[1:] != f[:-1]])]
+            pick = pick[np.isin(stretch[pick], np.concatenate(keys))]
+            by_range = (anchor[pick] >> np.uint64(32)).astype(np.int64) * n >> 32
+            for b in np.unique(by_range):
+                p = pick[by_range == b]
                 sizes, own = end[p] - start[p] + length, texts.ids[doc[p]]
                 body = zstandard.ZstdCompressor(level=1).compress(gathered(texts.data, start[p], sizes).tobytes())
-                out.append((b, group, body, pack(sizes.astype(np.uint64)), stretch[p].tobytes(), int(own.min()), pack((own - own.min()).astype(np.uint64))))
+                out.append((int(b), group, body, pack(sizes.astype(np.uint64)), stretch[p].tobytes(), int(own.min()), pack((own - own.min()).astype(np.uint64))))
         return pa.Table.from_pylist([dict(zip(sent.names, x)) for x in out], sent)
 
-    def shard(table: pa.Table) -> pa.Table:
-        groups, bodies, sizes, stretches, ids = table.column("\x01group").to_pylist(), [], [], [], []
-        for body, size, stretch, base, own in zip(*(table.column(c).to_pylist() for c in ("body", "sizes", "stretch", "least_id", "ids"))):
-            bodies.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8))
-            sizes.append(unpack(size).astype(np.int64))
-            stretches.append(np.frombuffer(stretch, np.uint64))
-            ids.append(unpack(own).astype(np.int64) + base)
-        data, size, stretch, own = (np.concatenate(x) for x in (bodies, sizes, stretches, ids))
-        offset = np.cumsum(size) - size
-        order = np.lexsort((own, stretch))
-        s = stretch[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]])
-        distinct, of = order[new], np.empty(len(s), np.int64)
-        of[order] = np.cumsum(new) - 1
-        total = np.cumsum(size[distinct])
-        n_cuts = max(1, -(-int(total[-1]) // shard_bytes))
-        cuts = [0, *np.searchsorted(total, [total[-1] * (i + 1) // n_cuts for i in range(n_cuts - 1)], "right").tolist(), len(distinct)]
-        parts = []
-        for lo, hi in zip(cuts, cuts[1:]):
-            if hi > lo:
-                d = distinct[lo:hi]
-                count, at = size[d] - length + 1, np.cumsum(size[d]) - size[d]
-                parts.append((gathered(data, offset[d], size[d]), gathered(np.arange(total[-1] + 1), at, count), np.repeat(own[d], count)))
-        owner = np.concatenate(merged_owners(parts, length))
-        count = size[distinct] - length + 1
-        place = np.cumsum(count) - count
-        out, at = [], 0
-        for group, k in zip(groups, map(len, sizes)):
-            mine, least = of[at : at + k], own[at : at + k]
-            at += k
-            low = np.minimum.reduceat(owner, place)[mine] < least
-            if low.any():
-                found = gathered(owner, place[mine[low]], count[mine[low]])
-                out.append((group, stretch[at - k : at][low].tobytes(), pack(count[mine[low]].astype(np.uint64)), int(found.min()), pack((found - found.min()).astype(np.uint64))))
+    def shard(requests: pa.Table, bodies: pa.Table) -> pa.Table:
+        out = []
+        names_ = Named.of(requests)
+        foreign = ~names_.contested & (names_.ids > names_.least)
+        for i, group in enumerate(names_.groups):
+            if len(at := np.nonzero(foreign & (names_.of == i))[0]):
+                own = names_.least[at]
+                out.append((group, names_.stretch[at].tobytes(), None, int(own.min()), pack((own - own.min()).astype(np.uint64))))
+        if len(bodies):
+            body = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in bodies.column("body").to_pylist()]
+            size = np.concatenate([unpack(x).astype(np.int64) for x in bodies.column("sizes").to_pylist()])
+            stretch = np.concatenate([np.frombuffer(x, np.uint64) for x in bodies.column("stretch").to_pylist()])
+            own = np.concatenate([unpack(x).astype(np.int64) + b for x, b in zip(bodies.column("ids").to_pylist(), bodies.column("least_id").to_pylist())])
+            data = np.concatenate(body)
+            del body
+            count, begin = size - length + 1, np.cumsum(size) - size
+            ends = np.cumsum(size)
+            n_cuts = max(1, -(-int(ends[-1]) // shard_bytes))
+            cuts = np.unique([0, *np.searchsorted(ends, [ends[-1] * (i + 1) // n_cuts for i in range(n_cuts - 1)], "right").tolist(), len(size)])
+            parts = [(data[begin[lo] : ends[hi - 1]], stretches_of(begin[lo:hi] - begin[lo], count[lo:hi]), np.repeat(own[lo:hi], count[lo:hi])) for lo, hi in zip(cuts, cuts[1:])]
+            owner = np.concatenate(merged_owners(parts, length))
+            place = np.cumsum(count) - count
+            lowest = np.minimum.reduceat(owner, place)
+            by = np.argsort(stretch)
+            for i, group in enumerate(names_.groups):
+                mine = np.nonzero(names_.contested & (names_.of == i))[0]
+                if len(mine):
+                    at = by[np.searchsorted(stretch[by], names_.stretch[mine])]
+                    low = lowest[at] < names_.ids[mine]
+                    if low.any():
+                        found = gathered(owner, place[at[low]], count[at[low]])
+                        out.append((group, names_.stretch[mine][low].tobytes(), pack(count[at[low]].astype(np.uint64)), int(found.min()), pack((found - found.min()).astype(np.uint64))))
         return pa.Table.from_pylist([dict(zip(told.names, x)) for x in out], told)
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts = Texts.of(table, id_column, text_column)
         start, end, doc, _, stretch = blocks(texts, length, part)
         ids = texts.ids[doc]
-        cover = np.zeros(len(texts.data) + 1, np.int64)
+        cover = np.zeros(len(texts.data) + 1, np.int32)
         order = np.lexsort((ids, stretch))
         s = stretch[order]
         new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
         least = np.empty(len(s), np.int64)
         least[order] = ids[order][np.nonzero(new)[0]][np.cumsum(new) - 1] if len(s) else 0
         whole = ids > least
+        flat = answers.filter(pc.is_null(answers.column("counts")))
+        answers = answers.filter(pc.is_valid(answers.column("counts")))
+        if len(flat) and len(s):
+            key = np.concatenate([np.frombuffer(x, np.uint64) for x in flat.column("stretch").to_pylist()])
+            owner = np.concatenate([unpack(x).astype(np.int64) + b for x, b in zip(flat.column("owners").to_pylist(), flat.column("least_id").to_pylist())])
+            by = np.argsort(key)
+            at = by[np.minimum(np.searchsorted(key[by], stretch), len(key) - 1)]
+            whole |= (key[at] == stretch) & (owner[at] < ids)
         np.add.at(cover, start[whole], 1)
         np.add.at(cover, end[whole] + length, -1)
         if len(answers) and len(s):
@@ -328,10 +404,10 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
             hit = np.nonzero(key[at] == stretch)[0]
             at, sizes = at[hit], end[hit] - start[hit] + 1
             each = gathered(owner, place[at], sizes) < np.repeat(ids[hit], sizes)
-            where = gathered(np.arange(len(texts.data) + 1), start[hit], sizes)[each]
+            where = stretches_of(start[hit], sizes)[each]
             np.add.at(cover, where, 1)
             np.add.at(cover, where + length, -1)
-        gone = np.cumsum(cover)[:-1] > 0
+        gone = np.cumsum(cover, dtype=np.int32)[:-1] > 0
         sums = np.concatenate([[0], np.cumsum(gone)])
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
@@ -347,13 +423,17 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
 
     asked = pa.schema([("range", pa.int32()), ("\x01group", pa.int32()), ("columns", pa.binary()), ("twice", pa.binary())])
     answered = pa.schema([("range", pa.int32()), ("\x01group", pa.int32()), ("often", pa.binary()), ("n", pa.int64())])
+    named = pa.schema([("range", pa.int32()), ("\x01group", pa.int32()), ("anchor", pa.binary()), ("stretch", pa.binary()), ("least_id", pa.int64()), ("ids", pa.binary())])
+    chosen = pa.schema([("\x01group", pa.int32()), ("stretch", pa.binary())])
     sent = pa.schema([("range", pa.int32()), ("\x01group", pa.int32()), ("body", pa.binary()), ("sizes", pa.binary()), ("stretch", pa.binary()), ("least_id", pa.int64()), ("ids", pa.binary())])
     told = pa.schema([("\x01group", pa.int32()), ("stretch", pa.binary()), ("counts", pa.binary()), ("least_id", pa.int64()), ("owners", pa.binary())])
     by_group = rows.groupBy("\x01group")
     sketches = by_group.applyInArrow(ask, "range int, `\x01group` int, columns binary, twice binary")
     often = sketches.groupBy("range").applyInArrow(merge, "range int, `\x01group` int, often binary, n long")
-    stretches = by_group.cogroup(often.groupBy("\x01group")).applyInArrow(send, "range int, `\x01group` int, body binary, sizes binary, stretch binary, least_id long, ids binary")
-    owners = stretches.groupBy("range").applyInArrow(shard, "`\x01group` int, stretch binary, counts binary, least_id long, owners binary")
+    names_of = by_group.cogroup(often.groupBy("\x01group")).applyInArrow(name, "range int, `\x01group` int, anchor binary, stretch binary, least_id long, ids binary").groupBy("range")
+    senders = names_of.applyInArrow(choose, "`\x01group` int, stretch binary")
+    stretches = by_group.cogroup(senders.groupBy("\x01group")).applyInArrow(send, "range int, `\x01group` int, body binary, sizes binary, stretch binary, least_id long, ids binary")
+    owners = names_of.cogroup(stretches.groupBy("range")).applyInArrow(shard, "`\x01group` int, stretch binary, counts binary, least_id long, owners binary")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return by_group.cogroup(owners.groupBy("\x01group")).applyInArrow(remove, f"{fields}, n_bytes long, n_removed long, n_spans long, `{kept_to}` binary")
 
