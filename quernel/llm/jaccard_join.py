@@ -13,6 +13,7 @@ together.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ _bytes, _words = Rolling(41), Rolling(42)
 _fold = np.arange(256)
 _fold[65:91] += 32
 _folded = _bytes.of_byte[_fold]
-COORDINATES = 32
+COORDINATES = 128
 LEAF = 16
 
 
@@ -168,10 +169,11 @@ class CountTree:
         return at[ok][np.argsort(-bound[ok], kind="stable")]
 
 
-def link_sets(hashes: np.ndarray, begins: np.ndarray, percent: int) -> np.ndarray:
+def link_sets(hashes: np.ndarray, begins: np.ndarray, percent: int, upper: np.ndarray | None = None) -> np.ndarray:
     """The least member of each set's component, for a handful or some thousands of sets.
 
-    Every pair that the tree lets through and that isn't connected yet is compared exactly.
+    Every pair that the tree lets through and that isn't connected yet is
+    compared exactly; of sets that aren't `upper`, only with those that are.
     """
     n = len(begins) - 1
     sizes = np.diff(begins)
@@ -184,6 +186,8 @@ def link_sets(hashes: np.ndarray, begins: np.ndarray, percent: int) -> np.ndarra
         own = hashes[begins[i] : begins[i + 1]]
         near = tree.search(points[i], percent)
         near = near[near > i]
+        if upper is not None and not upper[i]:
+            near = near[upper[near]]
         while len(near := near[forest.label[near] != forest.label[i]]):
             j, near = near[0], near[1:]
             other = hashes[begins[j] : begins[j + 1]]
@@ -214,10 +218,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
     docs aren't read.
 
     Equal sets are one node from the start, however many rows have them.
-    Candidates are counted in components of documents that agree in a group;
-    one of more than most_together nodes is cut into parts, and each pair of
-    parts is compared by a task of its own. What one task needs is bounded by
-    2 x most_together sets.
+    Candidates are counted in components of documents that agree in a group.
+    One of more than most_together nodes is cut by the sizes of its sets, each
+    meeting those of its class and of the next; what is still larger is cut
+    into parts, and each pair of parts compared by a task of its own. What one
+    comparison needs is bounded by 2 x most_together sets.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     ranges_n = Deal.of(rows, "text").groups
@@ -254,15 +259,15 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
         return pa.table([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
 
     def link(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("coarse", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("coarse", "block", "i", "j", "node")])
         out_a, out_b = [], []
         if len(table):
-            key = np.stack([table.column(c).to_numpy() for c in ("coarse", "i", "j")])
+            key = np.stack([table.column(c).to_numpy() for c in ("coarse", "block", "i", "j")])
             cuts = np.concatenate([[0], np.nonzero((key[:, 1:] != key[:, :-1]).any(0))[0] + 1, [len(table)]])
-            node = table.column("node").to_numpy()
+            node, upper = table.column("node").to_numpy(), table.column("upper").to_numpy(zero_copy_only=False)
             hashes, begins = shingle_sets(Texts.of(table, "id", "text"), n)
             for lo, hi in zip(cuts, cuts[1:]):
-                label = link_sets(hashes[begins[lo] : begins[hi]], begins[lo : hi + 1] - begins[lo], percent)
+                label = link_sets(hashes[begins[lo] : begins[hi]], begins[lo : hi + 1] - begins[lo], percent, upper[lo:hi])
                 moved = np.nonzero(label != np.arange(hi - lo))[0]
                 out_a.append(node[lo:hi][moved])
                 out_b.append(node[lo:hi][label[moved]])
@@ -272,16 +277,21 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
     agree = rows.mapInArrow(ask, "range int, sig binary, node binary").groupBy("range").applyInArrow(meet, "a long, b long")
     coarse = saved(components(agree).withColumnRenamed("component", "coarse"))
     sizes = coarse.groupBy("coarse").agg(F.count(F.lit(1)).alias("size"))
-    large = sizes.where(F.col("size") > most_together).withColumn("parts", F.ceil(F.col("size") / most_together).cast("int"))
-    first = sets.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("node").agg(F.min("id").alias("id"))
-    members = coarse.join(large.select("coarse", "parts"), "coarse", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
-    members = saved(members.join(first, "node"))
+    large = sizes.where(F.col("size") > most_together).select("coarse", F.lit(True).alias("large"))
+    first = sets.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"))
+    kind = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.000001)).cast("int")
+    members = coarse.join(large, "coarse", "left").join(first, "node").withColumn("own", F.when(F.col("large"), kind).otherwise(-1))
+    members = members.withColumn("block", F.explode(F.when(F.col("large"), F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array(F.lit(-1))))).withColumn("upper", F.col("block") == F.col("own"))
+    blocks = members.groupBy("coarse", "block").agg(F.count(F.lit(1)).alias("size"), F.max("upper").alias("any")).where("any and size > 1")
+    members = members.join(blocks.select("coarse", "block", F.ceil(F.col("size") / most_together).cast("int").alias("parts")), ["coarse", "block"])
+    members = saved(members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("coarse", "block", "upper", "node", "id", "parts", "part"))
     n_members = members.count()
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
     texts = rows.where(F.col("id").isNotNull()).join(F.broadcast(members) if n_members <= broadcast_rows else members, "id")
-    texts = texts.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))))
-    texts = texts.withColumn("i", F.when(F.col("parts").isNull(), -1).otherwise(F.least("part", "other"))).withColumn("j", F.when(F.col("parts").isNull(), -1).otherwise(F.greatest("part", "other")))
+    texts = texts.withColumn("other", F.explode(others)).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     bins = max(1, n_members // 500)
-    links = texts.withColumn("bin", F.pmod(F.xxhash64("coarse", "i", "j"), F.lit(bins))).select("bin", "coarse", "i", "j", "node", "id", "text").groupBy("bin").applyInArrow(link, "a long, b long")
+    texts = texts.withColumn("bin", F.pmod(F.xxhash64("coarse", "block", "i", "j"), F.lit(bins))).select("bin", "coarse", "block", "i", "j", "upper", "node", "id", "text")
+    links = texts.groupBy("bin").applyInArrow(link, "a long, b long")
     joined = components(links)
     placed = saved(sets.join(joined, "node", "left").withColumn("component", F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node"))))
     least = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("id").alias("component_id"))
