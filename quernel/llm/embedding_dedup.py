@@ -151,14 +151,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, i
                 p, q = p[ok], q[ok]
                 np.add.at(links, lo + p, copies[lo + q])
                 np.add.at(links, lo + q, copies[lo + p])
-                while len(p):
+                before = label.copy()
+                while len(p) and (label[p] != label[q]).any():
                     low = np.minimum(label[p], label[q])
-                    edges.append((node[lo + np.maximum(label[p], label[q])], node[lo + low]))
-                    before = label.copy()
                     np.minimum.at(label, p, low)
                     np.minimum.at(label, q, low)
-                    if (before == label).all():
-                        break
+                moved = np.nonzero(label != before)[0]
+                edges += [(node[lo + moved], node[lo + label[moved]]), (node[lo + before[moved]], node[lo + label[moved]])]
         some = np.nonzero(links)[0]
         pairs = np.unique(np.concatenate([np.stack(e, 1) for e in edges]), axis=0) if edges else np.zeros((0, 2), np.int64)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
