@@ -17,13 +17,20 @@ _ASCII_PAIRS, _WIDE_PAIRS = tuple(x for x in _PAIRS if x.isascii()), tuple(x for
 _BOUND = re.compile(r"(?<=\S)(?= )")
 
 
+def splits_plainly(text: str) -> bool:
+    """Whether no white space stands beside a space or a line feed, so that each of them opens a chunk."""
+    if len(text.split()) == 1 + text.count(" ") + text.count("\n"):
+        return True  # as many words as single spaces and line feeds between them: no other white space at all
+    return not (any(x in text for x in _ASCII_PAIRS) or not text.isascii() and any(x in text for x in _WIDE_PAIRS))
+
+
 def chunks(text: str) -> list[str]:
     """The pieces of a text; joined they give the text again.
 
     Words with the space before them and single line feeds, or longer pieces
     where white space stands side by side.
     """
-    if any(x in text for x in _ASCII_PAIRS) or not text.isascii() and any(x in text for x in _WIDE_PAIRS):
+    if not splits_plainly(text):
         return _BOUND.split(text)
     out: list[str] = []
     for line in text.split("\n"):

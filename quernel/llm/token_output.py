@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quernel.llm.chunks import Kept, chunks
+from quernel.llm.chunks import Kept, chunks, splits_plainly
 from quernel.llm.shared import hashed_sample, new_folder, split_count, text_bytes
 
 MAGIC, END = b"QTOK0001", b"QEND"
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("bytes", "<u4"), ("tokens", "<u4")])
 TRAILER = struct.Struct("<QQI4s")
+#: What stands for a null id in an index; it sorts last.
+NO_ID = (1 << 63) - 1
 #: A word of Latin letters, perhaps after a space and with a mark after it: one match of the pattern, or two.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 
@@ -55,18 +57,21 @@ class TextEncoder:
     any other goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most_kept: int = 400_000):
+    def __init__(self, path: str, most_kept: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.characters = self.tokenizer.model, byte_characters()
-        self.kept, self.words = Kept(most_kept), Kept(most_kept)
+        self.kept, self.words = Kept(most_kept), Kept(most_kept // 3)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.feed = self._whole(["\n"])[0]
         self.marks = {"": b""} | {m: self._whole([m])[0] for m in ".,"}
         plain = ["", "Zoë", "straße"]  # a normalizer or another pattern would tell words apart
         self.plain = [self._word(" " + w) for w in plain[1:]] == self._whole([" " + w for w in plain[1:]]) and self._whole([" Zoë,"])[0] == self._word(" Zoë") + self.marks[","]
+        if len(self.feed) != self.width:
+            raise ValueError("a line feed must be one id")
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
@@ -77,33 +82,47 @@ class TextEncoder:
     def _word(self, word: str) -> bytes:
         return self._bytes([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))])
 
-    def _new(self, chunks: list[str]) -> dict[str, bytes]:
-        made, rest = {}, []
-        for c in chunks:
-            if (x := self.kept.again(c)) is not None:
-                made[c] = x
-            elif self.plain and len(c) <= 64 and (m := _PLAIN(c)):
+    def _new(self, keys: set[str]) -> dict[str, bytes]:
+        """What chunks encode to that the memory doesn't hold; see `serialized` for their keys."""
+        made, rest, chunk_of = {}, [], {}
+        older, words, plain, marks = self.kept.older, self.words, self.plain, self.marks
+        for key in keys:
+            if (x := older.get(key)) is not None:
+                made[key] = x
+                continue
+            chunk, before = (key[1:], self.feed) if key[:1] == "\n" else (" " + key, b"")
+            if plain and len(chunk) <= 64 and (m := _PLAIN(chunk)):
                 word = m[1]
-                if (x := self.words.get(word)) is None and (x := self.words.again(word)) is None:
-                    x = self._word(word)
-                    self.words.room(1)
-                    self.words[word] = x
-                made[c] = x + self.marks[m[2]]
+                if (x := words.get(word)) is None:
+                    if (x := words.older.get(word)) is None:
+                        x = self._word(word)
+                    words.room(1)
+                    words[word] = x
+                made[key] = before + x + marks[m[2]]
             else:
-                rest.append(c)
-        made.update(zip(rest, self._whole(rest)))
+                rest.append(chunk)
+                chunk_of[key] = before
+        for (key, before), x in zip(chunk_of.items(), self._whole(rest)):
+            made[key] = before + x
         return made
 
     def serialized(self, text: str, last: tuple[int, ...] = ()) -> bytes:
-        """The ids of a text and then `last`, as little-endian unsigned integers of `width` bytes."""
-        parts = chunks(text)
+        """The ids of a text and then `last`, as little-endian unsigned integers of `width` bytes.
+
+        A chunk is a word with the space or the line feed before it. Its key is
+        the word, after a space, and "\\n" and the word after a line feed.
+        """
+        if not splits_plainly(text):
+            return b"".join(self._whole(chunks(text))) + self._bytes(last)
+        parts = ("\n" + text).replace("\n", " \n").split(" ")
+        del parts[0]
         found = list(map(self.kept.get, parts))
         if None in found:
-            made = self._new(list({c for c, x in zip(parts, found) if x is None}))
+            made = self._new({c for c, x in zip(parts, found) if x is None})
             found = [made[c] if x is None else x for c, x in zip(parts, found)]
             self.kept.room(len(made))
             self.kept.update((c, x) for c, x in made.items() if len(c) <= 64)
-        return b"".join(found) + self._bytes(last)
+        return b"".join(found)[self.width :] + self._bytes(last)
 
 
 _encoders: dict[str, TextEncoder] = {}
@@ -195,7 +214,7 @@ def write_token_shards(
     Returns the manifest, a row a shard: shard (its place in the order), path,
     n_docs, n_tokens. It is kept in the folder as Parquet, with the dictionary.
     A null text counts as empty; equal ids come in the order of their texts'
-    hashes; rows with a null id come last, as id -1; an empty table gives an
+    hashes; rows with a null id come last; an empty table gives an
     empty manifest; other columns aren't read.
 
     The dictionary alone comes from a bounded sample: about dictionary_rows
@@ -237,7 +256,7 @@ def write_token_shards(
                 if not ids:
                     first_hash, held = order, 0
                 raw = encoder.serialized(text, (end_id,))
-                ids.append(-1 if doc_id is None else doc_id)
+                ids.append(NO_ID if doc_id is None else doc_id)
                 frames.append(compress(raw))
                 counts.append(len(raw) // encoder.width)
                 held += len(raw)
@@ -256,12 +275,11 @@ def write_token_shards(
 
 def with_starts(manifest: DataFrame, per_block: int = 1000) -> DataFrame:
     """The manifest with start: tokens in all shards before. Sums of blocks come first, so no task orders more than a block or the blocks."""
-    last = F.when(F.col("first_id") < 0, F.lit(1)).otherwise(F.lit(0))
     n_blocks = max(1, manifest.count() // per_block)
-    m = manifest.withColumn("last", last).repartitionByRange(n_blocks, "last", "first_id", "first_hash", "path").withColumn("block", F.spark_partition_id())
+    m = manifest.repartitionByRange(n_blocks, "first_id", "first_hash", "path").withColumn("block", F.spark_partition_id())
     sums = m.groupBy("block").agg(F.sum("n_tokens").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1))).select("block", F.coalesce("before", F.lit(0)).alias("before"))
-    inner = F.sum("n_tokens").over(W.partitionBy("block").orderBy("last", "first_id", "first_hash", "path").rowsBetween(W.unboundedPreceding, -1))
+    inner = F.sum("n_tokens").over(W.partitionBy("block").orderBy("first_id", "first_hash", "path").rowsBetween(W.unboundedPreceding, -1))
     return m.withColumn("inner", F.coalesce(inner, F.lit(0))).join(before, "block").select("path", "n_docs", "n_tokens", (F.col("before") + F.col("inner")).cast("long").alias("start"))
 
 
@@ -291,7 +309,7 @@ def read_token_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 starts = start + np.cumsum(tokens) - tokens
                 ids = shard.index["doc_id"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids == -1), pa.array(starts), pa.array(tokens), pa.array(crc, pa.int64()), pa.array([path.rpartition("/")[2]] * len(ids))],
+                    [pa.array(ids, mask=ids == NO_ID), pa.array(starts), pa.array(tokens), pa.array(crc, pa.int64()), pa.array([path.rpartition("/")[2]] * len(ids))],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"],
                 )
 
