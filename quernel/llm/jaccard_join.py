@@ -209,7 +209,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Ite
             yield batch.slice(at, rows)
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", most_together: int = 4000, broadcast_rows: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", most_together: int = 2500, broadcast_rows: int = 500_000) -> DataFrame:
     """(id, n_shingles, component_id): sets of shingles, and the least id that links reach.
 
     Two documents link if 100 x intersection >= percent x union. Empty sets
@@ -245,6 +245,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]) if len(sig) else np.zeros(0, bool)
             sig, node = sig[new], node[new]
             cut = ranges(sig, 64, ranges_n)
+            del hashes, doc, order, new
             out = [(b, pack_sorted(sig[lo:hi]), node[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["range", "sig", "node"])
 
@@ -265,12 +266,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
             key = np.stack([table.column(c).to_numpy() for c in ("coarse", "block", "i", "j")])
             cuts = np.concatenate([[0], np.nonzero((key[:, 1:] != key[:, :-1]).any(0))[0] + 1, [len(table)]])
             node, upper = table.column("node").to_numpy(), table.column("upper").to_numpy(zero_copy_only=False)
-            hashes, begins = shingle_sets(Texts.of(table, "id", "text"), n)
-            for lo, hi in zip(cuts, cuts[1:]):
-                label = link_sets(hashes[begins[lo] : begins[hi]], begins[lo : hi + 1] - begins[lo], percent, upper[lo:hi])
-                moved = np.nonzero(label != np.arange(hi - lo))[0]
-                out_a.append(node[lo:hi][moved])
-                out_b.append(node[lo:hi][label[moved]])
+            k = 0
+            while k < len(cuts) - 1:  # some small groups, or one large one, at a time
+                last = max(k + 1, int(np.searchsorted(cuts, cuts[k] + most_together, "right")) - 1)
+                first_row, n_rows = cuts[k], cuts[last] - cuts[k]
+                hashes, begins = shingle_sets(Texts.of(table.slice(first_row, n_rows), "id", "text"), n)
+                for lo, hi in zip(cuts[k:last], cuts[k + 1 : last + 1]):
+                    own = begins[lo - first_row : hi - first_row + 1]
+                    label = link_sets(hashes[own[0] : own[-1]], own - own[0], percent, upper[lo:hi])
+                    moved = np.nonzero(label != np.arange(hi - lo))[0]
+                    out_a.append(node[lo:hi][moved])
+                    out_b.append(node[lo:hi][label[moved]])
+                k = last
         return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_a, out_b)], names=["a", "b"])
 
     sets = saved(rows.mapInArrow(scan, "id long, n_shingles long, node long"))
@@ -289,7 +296,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
     texts = rows.where(F.col("id").isNotNull()).join(F.broadcast(members) if n_members <= broadcast_rows else members, "id")
     texts = texts.withColumn("other", F.explode(others)).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    bins = max(1, n_members // 500)
+    bins = max(1, n_members // 200)
     texts = texts.withColumn("bin", F.pmod(F.xxhash64("coarse", "block", "i", "j"), F.lit(bins))).select("bin", "coarse", "block", "i", "j", "upper", "node", "id", "text")
     links = texts.groupBy("bin").applyInArrow(link, "a long, b long")
     joined = components(links)
