@@ -205,7 +205,7 @@ def blocks(texts: Texts, length: int, part: int) -> tuple[np.ndarray, ...]:
         doc = np.searchsorted(texts.offsets[first : last + 1] - lo, start, "right") - 1 + first
         keep = texts.known[doc]
         start, end, doc, a = start[keep], end[keep], doc[keep], a[heads][keep]
-        out.append((start + lo, end + lo, doc, h[a], _bytes.stretch(sums, start, end + length)))
+        out.append((start + lo, end + lo, doc, mixed(h[a]), _bytes.stretch(sums, start, end + length)))  # least hashes are small; mixed again they fill all ranges alike
     if not out:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     return tuple(np.concatenate(x) for x in zip(*out))
