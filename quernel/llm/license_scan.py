@@ -1,15 +1,18 @@
 """License scans by conditional compression.
 
-A block of text that speaks of a licence is compressed alone and with each
-licence template as a raw zstandard dictionary. The template that saves most
-is looked at first; it wins if the words in which block and template differ
-are none that tell licences apart.
+In a block of text that speaks of a licence, every place with the wording of a
+licence template is found: enough of its words in order, and no difference in
+words that tell licences apart. Each place is compressed alone and with its
+template as a raw zstandard dictionary; where places overlap, that which saves
+most wins.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,8 +20,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.chunks import Kept
-
 #: Usual wordings of licence notices, several a licence.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -42,7 +43,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 _TRIGGER = re.compile(r"licen[cs]e|copyright|redistribut|permission (?:is|to)\b|public domain|\bcc(?:0| by)\b|spdx", re.I)
 _WORD = re.compile(r"\w+(?:[.\-]\w+)*")
-BLOCK_WORDS = 200
+_CLOSE = re.compile(r'[.;!)\]"\'”’]*')
 
 
 def words(text: str) -> list[str]:
@@ -50,92 +51,113 @@ def words(text: str) -> list[str]:
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Places (start, end) of the parts of a text that speak of licences: their lines, of a very long line BLOCK_WORDS words on either side."""
+    """Places (start, end) of the parts of a text that speak of licences: their lines."""
     found: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
-        start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        end = len(text) if end < 0 else end
-        if end - start > 20 * BLOCK_WORDS:
-            start, end = max(start, m.start() - 8 * BLOCK_WORDS), min(end, m.end() + 8 * BLOCK_WORDS)
-        if found and start <= found[-1][1]:
-            found[-1] = (found[-1][0], max(end, found[-1][1]))
-        else:
-            found.append((start, end))
+        if found and m.start() < found[-1][1]:
+            continue
+        end = text.find("\n", m.end())
+        found.append((text.rfind("\n", 0, m.start()) + 1, len(text) if end < 0 else end))
     return found
 
 
 class LicenseScanner:
-    """Ranks templates for a block and confirms the best by its wording.
+    """Finds the places in a block that have a template's wording, and ranks them where they overlap.
 
     A word tells licences apart if it holds a digit or is in the templates of
-    few licences. least_saved is the share of its compressed size that a block
-    must lose by a template, least_same the share of the template's words that
-    must be there in order.
+    few licences. least_same is the share of the template's words that must be
+    there in order. Savings only rank: none is asked for.
     """
 
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, least_saved: float = 0.2, least_same: float = 0.8, most_kept: int = 20_000):
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, least_same: float = 0.8):
         self.templates = templates
-        self.least_saved, self.least_same, self.kept = least_saved, least_same, Kept(most_kept)
+        self.least_same = least_same
         self.plain = zstandard.ZstdCompressor(level=9)
-        self.given = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(self._bytes(t), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
+        self.given = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(self._bytes(words(t)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
+        self.wanted = [words(t) for _, t in templates]
+        self.counts = [Counter(w) for w in self.wanted]
+        self.need = [math.ceil(least_same * len(w) - 1e-9) for w in self.wanted]
         held: dict[str, set[str]] = {}
-        for name, t in templates:
-            for w in words(t):
+        for (name, _), want in zip(templates, self.wanted):
+            for w in want:
                 held.setdefault(w, set()).add(name)
         names = {name for name, _ in templates}
-        self.telling = {w for w, by in held.items() if any(c.isdigit() for c in w) or len(by) <= len(names) // 4 and len(w) > 1}
+        telling = {w for w, by in held.items() if any(c.isdigit() for c in w) or len(by) <= len(names) // 4 and len(w) > 1}
+        self.must = [telling.intersection(w) for w in self.wanted]
+        self.barred = [telling] * len(templates)
 
     @staticmethod
-    def _bytes(text: str) -> bytes:
-        return (" ".join(words(text)) + " ").encode()
+    def _bytes(own: list[str]) -> bytes:
+        return (" ".join(own) + " ").encode()
 
     def savings(self, block: str) -> list[tuple[float, int]]:
         """(share saved, template) with the most saved first, ties by the templates' order."""
-        data = self._bytes(block)
+        data = self._bytes(words(block))
         alone = len(self.plain.compress(data))
         return sorted(((1 - len(c.compress(data)) / alone, i) for i, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
 
-    def confirm(self, block: str, template: int) -> tuple[bool, str, str]:
-        """Whether the wording agrees, the template's words that lack and the words that are put in between."""
-        own, want = words(block), words(self.templates[template][1])
-        lack, extra, same = [], [], 0
+    @staticmethod
+    def sizes(n: int) -> tuple[int, int, int]:
+        """Words to look at for a template of n words: as many, then with room for words put in between."""
+        return n, n + n // 4 + 2, 2 * n + 8
+
+    def confirm(self, own: list[str], template: int) -> tuple[int, int, str, str] | None:
+        """Where the wording agrees: first word, end, the template's words that lack and the words that are put in between."""
+        want = self.wanted[template]
         ops = difflib.SequenceMatcher(None, want, own, autojunk=False).get_opcodes()
-        for k, (kind, a, b, c, d) in enumerate(ops):
-            if kind == "equal":
-                same += b - a
-            else:
-                lack += want[a:b]
-                if 0 < k < len(ops) - 1:
-                    extra += own[c:d]
-        ok = same >= self.least_same * len(want) and not self.telling.intersection(lack) and not self.telling.intersection(extra)
-        return ok, " ".join(lack), " ".join(extra)
-
-    def scan_block(self, block: str) -> tuple[str, float, int, str, str] | None:
-        key = " ".join(words(block))
-        if key in self.kept:
-            return self.kept[key]
-        found = None
-        for saved, i in self.savings(block):
-            if saved < self.least_saved:
-                break
-            ok, lack, extra = self.confirm(block, i)
-            if ok:
-                found = (self.templates[i][0], saved, i, lack, extra)
-                break
-        self.kept.room(1)
-        self.kept[key] = found
-        return found
+        equal = [o for o in ops if o[0] == "equal"]
+        if sum(o[2] - o[1] for o in equal) < self.need[template]:
+            return None
+        first, end = equal[0][3], equal[-1][4]
+        lack = [w for kind, a, b, _, _ in ops if kind != "equal" for w in want[a:b]]
+        extra = [w for kind, _, _, c, d in ops if kind != "equal" and c >= first and d <= end for w in own[c:d]]
+        if self.must[template].intersection(lack) or self.barred[template].intersection(extra):
+            return None
+        return first, end, " ".join(lack), " ".join(extra)
+
+    def places(self, own: list[str], template: int) -> Iterator[tuple[int, int, str, str]]:
+        """All places of a template in a row of words, from left to right."""
+        want, need, must, count = self.wanted[template], self.need[template], self.must[template], self.counts[template]
+        if not must.issubset(own) or (Counter(own) & count).total() < need:
+            return
+        opening, at = set(want[: len(want) - need + 1]), 0
+        while at < len(own):
+            hit = None
+            if own[at] in opening:
+                most = own[at : at + self.sizes(len(want))[-1]]
+                if must.issubset(most) and (Counter(most) & count).total() >= need:
+                    hit = next(filter(None, (self.confirm(most[:n], template) for n in self.sizes(len(want)))), None)
+            if hit:
+                yield at + hit[0], at + hit[1], hit[2], hit[3]
+            at += hit[1] if hit else 1
+
+    def scan_block(self, text: str, start: int, end: int) -> list[tuple[str, float, int, str, str, int, int]]:
+        """The confirmed places of a block; of overlapping ones that whose template saves most bytes."""
+        found = list(_WORD.finditer(text, start, end))
+        own = [m.group().lower() for m in found]
+        hits = []
+        for i, (name, _) in enumerate(self.templates):
+            for a, b, lack, extra in self.places(own, i):
+                if _TRIGGER.search(text, found[a].start(), found[b - 1].end()):
+                    data = self._bytes(own[a:b])
+                    alone, with_it = len(self.plain.compress(data)), len(self.given[i].compress(data))
+                    hits.append((with_it - alone, i, a, b, (name, 1 - with_it / alone, i, lack, extra)))
+        kept: list[tuple] = []
+        for _, _, a, b, hit in sorted(hits):
+            if all(b <= c or d <= a for c, d, _ in kept):
+                kept.append((a, b, hit))
+        return [(*hit, found[a].start(), _CLOSE.match(text, found[b - 1].end(), end).end()) for a, b, hit in sorted(kept)]
 
     def scan(self, text: str) -> list[tuple[str, float, int, str, str, int, int]]:
-        """All confirmed blocks of a text with their places."""
-        return [(*hit, start, end) for start, end in blocks(text) if (hit := self.scan_block(text[start:end]))]
+        """All confirmed notices of a text with their places."""
+        return [hit for start, end in blocks(text) for hit in self.scan_block(text, start, end)]
 
 
 _scanners: dict[tuple, LicenseScanner] = {}
 
 
 def license_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row for each block whose licence is confirmed: id, start and end (characters), license, saved, lacking, inserted, block.
+    """A row for each notice whose licence is confirmed: id, start and end (characters), license, saved, lacking, inserted, block.
 
     Null and empty texts give no rows, a null id is kept, repeated rows repeat
     theirs; other columns of docs aren't read. No shuffle, and every text is

@@ -251,3 +251,13 @@ def test_license_ranking_is_by_saved_size():
     for i, (_, t) in enumerate(s.templates):
         assert s.savings(t)[0][1] == i
     assert s.scan("Released under the BSD 2-Clause License.")[0][0] == "BSD-2-Clause"
+
+
+def test_license_notices_inside_prose():
+    s, prose = license_scan.LicenseScanner(), "The old mill stood by the river for as long as anyone in the village could remember. "
+    for n in (1, 2, 40):
+        text = prose * n + "Released under the MIT License. " + prose * n
+        assert [(h[0], text[h[5] : h[6]]) for h in s.scan(text)] == [("MIT", "Released under the MIT License.")]
+    both = prose + "Released under the MIT License. " + prose + "Licensed under CC BY-ND 4.0. " + prose + "Released under the MIT License."
+    assert [h[0] for h in s.scan(both)] == ["MIT", "CC-BY-ND-4.0", "MIT"]
+    assert s.scan(prose + "A license was lost. " + prose) == []
