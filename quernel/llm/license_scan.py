@@ -12,8 +12,9 @@ from __future__ import annotations
 import difflib
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
@@ -41,7 +42,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
     ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted."),
 )
-_TRIGGER = re.compile(r"licen[cs]e|copyright|redistribut|permission (?:is|to)\b|public domain|\bcc(?:0| by)\b|spdx", re.I)
+_TRIGGER = re.compile(r"licen[cs]e|copyright|redistribut|permission\W+(?:is|to)\b|public\W+domain|\bcc(?:0|\W*by)\b|spdx", re.I)
 _WORD = re.compile(r"\w+(?:[.\-]\w+)*")
 _CLOSE = re.compile(r'[.;!)\]"\'”’]*')
 
@@ -50,14 +51,31 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Places (start, end) of the parts of a text that speak of licences: their lines."""
+def _back(text: str, at: int, reach: int) -> int:
+    """Where the last `reach` words before a place begin."""
+    size = 12 * reach
+    while True:
+        start = max(0, at - size)
+        places = [m.start() for m in _WORD.finditer(text, start, at)]
+        if len(places) > reach or start == 0:  # the first of them may be the tail of a word
+            return places[-reach] if len(places) > reach else 0
+        size *= 2
+
+
+def blocks(text: str, reach: int) -> list[tuple[int, int]]:
+    """Places (start, end) of the parts of a text that speak of licences: `reach` words on either side, across line feeds; parts that touch are one."""
     found: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
-        if found and m.start() < found[-1][1]:
+        ahead = deque((w.end() for w in islice(_WORD.finditer(text, m.end()), reach)), 1)
+        end = ahead[0] if ahead else m.end()
+        if found and m.start() <= found[-1][1]:
+            found[-1] = (found[-1][0], max(end, found[-1][1]))
             continue
-        end = text.find("\n", m.end())
-        found.append((text.rfind("\n", 0, m.start()) + 1, len(text) if end < 0 else end))
+        start = _back(text, m.start(), reach)
+        if found and start <= found[-1][1]:
+            found[-1] = (found[-1][0], end)
+        else:
+            found.append((start, end))
     return found
 
 
@@ -77,6 +95,7 @@ class LicenseScanner:
         self.wanted = [words(t) for _, t in templates]
         self.counts = [Counter(w) for w in self.wanted]
         self.need = [math.ceil(least_same * len(w) - 1e-9) for w in self.wanted]
+        self.reach = max((self.sizes(len(w))[-1] for w in self.wanted), default=1)
         held: dict[str, set[str]] = {}
         for (name, _), want in zip(templates, self.wanted):
             for w in want:
@@ -102,18 +121,19 @@ class LicenseScanner:
         return n, n + n // 4 + 2, 2 * n + 8
 
     def confirm(self, own: list[str], template: int) -> tuple[int, int, str, str] | None:
-        """Where the wording agrees: first word, end, the template's words that lack and the words that are put in between."""
+        """If own begins with the template's wording: its words that are there, the end, its words that lack and the words put in between."""
         want = self.wanted[template]
         ops = difflib.SequenceMatcher(None, want, own, autojunk=False).get_opcodes()
         equal = [o for o in ops if o[0] == "equal"]
-        if sum(o[2] - o[1] for o in equal) < self.need[template]:
+        same = sum(o[2] - o[1] for o in equal)
+        if same < self.need[template] or equal[0][3] > 0:
             return None
-        first, end = equal[0][3], equal[-1][4]
+        end = equal[-1][4]
         lack = [w for kind, a, b, _, _ in ops if kind != "equal" for w in want[a:b]]
-        extra = [w for kind, _, _, c, d in ops if kind != "equal" and c >= first and d <= end for w in own[c:d]]
-        if self.must[template].intersection(lack) or self.barred[template].intersection(extra):
+        extra = [w for kind, _, _, c, d in ops if kind != "equal" and d <= end for w in own[c:d]]
+        if self.must[template].intersection(lack) or self.barred[template].intersection(extra) or not _TRIGGER.search(" ".join(own[:end])):
             return None
-        return first, end, " ".join(lack), " ".join(extra)
+        return same, end, " ".join(lack), " ".join(extra)
 
     def places(self, own: list[str], template: int) -> Iterator[tuple[int, int, str, str]]:
         """All places of a template in a row of words, from left to right."""
@@ -126,9 +146,14 @@ class LicenseScanner:
             if own[at] in opening:
                 most = own[at : at + self.sizes(len(want))[-1]]
                 if must.issubset(most) and (Counter(most) & count).total() >= need:
-                    hit = next(filter(None, (self.confirm(most[:n], template) for n in self.sizes(len(want)))), None)
+                    for n in self.sizes(len(want)):
+                        found = self.confirm(most[:n], template)
+                        if found and (hit is None or found[0] > hit[0]):
+                            hit = found
+                        if hit and hit[0] == len(want):
+                            break
             if hit:
-                yield at + hit[0], at + hit[1], hit[2], hit[3]
+                yield at, at + hit[1], hit[2], hit[3]
             at += hit[1] if hit else 1
 
     def scan_block(self, text: str, start: int, end: int) -> list[tuple[str, float, int, str, str, int, int]]:
@@ -138,19 +163,18 @@ class LicenseScanner:
         hits = []
         for i, (name, _) in enumerate(self.templates):
             for a, b, lack, extra in self.places(own, i):
-                if _TRIGGER.search(text, found[a].start(), found[b - 1].end()):
-                    data = self._bytes(own[a:b])
-                    alone, with_it = len(self.plain.compress(data)), len(self.given[i].compress(data))
-                    hits.append((with_it - alone, i, a, b, (name, 1 - with_it / alone, i, lack, extra)))
+                data = self._bytes(own[a:b])
+                alone, with_it = len(self.plain.compress(data)), len(self.given[i].compress(data))
+                hits.append((with_it - alone, i, a, b, (name, 1 - with_it / alone, i, lack, extra)))
         kept: list[tuple] = []
         for _, _, a, b, hit in sorted(hits):
             if all(b <= c or d <= a for c, d, _ in kept):
                 kept.append((a, b, hit))
-        return [(*hit, found[a].start(), _CLOSE.match(text, found[b - 1].end(), end).end()) for a, b, hit in sorted(kept)]
+        return [(*hit, found[a].start(), _CLOSE.match(text, found[b - 1].end()).end()) for a, b, hit in sorted(kept)]
 
     def scan(self, text: str) -> list[tuple[str, float, int, str, str, int, int]]:
         """All confirmed notices of a text with their places."""
-        return [hit for start, end in blocks(text) for hit in self.scan_block(text, start, end)]
+        return [hit for start, end in blocks(text, self.reach) for hit in self.scan_block(text, start, end)]
 
 
 _scanners: dict[tuple, LicenseScanner] = {}

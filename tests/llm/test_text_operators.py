@@ -261,3 +261,18 @@ def test_license_notices_inside_prose():
     both = prose + "Released under the MIT License. " + prose + "Licensed under CC BY-ND 4.0. " + prose + "Released under the MIT License."
     assert [h[0] for h in s.scan(both)] == ["MIT", "CC-BY-ND-4.0", "MIT"]
     assert s.scan(prose + "A license was lost. " + prose) == []
+
+
+def test_license_notices_wrapped_over_lines():
+    s = license_scan.LicenseScanner()
+    isc = "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, version 2.0."
+    for name, text in (("ISC", isc), ("BSD-3-Clause", bsd), ("MPL-2.0", mpl), ("GPL-3.0", "This work is licensed under the\nGNU General Public\nLicense, version 3.")):
+        for mark in ("", "# ", " * ", "// "):
+            source = "int x;\n" + "".join(f"{mark}{line}\n" for line in text.split("\n")) + "int y;\n"
+            assert [h[0] for h in s.scan(source)] == [name], (name, mark)
+    long = "Released\n" + "\n" * 5000 + "under the MIT License.\n" + "x" * 100_000 + "\nLicensed under\nCC\nBY-ND 4.0."
+    assert [h[0] for h in s.scan(long)] == ["MIT", "CC-BY-ND-4.0"]
+    several = "Released under the MIT\nLicense. " + "word\n" * 300 + "Released into the public\ndomain under CC0 1.0."
+    assert [h[0] for h in s.scan(several)] == ["MIT", "CC0-1.0"]
