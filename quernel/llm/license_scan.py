@@ -21,34 +21,79 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Usual wordings of licence notices, several a licence.
+_GNU = (("GPL-3.0", "General Public", "3"), ("GPL-2.0", "General Public", "2"), ("LGPL-3.0", "Lesser General Public", "3"), ("LGPL-2.1", "Lesser General Public", "2.1"), ("LGPL-2.0", "Library General Public", "2"), ("AGPL-3.0", "Affero General Public", "3"))
+_GNU_SHORT = (("GPL-3.0", "GPL", "3"), ("GPL-2.0", "GPL", "2"), ("LGPL-3.0", "LGPL", "3"), ("LGPL-2.1", "LGPL", "2.1"), ("AGPL-3.0", "AGPL", "3"))
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_CC = (
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+_SPDX_NAMES = (
+    "Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "MPL-2.0", "ISC", "Unlicense", "Zlib", "BSL-1.0", "EPL-2.0", "CC0-1.0",
+    *(f"CC-{kind}-{version}" for kind, _ in _CC for version in ("4.0", "3.0")),
+)
+#: Usual wordings of licence notices, several a licence: short forms, headers, grants and headings of full texts. Numerals of lists and names of holders are left out.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    *((name, f"This work is licensed under the GNU {kind} License, version {version}.") for name, kind, version in _GNU),
+    *((name, f"Licensed under the GNU {short} version {version}.") for name, short, version in _GNU_SHORT),
+    *((name, f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.") for name, kind, version in _GNU),
+    *((name, f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} License version {version} as published by the Free Software Foundation.") for name, kind, version in _GNU),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("BSD-3-Clause", _BSD + " Neither the name of nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. This software is provided by"),
+    ("BSD-2-Clause", _BSD + " This software is provided by"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 Definitions"),
+    *((f"CC-{kind}-{version}", f"Licensed under CC {kind} {version}.") for kind, _ in _CC for version in ("4.0", "3.0")),
+    *((f"CC-{kind}-{version}", f"This work is licensed under a Creative Commons {long} {version} {where} License.") for kind, long in _CC for version, where in (("4.0", "International"), ("3.0", "Unported"))),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("CC0-1.0", "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal license."),
+    ("ISC", "Released under the ISC License."),
     ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted."),
-)
-_TRIGGER = re.compile(r"licen[cs]e|copyright|redistribut|permission\W+(?:is|to)\b|public\W+domain|\bcc(?:0|\W*by)\b|spdx", re.I)
-_WORD = re.compile(r"\w+(?:[.\-]\w+)*")
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. The software is provided as is and the author disclaims all warranties"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. The software is provided as is and the author disclaims all warranties"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software'),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in _SPDX_NAMES),
+)
+_TRIGGER = re.compile(r"licen[cs]e|copyright|redistribut|permission\W+(?:is|to)\b|l?gpl|unencumbered|public\W+domain|\bcc\W*(?:0|by)\b|spdx", re.I)
+_WORD = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([\w.+() \t-]+)", re.I)
+_SPDX_ID = re.compile(r"(\bWITH\s+)?(?!(?:AND|OR|WITH)\b)([\w.-]+\w)(\+?)")
+#: Words that differ without telling licences apart, and other spellings of words.
+_COMMON = frozenset("a all an and any are as at by file for in international into is it its license licensed of on or program public released software that the this to under unported use version with work".split())
+_SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "v": "version", "gplv": "gpl", "lgplv": "lgpl", "agplv": "agpl"}
 _CLOSE = re.compile(r'[.;!)\]"\'”’]*')
 
 
+def _plain(word: str) -> str:
+    """A word as it is compared: in small letters, 2 for 2.0, one spelling."""
+    word = word.lower()
+    return _SAME.get(word, word.removesuffix(".0"))
+
+
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [_plain(w) for w in _WORD.findall(text)]
 
 
 def _back(text: str, at: int, reach: int) -> int:
@@ -82,8 +127,10 @@ def blocks(text: str, reach: int) -> list[tuple[int, int]]:
 class LicenseScanner:
     """Finds the places in a block that have a template's wording, and ranks them where they overlap.
 
-    A word tells licences apart if it holds a digit or is in the templates of
-    few licences. least_same is the share of the template's words that must be
+    Words tell licences apart if they are digits or of a licence's name, or if
+    templates of two licences that share half of their words differ in them
+    (_COMMON never does): a template's own must be there, others not come in
+    between. An SPDX expression is read name by name. least_same is the share of the template's words that must be
     there in order. Savings only rank: none is asked for.
     """
 
@@ -96,14 +143,23 @@ class LicenseScanner:
         self.counts = [Counter(w) for w in self.wanted]
         self.need = [math.ceil(least_same * len(w) - 1e-9) for w in self.wanted]
         self.reach = max((self.sizes(len(w))[-1] for w in self.wanted), default=1)
-        held: dict[str, set[str]] = {}
-        for (name, _), want in zip(templates, self.wanted):
-            for w in want:
-                held.setdefault(w, set()).add(name)
-        names = {name for name, _ in templates}
-        telling = {w for w, by in held.items() if any(c.isdigit() for c in w) or len(by) <= len(names) // 4 and len(w) > 1}
-        self.must = [telling.intersection(w) for w in self.wanted]
-        self.barred = [telling] * len(templates)
+        named = [set(words(name)) for name, _ in templates]
+        every = set().union(*named)
+        numbers = {w for want in self.wanted for w in want if w[0].isdigit()}
+        self.must, self.barred = [], []
+        for (name, _), own, want in zip(templates, named, self.wanted):
+            must, barred = {w for w in want if w[0].isdigit() or w in own}, {w for w in every if not w[0].isdigit()} - _COMMON
+            if must & numbers:
+                barred |= numbers
+            for (other, _), theirs in zip(templates, self.wanted):
+                if other != name and 2 * min(len(want), len(theirs)) >= max(len(want), len(theirs)):
+                    ops = difflib.SequenceMatcher(None, want, theirs, autojunk=False).get_opcodes()
+                    if 2 * sum(o[2] - o[1] for o in ops if o[0] == "equal") >= max(len(want), len(theirs)):
+                        must |= {w for kind, a, b, _, _ in ops if kind != "equal" for w in want[a:b]} - _COMMON
+                        barred |= {w for kind, _, _, a, b in ops if kind != "equal" for w in theirs[a:b]} - _COMMON
+            self.must.append(must)
+            self.barred.append(barred - set(want))
+        self.spdx = {tuple(w[3:]): i for i, w in enumerate(self.wanted) if w[:3] == ["spdx", "license", "identifier"]}
 
     @staticmethod
     def _bytes(own: list[str]) -> bytes:
@@ -135,11 +191,19 @@ class LicenseScanner:
             return None
         return same, end, " ".join(lack), " ".join(extra)
 
+    def identifiers(self, text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, template) of each licence of the SPDX expressions, the first from the tag on."""
+        for m in _SPDX.finditer(text, start, end):
+            at = m.start()
+            for k in _SPDX_ID.finditer(text, m.start(1), m.end(1)):
+                i = self.spdx.get(tuple(words(re.sub(r"-(?:only|or-later)$", "", k[2], flags=re.I))))
+                if i is not None and not k[1]:
+                    yield at, k.end(), i
+                at = k.end()
+
     def places(self, own: list[str], template: int) -> Iterator[tuple[int, int, str, str]]:
         """All places of a template in a row of words, from left to right."""
         want, need, must, count = self.wanted[template], self.need[template], self.must[template], self.counts[template]
-        if not must.issubset(own) or (Counter(own) & count).total() < need:
-            return
         opening, at = set(want[: len(want) - need + 1]), 0
         while at < len(own):
             hit = None
@@ -159,18 +223,23 @@ class LicenseScanner:
     def scan_block(self, text: str, start: int, end: int) -> list[tuple[str, float, int, str, str, int, int]]:
         """The confirmed places of a block; of overlapping ones that whose template saves most bytes."""
         found = list(_WORD.finditer(text, start, end))
-        own = [m.group().lower() for m in found]
+        own = [_plain(m.group()) for m in found]
+        there, count = set(own), Counter(own)
+        spots = [(m.start(), m.end()) for m in found]
+        tagged = set(self.spdx.values())
+        seen = [(a, b, i, "", "", self._bytes(self.wanted[i])) for a, b, i in self.identifiers(text, start, end)]
+        for i, must in enumerate(self.must):
+            if i not in tagged and must <= there and sum(min(n, count[w]) for w, n in self.counts[i].items()) >= self.need[i]:
+                seen += [(spots[a][0], spots[b - 1][1], i, lack, extra, self._bytes(own[a:b])) for a, b, lack, extra in self.places(own, i)]
         hits = []
-        for i, (name, _) in enumerate(self.templates):
-            for a, b, lack, extra in self.places(own, i):
-                data = self._bytes(own[a:b])
-                alone, with_it = len(self.plain.compress(data)), len(self.given[i].compress(data))
-                hits.append((with_it - alone, i, a, b, (name, 1 - with_it / alone, i, lack, extra)))
+        for a, b, i, lack, extra, data in seen:
+            alone, with_it = len(self.plain.compress(data)), len(self.given[i].compress(data))
+            hits.append((with_it - alone, i, a, b, (self.templates[i][0], 1 - with_it / alone, i, lack, extra)))
         kept: list[tuple] = []
         for _, _, a, b, hit in sorted(hits):
             if all(b <= c or d <= a for c, d, _ in kept):
                 kept.append((a, b, hit))
-        return [(*hit, found[a].start(), _CLOSE.match(text, found[b - 1].end()).end()) for a, b, hit in sorted(kept)]
+        return [(*hit, a, _CLOSE.match(text, b).end()) for a, b, hit in sorted(kept)]
 
     def scan(self, text: str) -> list[tuple[str, float, int, str, str, int, int]]:
         """All confirmed notices of a text with their places."""

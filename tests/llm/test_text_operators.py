@@ -276,3 +276,87 @@ def test_license_notices_wrapped_over_lines():
     assert [h[0] for h in s.scan(long)] == ["MIT", "CC-BY-ND-4.0"]
     several = "Released under the MIT\nLicense. " + "word\n" * 300 + "Released into the public\ndomain under CC0 1.0."
     assert [h[0] for h in s.scan(several)] == ["MIT", "CC0-1.0"]
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2021 A. Nother
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL_HEADER = """This {0} is free software{1} you can redistribute it and/or modify
+it under the terms of the GNU {2}General Public License as published by
+the Free Software Foundation{1} either version {3} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {2}General Public License for more details.
+"""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    https://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{0}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+"""
+THIRD = """3. Neither the name of Example Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted{0}.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+"""
+MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_license_scan_of_real_notices(mark):
+    s = license_scan.LicenseScanner()
+    cases = [
+        ("MIT", MIT_TEXT), ("Apache-2.0", APACHE_HEADER), ("MPL-2.0", MPL_HEADER), ("GPL-3.0", GPL_HEADER.format("program", ":", "", "3")), ("GPL-2.0", GPL_HEADER.format("library", ";", "", "2")),
+        ("LGPL-2.1", GPL_HEADER.format("library", ";", "Lesser ", "2.1")), ("LGPL-3.0", GPL_HEADER.format("library", ":", "Lesser ", "3")), ("AGPL-3.0", GPL_HEADER.format("program", ":", "Affero ", "3")),
+        ("BSD-2-Clause", BSD_TEXT.format("")), ("BSD-3-Clause", BSD_TEXT.format(THIRD)), ("ISC", ISC_TEXT.format(", provided that the above\ncopyright notice and this permission notice appear in all copies")), ("0BSD", ISC_TEXT.format("")),
+        ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 International License."), ("CC-BY-3.0", "Licensed under CC-BY 3.0"), ("GPL-3.0", "Licensed under the GNU GPLv3"),
+        ("CC0-1.0", "Creative Commons Legal Code\n\nCC0 1.0 Universal"), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007"), ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0"),
+    ]
+    for name, text in cases:
+        source = "int x;\n" + "".join(f"{mark}{line}\n" for line in text.split("\n")) + "int y;\n"
+        assert [h[0] for h in s.scan(source)] == [name], (name, text)
+
+
+def test_license_scan_of_expressions_and_near_misses():
+    s = license_scan.LicenseScanner()
+    assert [h[0] for h in s.scan("// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;")] == ["MIT", "Apache-2.0"]
+    none = ["SPDX-License-Identifier: MIT-0", "GNU Lesser General Public License as published", "The license of an MIT professor was lost.", "Licensed under CC BY-XY 9.0.", "Released under the Foo License."]
+    assert [s.scan(t) for t in none] == [[]] * len(none)
