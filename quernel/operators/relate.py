@@ -87,15 +87,25 @@ def merged_shards(shards: DataFrame, expected: DataFrame, key: str) -> DataFrame
 def containing(texts: DataFrame, passages: DataFrame, text: str, passage: str, words: int = 5) -> DataFrame:
     """Rows of texts with each passage they contain.
 
-    A theta join made an equi-join: the first `words` words of a passage, and
-    every run of as many words of a text, are joined, and the hits compared.
-    Passages of fewer words are compared with every text; they are few or none.
+    A theta join made an equi-join: `words` words of a passage, and every run
+    of as many words of a text, are joined, and the hits compared. The first
+    and last word of a passage may be parts of words of a text, so passages of
+    fewer than words + 2 words are joined by characters: their first 16, or the
+    power of two that they have. A text gives runs only of lengths in use.
     """
     split = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
     p = passages.withColumn("\x01w", split(passage)).where(F.size("\x01w") > 0)
     t = texts.withColumn("\x01row", F.monotonically_increasing_id()).withColumn("\x01w", split(text))
     starts = F.when(F.size("\x01w") >= words, F.transform(F.sequence(F.lit(1), F.size("\x01w") - words + 1), lambda i: F.xxhash64(F.slice("\x01w", i, words)))).otherwise(F.array().cast("array<long>"))
-    long_p = p.where(F.size("\x01w") > words).withColumn("\x01h", F.xxhash64(F.slice("\x01w", 2, words))).drop("\x01w")
+    long_p = p.where(F.size("\x01w") >= words + 2).withColumn("\x01h", F.xxhash64(F.slice("\x01w", 2, words))).drop("\x01w")
     keys = t.select("\x01row", F.explode(F.array_distinct(starts)).alias("\x01h")).join(long_p, "\x01h").drop("\x01h")
-    found = t.drop("\x01w").join(keys, "\x01row").where(F.contains(text, F.col(passage)))
-    return found.drop("\x01row").unionByName(texts.crossJoin(p.where(F.size("\x01w") <= words).drop("\x01w")).where(F.contains(text, F.col(passage))))
+    n = F.length(passage)
+    power = F.when(n >= 16, 16).when(n >= 8, 8).when(n >= 4, 4).when(n >= 2, 2).otherwise(1)
+    hashed = lambda letters, i, k: F.xxhash64(F.slice(letters, i, k))
+    short_p = p.where(F.size("\x01w") < words + 2).drop("\x01w").withColumn("\x01k", power).withColumn("\x01h", hashed(F.split(passage, ""), 1, F.col("\x01k")))
+    lengths = F.broadcast(short_p.select("\x01k").distinct())
+    letters = t.select("\x01row", F.split(text, "").alias("\x01c")).join(lengths, F.size("\x01c") >= F.col("\x01k"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("\x01c") - F.col("\x01k") + 1), lambda i: hashed(F.col("\x01c"), i, F.col("\x01k")))
+    short_keys = letters.select("\x01row", "\x01k", F.explode(F.array_distinct(runs)).alias("\x01h")).join(short_p, ["\x01k", "\x01h"]).drop("\x01k", "\x01h")
+    found = t.drop("\x01w").join(keys.unionByName(short_keys), "\x01row").where(F.contains(text, F.col(passage)))
+    return found.drop("\x01row")

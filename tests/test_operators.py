@@ -128,6 +128,15 @@ def test_containing_matches_contains(spark):
     assert got == [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "nothing")]
 
 
+def test_containing_short_passages_at_word_edges(spark):
+    texts = [(1, "the book of love. And on"), (2, "xthe old book of lovely"), (3, "a bb ccc 😀é, end"), (4, ""), (5, "the\tbook of"), (6, None), (6, "the old big book of love."), (6, "the old big book of love.")]
+    parts = ["the old big book of love", "big book of love", "the old book of love", "e old b", "book", "k o", "o", "😀é", "cc 😀", "f love", "x y", " ", "", "ld big book of lov", "the old big book of love. And more", "one two three four five six seven eight"]
+    t = spark.createDataFrame(texts, "i int, t string")
+    found = relate.containing(t, spark.createDataFrame([(p,) for p in parts], "p string"), "t", "p")
+    assert values(found, "i", "p") == sorted((i, p) for i, s in texts for p in parts if s is not None and p.strip() and p in s)
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString()
+
+
 def test_sibling_margin_with_equal_best(spark):
     df = spark.createDataFrame([(1, "a", 2, 5.0), (1, "b", 1, 5.0), (2, "a", 1, 1.0)], "id int, c string, votes int, s double")
     assert values(rank.sibling_features(df, "id", "votes", "s"), "id", "c", "margin") == [(1, "a", 0.0), (1, "b", 0.0), (2, "a", 0.0)]
