@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernel.functions.numbers import f1, rate
@@ -110,3 +111,14 @@ def blockers(checks: DataFrame, limits: dict[str, float]) -> DataFrame:
     """One row of figures with `blockers`: names of those beyond their limits, sorted, and ready if there are none."""
     names = F.array_sort(F.array_compact(F.array(*[F.when(F.col(c) > F.lit(limit), F.lit(c)) for c, limit in limits.items()])))
     return checks.withColumn("blockers", F.concat_ws(",", names)).withColumn("ready", F.size(names) == 0)
+
+
+def ranks(df: DataFrame, value: str, by: str, **places: Callable[[Column], Column]) -> DataFrame:
+    """For each group the values at places (from 0) that are functions of its number of values, null where it has none.
+
+    Equal values are counted first, so a task holds the distinct values of a group at most.
+    """
+    g = W.partitionBy(by)
+    counts = df.groupBy(by, value).agg(F.count(value).alias("\x01n"))
+    counts = counts.withColumn("\x01upto", F.sum("\x01n").over(g.orderBy(value))).withColumn("\x01all", F.sum("\x01n").over(g))
+    return counts.groupBy(by).agg(*[F.min(F.when(F.col("\x01upto") > place(F.col("\x01all")), F.col(value))).alias(name) for name, place in places.items()])

@@ -69,7 +69,9 @@ def group_holdout(df: DataFrame, group: str, key: str, target: int, per_group: i
     locked key. The order of groups is decided on the driver from one row a
     group, of which there may be most_groups.
     """
-    stats = df.groupBy(group).agg(F.array_sort(F.collect_set(key)).alias("keys")).select(group, F.slice("keys", 1, 64 * per_group).alias("keys"), hash_order(seed, group).alias("h")).orderBy("h")
+    enough = max(target, least_groups * per_group) + per_group  # more than can be locked before a group, and its own
+    firsts = ranked(df.select(group, key).distinct(), group, [F.col(key).asc_nulls_last()], "\x01n").where(F.col("\x01n") <= enough)
+    stats = firsts.groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("keys")).select(group, "keys", hash_order(seed, group).alias("h")).orderBy("h")
     rows = stats.limit(most_groups + 1).collect()
     if len(rows) > most_groups:
         raise ValueError(f"more than {most_groups} groups")

@@ -48,15 +48,13 @@ def pct_linear(spark, sf):
 @query("pct_nearest_rank", """
 select lang, s[round_even((len(s) - 1) * 0.5, 0)::int + 1] as p50, s[round_even((len(s) - 1) * 0.9, 0)::int + 1] as p90 from (select lang, list_sort(list(n_chars)) as s from documents group by 1)""")
 def pct_nearest_rank(spark, sf):
-    s = Tables(spark, sf).documents.groupBy("lang").agg(F.array_sort(F.collect_list("n_chars")).alias("s"))
-    return s.select("lang", numbers.nearest_rank("s", 0.5).alias("p50"), numbers.nearest_rank("s", 0.9).alias("p90"))
+    return measure.ranks(Tables(spark, sf).documents, "n_chars", "lang", p50=lambda n: F.bround((n - 1) * F.lit(0.5)), p90=lambda n: F.bround((n - 1) * F.lit(0.9)))
 
 
 @query("pct_floor", """
 select lang, s[floor((len(s) - 1) * 0.5)::int + 1] as p50, s[floor((len(s) - 1) * 0.9)::int + 1] as p90 from (select lang, list_sort(list(n_chars)) as s from documents group by 1)""")
 def pct_floor(spark, sf):
-    s = Tables(spark, sf).documents.groupBy("lang").agg(F.array_sort(F.collect_list("n_chars")).alias("s"))
-    return s.select("lang", numbers.floor_rank("s", 0.5).alias("p50"), numbers.floor_rank("s", 0.9).alias("p90"))
+    return measure.ranks(Tables(spark, sf).documents, "n_chars", "lang", p50=lambda n: F.floor((n - 1) * F.lit(0.5)), p90=lambda n: F.floor((n - 1) * F.lit(0.9)))
 
 
 @query("profile", """

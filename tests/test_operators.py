@@ -71,6 +71,22 @@ def test_group_holdout(spark):
     assert len(out) == len(rows)
 
 
+def test_group_holdout_finds_free_keys_behind_taken_ones(spark):
+    df = spark.createDataFrame([(f"p{p:02}", f"k{k:02}") for p in range(80) for k in range(80)] + [("p00", None), ("none", None)], "paper string, key string")
+    locked = sample.group_holdout(df, "paper", "key", 80, 1, 2, 7).where("split = 'locked'").collect()
+    assert len({r["paper"] for r in locked}) == len({r["key"] for r in locked}) == len(locked) == 80
+
+
+def test_ranks_are_those_of_the_sorted_list(spark):
+    rows = [("a", v) for v in (5, 1, 1, 1, 9, 7, 7, 2, None)] + [("b", 3), ("c", None), (None, 4), (None, 6)] + [("d", v % 11) for v in range(100)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    for how, place in ((numbers.nearest_rank, lambda n, p: F.bround((n - 1) * F.lit(p))), (numbers.floor_rank, lambda n, p: F.floor((n - 1) * F.lit(p)))):
+        want = df.where("v is not null").groupBy("g").agg(F.array_sort(F.collect_list("v")).alias("s")).select("g", how("s", 0.5).alias("p50"), how("s", 0.9).alias("p90"))
+        got = measure.ranks(df, "v", "g", p50=lambda n: place(n, 0.5), p90=lambda n: place(n, 0.9))
+        assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted([*map(str, want.collect()), "Row(g='c', p50=None, p90=None)"])
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_entity_split_override(spark):
     df = spark.createDataFrame([("a", None), ("a", "test")], "k string, given string")
     s = sample.entity_split(F.col("k"), [("train", 1.0)], F.col("given"))
