@@ -84,7 +84,7 @@ def clean_prediction(x, prefixes: tuple[str, ...] = ("SMILES:", "Answer:", "Outp
     lines = F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), "\n"), trimmed), lambda s: (s != "") & ~F.lower(s).isin(*roles))
     out = F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(""))
     for p in prefixes:
-        out = F.when(F.startswith(out, F.lit(p)), trimmed(F.substring(out, len(p) + 1, 1 << 20))).otherwise(out)
+        out = F.when(F.startswith(out, F.lit(p)), trimmed(F.substring(out, F.lit(len(p) + 1), F.length(out)))).otherwise(out)
     return out
 
 

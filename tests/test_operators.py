@@ -60,6 +60,12 @@ def test_fold_is_stable_and_folds_cover(spark):
     assert df.collect() == spark.range(200).select(keys.fold(1, "id", 5).alias("f")).collect()
 
 
+def test_clean_prediction_keeps_a_long_tail(spark):
+    out = text.clean_prediction(F.concat(F.lit("Answer: "), F.repeat(F.lit("x"), 1_100_000), F.lit("end")))
+    row = spark.range(1).select(F.length(out).alias("n"), F.endswith(out, F.lit("end")).alias("whole")).first()
+    assert (row["n"], row["whole"]) == (1_100_003, True)
+
+
 def test_group_holdout(spark):
     rows = [(f"p{p}", f"k{p}{k}", i) for p in range(4) for k in range(2) for i in range(2)]
     df = spark.createDataFrame(rows, "paper string, key string, i int")
