@@ -113,10 +113,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, i
     ready = saved(nodes.select("node", "copies", "label", "v").mapInArrow(with_keys, f"node long, copies long, label {kind}, v array<double>, keys array<long>"))
     spot = ready.select("node", "copies", "label", "v", "keys", F.posexplode("keys").alias("table", "bucket")).withColumn("dim", F.size("v"))
     where = ["label", "dim", "table", "bucket"]
-    large = spot.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_together).withColumn("parts", F.ceil(F.col("n") / most_together).cast("int")).drop("n")
-    spot = spot.join(large, where, "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(0).cast("int"))
+    large = spot.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_together).withColumn("parts", F.ceil(F.col("n") / most_together).cast("int"))
+    large = saved(large)
+    copied = large.agg(F.sum(F.col("n") * (F.col("parts") - 1))).first()[0] or 0
+    spot = spot.join(large.drop("n"), where, "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(0).cast("int"))
     spot = spot.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    bins = max(1, nodes.count() * tables // 8000)
+    bins = max(1, (nodes.count() * tables + copied) // 8000)
     spot = spot.withColumn("meet", F.xxhash64(*where, "i", "j")).withColumn("bin", F.pmod("meet", F.lit(bins)))
 
     def compare(table: pa.Table) -> pa.Table:

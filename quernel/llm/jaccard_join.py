@@ -292,11 +292,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
     blocks = members.groupBy("coarse", "block").agg(F.count(F.lit(1)).alias("size"), F.max("upper").alias("any")).where("any and size > 1")
     members = members.join(blocks.select("coarse", "block", F.ceil(F.col("size") / most_together).cast("int").alias("parts")), ["coarse", "block"])
     members = saved(members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("coarse", "block", "upper", "node", "id", "parts", "part"))
-    n_members = members.count()
+    n_members, n_copies = members.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.col("parts") - 1, F.lit(1))), F.lit(0))).first()
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
     texts = rows.where(F.col("id").isNotNull()).join(F.broadcast(members) if n_members <= broadcast_rows else members, "id")
     texts = texts.withColumn("other", F.explode(others)).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    bins = max(1, n_members // 200)
+    bins = max(1, n_copies // 200)
     texts = texts.withColumn("bin", F.pmod(F.xxhash64("coarse", "block", "i", "j"), F.lit(bins))).select("bin", "coarse", "block", "i", "j", "upper", "node", "id", "text")
     links = texts.groupBy("bin").applyInArrow(link, "a long, b long")
     joined = components(links)

@@ -212,3 +212,19 @@ def test_no_cross_join_in_plans(spark):
     plan = substring_dedup.repeated_words(frame(spark, corpus(1)))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert F is not None
+
+
+def test_hot_groups_are_dealt_into_bounded_tasks(spark, monkeypatch):
+    kind, dealt = type(spark.range(1)), []
+    group = kind.groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda self, *c: (dealt.append(self) if c == ("bin",) else None, group(self, *c))[1])
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"own{i}"])) for i in range(400)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85, most_together=20).collect()
+    assert {x["component_id"] for x in got} == {0}
+    vectors = [(i, [1.0 + r.random() / 100 for _ in range(8)], 0) for i in range(3000)]
+    embedding_dedup.near_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int"), most_together=100)
+    assert len(dealt) == 2
+    texts, spots = (group(d, "bin").count().agg({"count": "max"}).first()[0] for d in dealt)
+    assert texts < 1000 and spots < 20_000, (texts, spots)
