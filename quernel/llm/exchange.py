@@ -54,10 +54,17 @@ def unpack_flags(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), count=n).astype(bool)
 
 
-def ranges(keys: np.ndarray, bits: int, n: int) -> np.ndarray:
-    """Where n equal ranges of all values of `bits` bits begin and end among ascending keys."""
-    edges = [(i << bits) // n for i in range(1, n)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
+def ranges(keys: np.ndarray, bits: int, n: int) -> list[tuple[int, int, int]]:
+    """Which of n equal ranges of all values of `bits` bits hold some of ascending keys: (range, first, last + 1) of each that does.
+
+    The work follows the keys, however many ranges there are.
+    """
+    if not len(keys):
+        return []
+    top = keys >> np.uint64(bits - 32) if bits >= 32 else keys << np.uint64(32 - bits)
+    which = (top * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    first = np.nonzero(np.concatenate([[True], which[1:] != which[:-1]]))[0]
+    return list(zip(which[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]))
 
 
 @dataclass(frozen=True)

@@ -6,9 +6,9 @@ of the lesser coordinates, so a box of an R-tree bounds the overlap with
 everything inside it, and pairs that survive are compared exactly.
 
 Which documents meet in a tree is decided without loss. Two sets that differ
-in at most d shingles agree wholly in all but d of their groups, so with more
-than d groups one agrees at least; documents with an equal group are brought
-together.
+in at most d shingles agree wholly in all but d of their groups, so of any more
+than d groups one agrees at least; documents with an equal group among their
+fullest are brought together.
 """
 
 from __future__ import annotations
@@ -73,45 +73,47 @@ def set_keys(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 class Classes:
-    """Classes of set sizes. A pair that links has sizes in one class or two adjacent ones; it meets in that of the larger."""
+    """Classes of set sizes. A pair that links has sizes in one class or two adjacent ones; it meets in that of the larger.
 
-    def __init__(self, percent: int):
-        self.percent, self.edges, self.groups = percent, [1], []
-
-    def upto(self, size: int) -> None:
-        """Classes for sets of up to `size` shingles, and the one after.
+    differ: the most shingles by which two linked sets can differ whose larger
+    is the greatest of the class. groups: some more than that, so that those
+    with the fewest shingles can be left out; none where only equal sets link.
+    """
 
-        groups: of the most by which two linked sets can differ whose larger
-        is the greatest of the class, one more, and one to spare; none where
-        only equal sets link.
-        """
+    def __init__(self, percent: int, size: int):
+        """Classes for sets of up to `size` shingles, and the one after."""
+        self.edges, differ = [1], []
         while len(self.edges) < 2 or self.edges[-2] <= size:
             low = self.edges[-1]
-            self.edges.append(max(low + 1, -(-low * 100 // self.percent)))
-            differ = 2 * (self.edges[-1] - 1) * (100 - self.percent) // (100 + self.percent)
-            self.groups.append(differ + 2 if differ else 0)
+            self.edges.append(max(low + 1, -(-low * 100 // percent)))
+            differ.append(2 * (self.edges[-1] - 1) * (100 - percent) // (100 + percent))
+        self.differ = np.array(differ)
+        self.groups = np.where(self.differ > 0, self.differ + self.differ // 8 + 2, 0)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.array(self.edges), sizes, "right") - 1
 
 
 def signatures(hashes: np.ndarray, begins: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the groups of each set, in the class of its size and in the next, and which set each is of.
-
-    A group that is empty counts only for sets in which more than the one
-    spare group is empty; for others another group agrees.
+    """Hashes of the fullest groups of each set, in the class of its size and in the next, and which set each is of.
+
+    Of each set only groups of c shingles or more count, c the greatest number
+    that leaves more groups than two linked sets can differ in. If both of a
+    linked pair leave out some, one with the larger c still has a group among
+    those left that agrees, and it counts for the other too. So groups of one
+    or two shingles, in which texts that share a phrase agree by chance, are
+    left out of all but small sets.
     """
     sizes = np.diff(begins)
     full = np.nonzero(sizes)[0]
     if not len(full):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    classes = Classes(percent)
-    classes.upto(int(sizes.max()))
+    classes = Classes(percent, int(sizes.max()))
     spread, value = mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(8), mixed(hashes)
     out_s, out_d = [], []
     for step in (0, 1):
-        kind = classes.of(sizes) + step
-        groups = np.where(sizes > 0, np.array(classes.groups)[np.minimum(kind, len(classes.groups) - 1)], 0)
+        kind = np.minimum(classes.of(sizes) + step, len(classes.groups) - 1)
+        groups = np.where(sizes > 0, classes.groups[kind], 0)
         first = np.cumsum(groups) - groups
         use = np.repeat(groups > 0, sizes)
         doc = np.repeat(np.arange(len(sizes)), sizes)[use]
@@ -120,8 +122,11 @@ def signatures(hashes: np.ndarray, begins: np.ndarray, percent: int) -> tuple[np
         sums, count = grouped_sum(value[use], slot, total), np.bincount(slot, minlength=total)
         owner = np.repeat(np.arange(len(sizes)), groups)
         place = np.arange(total) - first[owner]
-        empty = np.bincount(owner[count == 0], minlength=len(sizes))
-        keep = (count > 0) | (empty[owner] > 1)
+        some = np.nonzero(groups)[0]
+        fullest = np.sort(owner * (int(count.max(initial=0)) + 1) - count)[first[some] + classes.differ[kind[some]]]
+        least = np.zeros(len(sizes), np.int64)
+        least[some] = some * (int(count.max(initial=0)) + 1) - fullest
+        keep = count >= least[owner]
         label = (kind[owner].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)
         out_s.append(mixed(mixed(label) + sums)[keep])
         out_d.append(owner[keep])
@@ -209,7 +214,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Ite
             yield batch.slice(at, rows)
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", most_together: int = 2500, broadcast_rows: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", most_together: int = 512, broadcast_rows: int = 500_000) -> DataFrame:
     """(id, n_shingles, component_id): sets of shingles, and the least id that links reach.
 
     Two documents link if 100 x intersection >= percent x union. Empty sets
@@ -219,10 +224,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
 
     Equal sets are one node from the start, however many rows have them.
     Candidates are counted in components of documents that agree in a group.
-    One of more than most_together nodes is cut by the sizes of its sets, each
-    meeting those of its class and of the next; what is still larger is cut
-    into parts, and each pair of parts compared by a task of its own. What one
-    comparison needs is bounded by 2 x most_together sets.
+    One of more than most_together nodes, or of more shingles than 4,096 times
+    that, is cut by the sizes of its sets, each meeting those of its class and
+    of the next; what is still larger is cut into parts, and each pair of parts
+    compared by a task of its own. What one comparison needs is bounded by
+    2 x most_together sets and by their shingles.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     ranges_n = Deal.of(rows, "text").groups
@@ -244,9 +250,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
             sig, node = sig[order], node[order]
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]) if len(sig) else np.zeros(0, bool)
             sig, node = sig[new], node[new]
-            cut = ranges(sig, 64, ranges_n)
             del hashes, doc, order, new
-            out = [(b, pack_sorted(sig[lo:hi]), node[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
+            out = [(b, pack_sorted(sig[lo:hi]), node[lo:hi].tobytes()) for b, lo, hi in ranges(sig, 64, ranges_n)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["range", "sig", "node"])
 
     def meet(table: pa.Table) -> pa.Table:
@@ -282,15 +287,16 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
 
     sets = saved(rows.mapInArrow(scan, "id long, n_shingles long, node long"))
     agree = rows.mapInArrow(ask, "range int, sig binary, node binary").groupBy("range").applyInArrow(meet, "a long, b long")
-    coarse = saved(components(agree).withColumnRenamed("component", "coarse"))
-    sizes = coarse.groupBy("coarse").agg(F.count(F.lit(1)).alias("size"))
-    large = sizes.where(F.col("size") > most_together).select("coarse", F.lit(True).alias("large"))
+    coarse = components(agree).withColumnRenamed("component", "coarse")
     first = sets.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"))
+    coarse = saved(coarse.join(first, "node"))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / most_together, F.sum("n") / (4096 * most_together))).cast("int")
+    large = coarse.groupBy("coarse").agg(parts.alias("parts")).where("parts > 1").select("coarse", F.lit(True).alias("large"))
     kind = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.000001)).cast("int")
-    members = coarse.join(large, "coarse", "left").join(first, "node").withColumn("own", F.when(F.col("large"), kind).otherwise(-1))
+    members = coarse.join(large, "coarse", "left").withColumn("own", F.when(F.col("large"), kind).otherwise(-1))
     members = members.withColumn("block", F.explode(F.when(F.col("large"), F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array(F.lit(-1))))).withColumn("upper", F.col("block") == F.col("own"))
-    blocks = members.groupBy("coarse", "block").agg(F.count(F.lit(1)).alias("size"), F.max("upper").alias("any")).where("any and size > 1")
-    members = members.join(blocks.select("coarse", "block", F.ceil(F.col("size") / most_together).cast("int").alias("parts")), ["coarse", "block"])
+    blocks = members.groupBy("coarse", "block").agg(F.count(F.lit(1)).alias("size"), F.max("upper").alias("any"), parts.alias("parts")).where("any and size > 1")
+    members = members.join(blocks.select("coarse", "block", "parts"), ["coarse", "block"])
     members = saved(members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("coarse", "block", "upper", "node", "id", "parts", "part"))
     n_members, n_copies = members.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.col("parts") - 1, F.lit(1))), F.lit(0))).first()
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))

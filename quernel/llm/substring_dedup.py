@@ -88,8 +88,7 @@ def repeated_words(docs: DataFrame, length: int = 13, id_column: str = "doc_id",
         out: list[tuple] = []
         for row, hashes in enumerate((h1, h2)):
             columns, twice = sketch(hashes, doc, bits)
-            cut = ranges(columns, bits, n)
-            out += [(row, b, group, pack_sorted(columns[lo:hi]), pack_flags(twice[lo:hi])) for b, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
+            out += [(row, b, group, pack_sorted(columns[lo:hi]), pack_flags(twice[lo:hi])) for b, lo, hi in ranges(columns, bits, n)]
         return pa.Table.from_pylist([dict(zip(asked.names, x)) for x in out], asked)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -105,14 +104,12 @@ def repeated_words(docs: DataFrame, length: int = 13, id_column: str = "doc_id",
         found = {(r, b): unpack_flags(f, k) for r, b, f, k in zip(*(answers.column(c).to_pylist() for c in ("row", "range", "often", "n")))}
         for row, hashes in enumerate((h1, h2)):
             columns, _ = sketch(hashes, doc, bits)
-            cut = ranges(columns, bits, n)
-            flags = np.concatenate([found[row, b] for b, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]) if len(columns) else np.zeros(0, bool)
+            flags = np.concatenate([np.zeros(0, bool), *(found[row, b] for b, _, _ in ranges(columns, bits, n))])
             often &= flags[np.searchsorted(columns, hashes >> np.uint64(64 - bits))] if len(columns) else False
         h1, h2, ids = h1[often], h2[often] >> np.uint64(32), texts.ids[doc[often]]
         first = least(h1, h2, ids)
         h1, h2, ids = h1[first], h2[first], ids[first]
-        cut = ranges(h1, 64, n)
-        out = [(b, group, pack_sorted(h1[lo:hi]), pack(h2[lo:hi]), int(ids[lo:hi].min()), pack((ids[lo:hi] - ids[lo:hi].min()).astype(np.uint64))) for b, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
+        out = [(b, group, pack_sorted(h1[lo:hi]), pack(h2[lo:hi]), int(ids[lo:hi].min()), pack((ids[lo:hi] - ids[lo:hi].min()).astype(np.uint64))) for b, lo, hi in ranges(h1, 64, n)]
         return pa.Table.from_pylist([dict(zip(exact.names, x)) for x in out], exact)
 
     def group_exactly(table: pa.Table) -> pa.Table:

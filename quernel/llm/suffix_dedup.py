@@ -279,8 +279,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
         group = table.column("\x01group")[0].as_py()
         _, _, doc, anchor, _ = blocks(Texts.of(table, id_column, text_column), length, part)
         columns, twice = sketch(anchor, doc, bits)
-        cut = ranges(columns, bits, n)
-        out = [(b, group, pack_sorted(columns[lo:hi]), pack_flags(twice[lo:hi])) for b, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
+        out = [(b, group, pack_sorted(columns[lo:hi]), pack_flags(twice[lo:hi])) for b, lo, hi in ranges(columns, bits, n)]
         return pa.Table.from_pylist([dict(zip(asked.names, x)) for x in out], asked)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -292,9 +291,8 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
         texts = Texts.of(table, id_column, text_column)
         _, _, doc, anchor, stretch = blocks(texts, length, part)
         columns, _ = sketch(anchor, doc, bits)
-        cut = ranges(columns, bits, n)
         found = {b: unpack_flags(f, k) for b, f, k in zip(*(answers.column(c).to_pylist() for c in ("range", "often", "n")))}
-        flags = [found[b] for b, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
+        flags = [found[b] for b, _, _ in ranges(columns, bits, n)]
         often = np.nonzero(np.concatenate(flags)[np.searchsorted(columns, anchor >> np.uint64(64 - bits))])[0] if flags else np.zeros(0, np.int64)
         order = np.lexsort((texts.ids[doc[often]], stretch[often]))
         f = stretch[often][order]
