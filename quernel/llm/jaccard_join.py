@@ -8,7 +8,10 @@ everything inside it, and pairs that survive are compared exactly.
 Which documents meet in a tree is decided without loss. Two sets that differ
 in at most d shingles agree wholly in all but d of their groups, so of any more
 than d groups one agrees at least; documents with an equal group among their
-fullest are brought together.
+fullest are candidates. More groups are kept than one, so linked sets agree in
+several: of a set's signatures that others have too, ordered alike for all sets
+with the rarest first, the last few can be left out, and what texts agree in by
+chance goes with them.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.llm.components import Forest, components
@@ -32,6 +35,7 @@ _fold[65:91] += 32
 _folded = _bytes.of_byte[_fold]
 COORDINATES = 128
 LEAF = 16
+CLASS = 4095
 
 
 def shingle_sets(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +80,9 @@ class Classes:
     """Classes of set sizes. A pair that links has sizes in one class or two adjacent ones; it meets in that of the larger.
 
     differ: the most shingles by which two linked sets can differ whose larger
-    is the greatest of the class. groups: some more than that, so that those
-    with the fewest shingles can be left out; none where only equal sets link.
+    is the greatest of the class. agree: in how many groups they agree then, of
+    those that are kept. groups: some more than both, so that those with the
+    fewest shingles can be left out; none where only equal sets link.
     """
 
     def __init__(self, percent: int, size: int):
@@ -88,7 +93,8 @@ class Classes:
             self.edges.append(max(low + 1, -(-low * 100 // percent)))
             differ.append(2 * (self.edges[-1] - 1) * (100 - percent) // (100 + percent))
         self.differ = np.array(differ)
-        self.groups = np.where(self.differ > 0, self.differ + self.differ // 8 + 2, 0)
+        self.agree = self.differ // 4 + 2
+        self.groups = np.where(self.differ > 0, self.differ + self.agree + self.differ // 8, 0)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.array(self.edges), sizes, "right") - 1
@@ -98,11 +104,9 @@ def signatures(hashes: np.ndarray, begins: np.ndarray, percent: int) -> tuple[np
     """Hashes of the fullest groups of each set, in the class of its size and in the next, and which set each is of.
 
     Of each set only groups of c shingles or more count, c the greatest number
-    that leaves more groups than two linked sets can differ in. If both of a
-    linked pair leave out some, one with the larger c still has a group among
-    those left that agrees, and it counts for the other too. So groups of one
-    or two shingles, in which texts that share a phrase agree by chance, are
-    left out of all but small sets.
+    that leaves `differ` + `agree` groups or more. Of two linked sets take the
+    one with the larger c: `agree` of its groups are the other's too, and as
+    full there. The last 12 bits of a hash are the class.
     """
     sizes = np.diff(begins)
     full = np.nonzero(sizes)[0]
@@ -123,12 +127,12 @@ def signatures(hashes: np.ndarray, begins: np.ndarray, percent: int) -> tuple[np
         owner = np.repeat(np.arange(len(sizes)), groups)
         place = np.arange(total) - first[owner]
         some = np.nonzero(groups)[0]
-        fullest = np.sort(owner * (int(count.max(initial=0)) + 1) - count)[first[some] + classes.differ[kind[some]]]
+        fullest = np.sort(owner * (int(count.max(initial=0)) + 1) - count)[first[some] + classes.differ[kind[some]] + classes.agree[kind[some]] - 1]
         least = np.zeros(len(sizes), np.int64)
         least[some] = some * (int(count.max(initial=0)) + 1) - fullest
         keep = count >= least[owner]
         label = (kind[owner].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)
-        out_s.append(mixed(mixed(label) + sums)[keep])
+        out_s.append((mixed(mixed(label) + sums) & ~np.uint64(CLASS) | kind[owner].astype(np.uint64) & np.uint64(CLASS))[keep])
         out_d.append(owner[keep])
     return np.concatenate(out_s), np.concatenate(out_d)
 
@@ -223,7 +227,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
     docs aren't read.
 
     Equal sets are one node from the start, however many rows have them.
-    Candidates are counted in components of documents that agree in a group.
+    Candidates are compared in components of documents that agree in a group.
     One of more than most_together nodes, or of more shingles than 4,096 times
     that, is cut by the sizes of its sets, each meeting those of its class and
     of the next; what is still larger is cut into parts, and each pair of parts
@@ -259,10 +263,14 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
         node = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("node").to_pylist()]).view(np.int64)
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
-        heads = np.concatenate([[True], sig[1:] != sig[:-1]])
-        low = node[np.nonzero(heads)[0]][np.cumsum(heads) - 1]
-        pairs = np.unique(np.stack([node, low])[:, node != low], axis=1)
-        return pa.table([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+        sig, node = sig[new], node[new]
+        heads = np.nonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))[0]
+        size = np.diff(np.append(heads, len(sig)))
+        size = np.repeat(size, size)
+        shared = size > 1
+        agree = Classes(percent, 1 << 40).agree[(sig[shared] & np.uint64(CLASS)).astype(np.int64)] if shared.any() else size[:0]
+        return pa.table([pa.array(sig[shared].view(np.int64)), pa.array(node[shared]), pa.array(size[shared], pa.int64()), pa.array(agree, pa.int64())], names=["sig", "node", "size", "agree"])
 
     def link(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("coarse", "block", "i", "j", "node")])
@@ -286,8 +294,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
         return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_a, out_b)], names=["a", "b"])
 
     sets = saved(rows.mapInArrow(scan, "id long, n_shingles long, node long"))
-    agree = rows.mapInArrow(ask, "range int, sig binary, node binary").groupBy("range").applyInArrow(meet, "a long, b long")
-    coarse = components(agree).withColumnRenamed("component", "coarse")
+    shared = rows.mapInArrow(ask, "range int, sig binary, node binary").groupBy("range").applyInArrow(meet, "sig long, node long, size long, agree long")
+    commonest = Window.partitionBy("node", F.col("sig").bitwiseAND(CLASS)).orderBy(F.desc("size"), F.desc("sig"))
+    shared = saved(shared.withColumn("place", F.row_number().over(commonest)).where("place >= agree").select("sig", "node"))
+    least_node = shared.groupBy("sig").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sig", "b")
+    coarse = components(shared.join(least_node, "sig").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "coarse")
     first = sets.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"))
     coarse = saved(coarse.join(first, "node"))
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / most_together, F.sum("n") / (4096 * most_together))).cast("int")
