@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.chunks import Kept, chunks
+from quernel.llm.chunks import Kept, chunks, held
 
 
 class Vocabulary:
@@ -30,7 +30,7 @@ class Vocabulary:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = Kept(1_000_000)
+        self._pairs: dict[int, bool] = Kept(300_000)  # by left << 32 | right
         self._single: dict[int, bool] = {}
         self._spines: dict[int, tuple[list[bytes], list[bytes]]] = {}
 
@@ -84,7 +84,7 @@ class Vocabulary:
         part that opens the right one would merge before either grows. Parts
         grow in the order of their ranks; among equal ranks the leftmost goes first.
         """
-        if (known := self._pairs.get((left, right))) is not None:
+        if (known := self._pairs.get(left << 32 | right)) is not None:
             return known
         ranks, a, b, i, j, known = self.ranks, self.spines(left)[1], self.spines(right)[0], 0, 0, True
         while known:
@@ -100,7 +100,7 @@ class Vocabulary:
             else:
                 j += 1
         self._pairs.room(1)
-        self._pairs[left, right] = known
+        self._pairs[left << 32 | right] = known
         return known
 
 
@@ -123,7 +123,7 @@ class PrefixEncoder:
                 token = ranks.get(data[start:end])
                 if token is None:
                     continue
-                known = pairs.get((last[start], token))
+                known = pairs.get(last[start] << 32 | token)
                 if known or known is None and stands(token) and (start == 0 or follows(last[start], token)):
                     break
             last.append(token)
@@ -147,9 +147,9 @@ class PrefixEncoder:
 class Encoder:
     """Encodes texts: each match of `pattern` separately, whole tokens first."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, most_kept: int = 250_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, most_kept: int = 300_000):
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
-        self.kept, self.pieces, self.last = Kept(most_kept), Kept(most_kept), Kept(2 * most_kept)
+        self.kept, self.last = Kept(most_kept), Kept(most_kept)
 
     def piece(self, piece: str) -> list[int]:
         """The ids of one match: the last tokens of its prefixes, those met before from memory."""
@@ -171,7 +171,7 @@ class Encoder:
                     before = last.get(data[:start])
                     if before is None:  # the memory was emptied meanwhile
                         return PrefixEncoder(self.vocabulary).append(data).tokens()
-                    if (ok := pairs.get((before, token))) or ok is None and allowed(before, token):
+                    if (ok := pairs.get(before << 32 | token)) or ok is None and allowed(before, token):
                         break
             else:
                 token = ranks[data[:end]]
@@ -189,43 +189,37 @@ class Encoder:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = []
-        for p in self.find(chunk):
-            if (known := self.pieces.get(p)) is None and (known := self.pieces.again(p)) is None:
-                known = self.piece(p)
-                if len(p) <= 64:
-                    self.pieces.room(1)
-                    self.pieces[p] = known
-            ids += known
-        return b",".join(b"%d" % i for i in ids), self.decode(ids)
+    def _known(self, chunk: str) -> tuple[bytes, bytes]:
+        """The ids of a chunk or match in decimal, joined by commas, and the bytes that they decode to; short ones from memory."""
+        if (known := self.kept.get(chunk)) is not None or (known := self.kept.again(chunk)) is not None:
+            return known
+        if len(found := self.find(chunk)) == 1:
+            known = self._written(self.piece(found[0]))
+        else:  # a match counts as a chunk if it is one match by itself too
+            ids, decoded = zip(*(self._known(p) if self.find(p) == [p] else self._written(self.piece(p)) for p in found))
+            known = b",".join(ids), b"".join(decoded)
+        if len(chunk) <= 64:
+            self.kept.room(1)
+            self.kept[chunk] = known
+        return known
+
+    def _written(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return ",".join(map(str, ids)).encode(), self.decode(ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, sha256 of the ids joined by commas, sha256 of the bytes decoded from them."""
-        parts = chunks(text)
+        parts = [c for c in chunks(text) if c]
         found = list(map(self.kept.get, parts))
         if None in found:
-            for i, c in enumerate(parts):
-                if found[i] is None:
-                    if (known := self.kept.get(c)) is None and (known := self.kept.again(c)) is None:
-                        known = self._chunk(c)
-                        if len(c) <= 64:
-                            self.kept.room(1)
-                            self.kept[c] = known
-                    found[i] = known
-        ids, decoded = zip(*found)
-        joined = b",".join(filter(None, ids))
+            found = [self._known(c) if x is None else x for c, x in zip(parts, found)]
+        ids, decoded = zip(*found) if found else ((), ())
+        joined = b",".join(ids)
         return joined.count(b",") + 1 if joined else 0, hashlib.sha256(joined).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder_of(path: str, pattern: str) -> Encoder:
     """The encoder of a vocabulary file, made once a process."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(Vocabulary.from_file(path), pattern)
-    return _encoders[path, pattern]
+    return held(("bpe", path, pattern), lambda: Encoder(Vocabulary.from_file(path), pattern))
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -8,7 +8,11 @@ and recur, so what they encode to can be kept.
 
 from __future__ import annotations
 
+import ctypes
 import re
+from collections.abc import Callable
+
+import pyarrow as pa
 
 #: Every character that Python or Unicode counts as white space.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -60,3 +64,21 @@ class Kept(dict):
             self.room(1)
             self[key] = value
         return value
+
+
+_held: dict = {}
+
+
+def held(key, make: Callable[[], object]):
+    """What `make` made for a key in this process; what it held for another key goes first, and freed memory back to the system.
+
+    Python workers outlive stages, so without this the memories of one
+    operator would stay beside those of the next.
+    """
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+        _held[key] = make()
+    return _held[key]

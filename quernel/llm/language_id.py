@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.chunks import Kept
+from quernel.llm.chunks import Kept, held
 from quernel.llm.shared import hashed_sample, id_crc32
 
 UNKNOWN = "und"
@@ -169,9 +169,6 @@ class Scorer:
         return self.model.languages[int(p.argmax())], float(min(1.0, p.max()))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text", lang_to: str = "lang_pred", score_to: str = "score", rejected_to: str = "rejected") -> DataFrame:
     """docs with the predicted language, its calibrated score and whether the prediction is rejected.
 
@@ -186,10 +183,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text", l
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        scorer = _scorers[key]
+        scorer = held(key, lambda: Scorer(shared.value))
         for batch in batches:
             found = [scorer(t) for t in batch.column(len(keep)).to_pylist()]
             langs, scores = [f[0] for f in found], [f[1] for f in found]

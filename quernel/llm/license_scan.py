@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.llm.chunks import held
+
 _GNU = (("GPL-3.0", "General Public", "3"), ("GPL-2.0", "General Public", "2"), ("LGPL-3.0", "Lesser General Public", "3"), ("LGPL-2.1", "Lesser General Public", "2.1"), ("LGPL-2.0", "Library General Public", "2"), ("AGPL-3.0", "Affero General Public", "3"))
 _GNU_SHORT = (("GPL-3.0", "GPL", "3"), ("GPL-2.0", "GPL", "2"), ("LGPL-3.0", "LGPL", "3"), ("LGPL-2.1", "LGPL", "2.1"), ("AGPL-3.0", "AGPL", "3"))
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
@@ -246,9 +248,6 @@ class LicenseScanner:
         return [hit for start, end in blocks(text, self.reach) for hit in self.scan_block(text, start, end)]
 
 
-_scanners: dict[tuple, LicenseScanner] = {}
-
-
 def license_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each notice whose licence is confirmed: id, start and end (characters), license, saved, lacking, inserted, block.
 
@@ -258,9 +257,7 @@ def license_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if templates not in _scanners:
-            _scanners[templates] = LicenseScanner(templates)
-        scanner = _scanners[templates]
+        scanner = held(("licenses", templates), lambda: LicenseScanner(templates))
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

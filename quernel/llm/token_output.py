@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quernel.llm.chunks import Kept, chunks, splits_plainly
+from quernel.llm.chunks import Kept, chunks, held, splits_plainly
 from quernel.llm.shared import hashed_sample, new_folder, split_count, text_bytes
 
 MAGIC, END = b"QTOK0001", b"QEND"
@@ -125,13 +125,9 @@ class TextEncoder:
         return b"".join(found)[self.width :] + self._bytes(last)
 
 
-_encoders: dict[str, TextEncoder] = {}
-
-
 def text_encoder(path: str) -> TextEncoder:
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+    """The encoder of a tokenizers file, made once a process."""
+    return held(("tokens", path), lambda: TextEncoder(path))
 
 
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
