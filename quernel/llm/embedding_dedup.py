@@ -67,6 +67,12 @@ class Codes:
         return estimate + self.spread[mine, None]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that squares neither overflow nor vanish; cosines stay as they are."""
+    _, exponent = np.frexp(np.abs(x).max(1, keepdims=True))
+    return np.ldexp(x, -exponent)
+
+
 def exact_cosines(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (na * nb)
 
@@ -76,7 +82,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, i
 
     Vectors that are null, empty, zero or hold null or non-finite components,
     and those of a null label or id, link with nothing; so do vectors of
-    different lengths with one another. Equal vectors of a label are one from
+    different lengths with one another; size makes no difference, huge and tiny
+    vectors link as others do. Equal vectors of a label are one from
     the start and count as many links as they are rows. A row comes back for
     each row; component_id is the least id that links reach, kept whether that
     is the row's own. Other columns aren't read.
@@ -87,18 +94,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, i
     its own; a pair is counted in the first table that it meets in, and no pair
     leaves a task: tasks return counts and the links of a spanning forest.
     """
-    v = F.col(vector_column).cast("array<double>")
+    single = vectors.schema[vector_column].dataType.simpleString() == "array<float>"
+    vector = "array<float>" if single else "array<double>"
+    v = F.col(vector_column).cast(vector)
     good = F.coalesce(F.col(id_column).isNotNull() & F.col(label_column).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).alias("label"), v.alias("v"), good.alias("good"))
-    rows = saved(rows.withColumn("key", F.when(F.col("good"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: (x + 0.0).cast("string"))), 256))))
+    rows = saved(rows.withColumn("key", F.when(F.col("good"), F.sha2(F.concat_ws(",", F.length(F.col("label").cast("string")), F.col("label").cast("string"), F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))), 256))))
     nodes = saved(rows.where("good").groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")))
     largest = nodes.groupBy("label", F.size("v")).count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(largest, cosine, miss)
 
     def keyed(table: pa.Table) -> pa.RecordBatch:
-        x = np.array(table.column("v").to_pylist(), float)
-        unit = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
-        return table_keys(unit, bits, tables)
+        x = scaled(np.array(table.column("v").to_pylist(), float))
+        return table_keys(x / np.linalg.norm(x, axis=1, keepdims=True), bits, tables).astype(np.int32)
 
     def with_keys(batches):
         for batch in batches:
@@ -106,11 +114,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, i
             for dim in np.unique(sizes):
                 part = pa.Table.from_batches([batch]).filter(pa.array(sizes == dim))
                 keys = keyed(part)
-                part = part.append_column("keys", pa.array(list(keys), pa.list_(pa.int64())))
+                part = part.append_column("keys", pa.array(list(keys), pa.list_(pa.int32())))
                 yield from part.to_batches()
 
     kind = vectors.schema[label_column].dataType.simpleString()
-    ready = saved(nodes.select("node", "copies", "label", "v").mapInArrow(with_keys, f"node long, copies long, label {kind}, v array<double>, keys array<long>"))
+    ready = saved(nodes.select("node", "copies", "label", "v").mapInArrow(with_keys, f"node long, copies long, label {kind}, v {vector}, keys array<int>"))
     spot = ready.select("node", "copies", "label", "v", "keys", F.posexplode("keys").alias("table", "bucket")).withColumn("dim", F.size("v"))
     where = ["label", "dim", "table", "bucket"]
     large = spot.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_together).withColumn("parts", F.ceil(F.col("n") / most_together).cast("int"))
@@ -126,14 +134,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, i
         node, copies, meet, part, number = (table.column(c).to_numpy() for c in ("node", "copies", "meet", "part", "table"))
         sizes = np.array(table.column("dim").to_pylist())
         cuts = np.concatenate([[0], np.nonzero((meet[1:] != meet[:-1]) | (number[1:] != number[:-1]) | (sizes[1:] != sizes[:-1]))[0] + 1, [len(table)]])
-        keys_all = np.array(table.column("keys").to_pylist(), np.int64)
+        keys_all = np.array(table.column("keys").to_pylist(), np.int32)
         flat = table.column("v").combine_chunks()
         values, offsets = flat.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
         links, edges = np.zeros(len(node), np.int64), []
         for lo, hi in zip(cuts, cuts[1:]):
             if hi - lo < 2:
                 continue
-            x = values[offsets[lo] : offsets[hi]].reshape(hi - lo, -1)
+            x = scaled(values[offsets[lo] : offsets[hi]].reshape(hi - lo, -1).astype(float))
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             unit, keys, t = x / norm[:, None], keys_all[lo:hi], number[lo]
             codes, ours = Codes(unit), part[lo:hi]

@@ -186,6 +186,12 @@ def test_embeddings_are_as_brute_force(spark, together):
     assert got[None][0] == 0 and len(links) > 200
 
 
+def test_embeddings_of_odd_labels_and_sizes(spark):
+    rows = [(1, [1.0, 2.0], "a"), (2, [2.0], "a,1.0"), (3, [1e200, 1e200], "b"), (4, [2e200, 2e200], "b"), (5, [1e-310, 1e-310], "b"), (6, [1e-200, 1e-200], "c"), (7, [1e200, 3e200], "c"), (8, [1e-200, 3e-200], "c"), (9, [1.0, 2.0], "a"), (10, [1.0, 2.0], ""), (11, [1.0, 2.0], ",")]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6), 7: (1, 7), 8: (1, 7), 9: (1, 1), 10: (0, 10), 11: (0, 11)}
+
+
 def test_embeddings_of_nothing(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
