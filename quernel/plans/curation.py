@@ -169,25 +169,32 @@ def edit_similarity(spark, sf):
     return Tables(spark, sf).part.select("p_partkey", F.round(text.edit_similarity("p_name", "p_brand"), 9).alias("similarity"))
 
 
-def _odd(c: str) -> str:
-    return f"(length(url) - length(replace(url, '{c}', '')))"
-
-
-@query("penalty_score", f"""
-select page_id, case when coalesce(url, '') = '' then 1000 else 3 * (abs({_odd('(')} - {_odd(')')}) + abs({_odd('[')} - {_odd(']')})) + {' + '.join(f"({_odd(str(d))} % 2)" for d in range(1, 10))}
-  + 5 * ({' + '.join(f"contains(lower(url), '{w}')::int" for w in text.LEAKAGE)}) + case when length(url) > 512 then 4 else 0 end end::int as penalty from pages""")
+@query("penalty_score", r"""
+with t as (select page_id, regexp_replace(coalesce(url, ''), '^\s+|\s+$', '', 'g') as t from pages),
+c as (select page_id, t, regexp_replace(t, '\s+', '', 'g') as c from t),
+m as (select page_id, t, c, length(c) - length(replace(c, '(', '')) as o, length(c) - length(replace(c, ')', '')) as e, length(c) - length(replace(c, '[', '')) as p, length(c) - length(replace(c, ']', '')) as q,
+  len(list_filter(range(10), lambda d: ((length(c) - length(replace(c, d::varchar, ''))) - (length(c) - length(replace(c, '%' || d, ''))) // 2) % 2 = 1)) as single,
+  len(list_filter(range(100), lambda d: ((length(c) - length(replace(c, '%' || lpad(d::varchar, 2, '0'), ''))) // 3) % 2 = 1)) as double from c)
+select page_id, case when t = '' then 1000 else (t <> c)::int * 2 + 4 * (abs(o - e) + abs(p - q)) + 3 * (single + double)
+  + 8 * (contains(lower(t), 'smiles')::int + contains(lower(t), 'assistant')::int + contains(lower(t), 'user')::int + contains(lower(t), 'molecule')::int + contains(lower(t), 'canonical')::int + contains(lower(t), 'ocr')::int)
+  + case when length(c) > 256 then least(50, (length(c) - 256) // 16) else 0 end end::int as penalty from m""")
 def penalty_score(spark, sf):
     return Tables(spark, sf).pages.select("page_id", text.structure_penalty("url").alias("penalty"))
 
 
-@query("clean_prefixes", r"""
-with l as (select conv_id, turn, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '' and lower(s) not in ('user', 'assistant', 'system')) as ls from conversations),
-f as (select conv_id, turn, coalesce(ls[-1], '') as s from l),
-g as (select conv_id, turn, case when starts_with(s, 'SMILES:') then regexp_replace(substr(s, 8), '^\s+|\s+$', '', 'g') else s end as s from f),
-h as (select conv_id, turn, case when starts_with(s, 'Answer:') then regexp_replace(substr(s, 8), '^\s+|\s+$', '', 'g') else s end as s from g)
-select conv_id, turn, case when starts_with(s, 'Output:') then regexp_replace(substr(s, 8), '^\s+|\s+$', '', 'g') else s end as answer from h""")
+def _cut(openings: list[str]) -> str:
+    """SQL: the trimmed text without each opening in turn."""
+    out = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+    steps = [f"s0 as (select conv_id, turn, {out} as s from conversations)"]
+    for i, o in enumerate(openings):
+        steps.append(rf"s{i + 1} as (select conv_id, turn, case when starts_with(s, '{o}') then regexp_replace(substr(s, {len(o) + 1}), '^\s+|\s+$', '', 'g') else s end as s from s{i})")
+    return ", ".join(steps) + rf", l as (select conv_id, turn, list_filter(list_transform(regexp_split_to_array(s, '[\n\r\x0b\x0c]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as ls from s{len(openings)})"
+
+
+@query("clean_prefixes", f"""with {_cut(['tell', 'User:tell', 'User: tell', 'user:tell', 'user: tell', 'assistant', 'Assistant', 'user', 'User', 'User:', 'user:', 'Assistant:', 'assistant:', 'OCR:'])}
+select conv_id, turn, coalesce(list_filter(ls, lambda x: lower(x) not in ('assistant', 'assistant:', 'user', 'user:'))[-1], ls[-1], '') as answer from l""")
 def clean_prefixes(spark, sf):
-    return Tables(spark, sf).conversations.select("conv_id", "turn", text.clean_prediction("text").alias("answer"))
+    return Tables(spark, sf).conversations.select("conv_id", "turn", text.clean_prediction("text", "tell").alias("answer"))
 
 
 @query("slug_id", r"""
@@ -203,10 +210,12 @@ def url_parts(spark, sf):
 
 
 @query("lexical_validity", r"""
-select p_partkey, coalesce(p_name, '') <> '' and regexp_full_match(p_name, '[A-Za-z0-9@+\-\[\]()=#$:/\\%*.]+') and not contains(p_name, '.')
-  and length(replace(p_name, '(', '')) = length(replace(p_name, ')', '')) and length(replace(p_name, '[', '')) = length(replace(p_name, ']', '')) as valid from part""")
+with t as (select page_id, regexp_replace(coalesce(url, ''), '\s+', '', 'g') as t from pages)
+select page_id, array_to_string(list_filter([case when t = '' then 'empty' end, case when contains(t, '.') then 'multi_fragment' end,
+  case when not regexp_full_match(t, '[A-Za-z0-9@+\-\[\]()=#%\\/.]+') then 'unsupported_character' end,
+  case when length(replace(t, '(', '')) <> length(replace(t, ')', '')) or length(replace(t, '[', '')) <> length(replace(t, ']', '')) then 'unbalanced_delimiter' end], lambda x: x is not null), ',') as issues from t""")
 def lexical_validity(spark, sf):
-    return Tables(spark, sf).part.select("p_partkey", text.lexical_valid("p_name").alias("valid"))
+    return Tables(spark, sf).pages.select("page_id", F.array_join(text.lexical_issues("url"), ",").alias("issues"))
 
 
 @query("hash_keys", """

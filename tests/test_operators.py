@@ -38,6 +38,9 @@ def test_lexical_valid(spark, t, ok):
 def test_tokens_fall_back_to_characters(spark):
     assert one(spark, text.tokens(F.lit("BrC"))) == ["Br", "C"]
     assert one(spark, text.tokens(F.lit("C C"))) == ["C", " ", "C"]
+    assert one(spark, text.tokens(F.lit("NaCl[nH]%12"))) == ["Na", "Cl", "[nH]", "%12"]
+    assert one(spark, text.tokens(F.lit("ClSi[nH]%12"))) == ["Cl", "Si", "[nH]", "%12"]
+    assert one(spark, text.tokens(F.lit("CH"))) == ["C", "H"]
 
 
 def test_bag_overlap_counts_repeats(spark):
@@ -46,7 +49,19 @@ def test_bag_overlap_counts_repeats(spark):
 
 
 def test_clean_prediction(spark):
-    assert one(spark, text.clean_prediction(F.lit("assistant\nSMILES: CCO\nuser"))) == "CCO"
+    for given, want in (("assistant\nCCO\nuser", "CCO"), (" OCR: CCO ", "CCO"), ("assistant: CC", ": CC"), ("user\nAssistant:\u2003", ""), ("OCR: user", "user"), ("User: draw\r\nCC\x0bN", "N"), ("a b", "a b"), ("user", ""), (None, ""), ("draw it", "it")):
+        assert one(spark, text.clean_prediction(F.lit(given), "draw")) == want, given
+    assert one(spark, text.clean_prediction(F.lit("draw it"))) == "draw it"
+
+
+def test_structure_penalty(spark):
+    for given, want in (("", 1000), (None, 1000), (" \u00a0", 1000), ("C1CC1", 0), ("C1CC", 3), ("C%12CC", 6), ("C%12C2C%12", 3), ("C (C", 6), ("[C", 4), ("User", 8), ("C" * 272, 1), ("C" * 5000, 50), ("C0", 3)):
+        assert one(spark, text.structure_penalty(F.lit(given))) == want, given
+
+
+def test_lexical_issues(spark):
+    for given, want in (("", ["empty", "unsupported_character"]), ("C C", []), ("C.$(", ["multi_fragment", "unsupported_character", "unbalanced_delimiter"]), (None, ["empty", "unsupported_character"])):
+        assert one(spark, text.lexical_issues(F.lit(given))) == want, given
 
 
 def test_safe_double(spark):
@@ -61,9 +76,9 @@ def test_fold_is_stable_and_folds_cover(spark):
 
 
 def test_clean_prediction_keeps_a_long_tail(spark):
-    out = text.clean_prediction(F.concat(F.lit("Answer: "), F.repeat(F.lit("x"), 1_100_000), F.lit("end")))
+    out = text.clean_prediction(F.concat(F.lit("Assistant: "), F.repeat(F.lit("x"), 1_100_000), F.lit("end")))
     row = spark.range(1).select(F.length(out).alias("n"), F.endswith(out, F.lit("end")).alias("whole")).first()
-    assert (row["n"], row["whole"]) == (1_100_003, True)
+    assert (row["n"], row["whole"]) == (1_100_005, True)  # 'Assistant' goes first, the colon stays
 
 
 def test_group_holdout(spark):
