@@ -253,11 +253,11 @@ def inner_labeled(spark, sf):
 
 
 @query("full_match_assert", """
-with a as (select distinct o_custkey as id from orders), b as (select c_custkey as id from customer)
+with a as (select distinct o_custkey as id from orders where o_totalprice > 150000), b as (select c_custkey as id from customer where c_acctbal > 0)
 select case when b.id is null then 'left' else 'right' end as side, count(*) as n from a full join b using (id) where a.id is null or b.id is null group by 1""")
 def full_match_assert(spark, sf):
     t = Tables(spark, sf)
-    return relate.id_differences(t.orders.select(F.col("o_custkey").alias("id")), t.customer.select(F.col("c_custkey").alias("id")), "id").groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    return relate.id_differences(t.orders.where("o_totalprice > 150000").select(F.col("o_custkey").alias("id")), t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("id")), "id").groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("keyed_last_wins", """
@@ -272,10 +272,10 @@ def unique_keys_checked(spark, sf):
     return relate.unique_by_key(Tables(spark, sf).customer, "c_custkey").select("c_custkey", "c_mktsegment")
 
 
-@query("except_ids", "select c_custkey from customer except select o_custkey from orders")
+@query("except_ids", "select c_custkey from customer except select o_custkey from orders where o_orderpriority = '1-URGENT'")
 def except_ids(spark, sf):
     t = Tables(spark, sf)
-    return t.customer.select("c_custkey").distinct().join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return t.customer.select("c_custkey").distinct().join(t.orders.where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("intersect_counts", """
@@ -491,12 +491,12 @@ def phase_mixture(spark, sf):
 
 
 @query("novel_key_subset", """
-select c_custkey, c_mktsegment from customer where c_nationkey not in (select s_nationkey from supplier) or c_custkey not in (select o_custkey from orders)""")
+select c_custkey, c_mktsegment from customer where c_nationkey not in (select s_nationkey from supplier where s_acctbal > 5000) or c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')""")
 def novel_key_subset(spark, sf):
     t = Tables(spark, sf)
     c = t.customer
-    new_nation = c.join(t.supplier, F.col("c_nationkey") == F.col("s_nationkey"), "left_anti")
-    no_orders = c.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    new_nation = c.join(t.supplier.where("s_acctbal > 5000"), F.col("c_nationkey") == F.col("s_nationkey"), "left_anti")
+    no_orders = c.join(t.orders.where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return new_nation.unionByName(no_orders).select("c_custkey", "c_mktsegment").distinct()
 
 

@@ -361,12 +361,12 @@ def cluster_means(spark, sf):
 
 
 @query("paired_bootstrap", f"""with {_AB}, n as (select count(*) as n from u),
-d as (select i // n as iteration, ('0x' || substr(sha1('17:' || i), 1, 12))::bigint % n as unit from n, (select unnest(range(1000 * (select n from n))) as i)),
+d as (select i // n as iteration, ('0x' || substr(sha1('17:' || i), 1, 12))::bigint % n as unit from n, (select unnest(range(10000 * (select n from n))) as i)),
 m as (select iteration, avg(delta) as mean from d join u using (unit) group by 1)
 select round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.975), 6) as high, count(*) as n from m""")
 def paired_bootstrap(spark, sf):
     u = _units(Tables(spark, sf))
-    return stats.interval(stats.bootstrap(u, "delta", "unit", u.count(), 1000), 6)
+    return stats.interval(stats.bootstrap(u, "delta", "unit", u.count(), 10_000), 6)
 
 
 @query("mcnemar_counts", f"""with {CANDIDATES}, {_OUT}, p as (select a.id, a.ok as a, b.ok as b from outc a join outc b on a.id = b.id where a.run = 'even' and b.run = 'odd')
@@ -377,10 +377,13 @@ def mcnemar_counts(spark, sf):
     return stats.discordance(p)
 
 
-@query("mcnemar_exact")
+@query("mcnemar_exact", f"""with {CANDIDATES}, {_OUT}, p as (select a.ok as a, b.ok as b from outc a join outc b on a.id = b.id where a.run = 'even' and b.run = 'odd'),
+c as (select sum((a <> 1 and b = 1)::int)::bigint as wins, sum((a = 1 and b <> 1)::int)::bigint as losses from p)
+select wins, losses, round(case when wins + losses = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2.0))))) end, 9) as p from c""")
 def mcnemar_exact(spark, sf):
-    row = mcnemar_counts(spark, sf).first()
-    return spark.createDataFrame([(row["wins"], row["losses"], stats.mcnemar_exact(row["wins"], row["losses"]))], "wins long, losses long, p double")
+    from quernel.operators.build import mcnemar_p
+
+    return mcnemar_counts(spark, sf).select("wins", "losses", F.round(mcnemar_p("wins", "losses"), 9).alias("p"))
 
 
 @query("factorial_effects", """
