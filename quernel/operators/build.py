@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions.keys import hash_order
 from quernel.functions.text import TOKEN, filled, trimmed, without_space
-from quernel.operators.rank import best, ranked
+from quernel.operators.rank import best, ranked, spread_rank
 
 # Mixtures
 
@@ -37,7 +37,7 @@ def hard_replay(base: DataFrame, extra: DataFrame, heldout: DataFrame, key: str,
     """
     fresh = lambda df: best(df.join(heldout.select(key).distinct(), key, "left_anti"), key, [F.col(at)])
     cap = F.coalesce(*[F.when(F.col(source) == s, n) for s, n in caps.items()], F.lit(1 << 62))
-    kept = ranked(fresh(base), source, [hash_order(seed, key), F.col(key)], "\x01n").where(F.col("\x01n") <= cap).drop("\x01n")
+    kept = spread_rank(fresh(base), source, hash_order(seed, key), F.col(key), "\x01n").where(F.col("\x01n") <= cap).drop("\x01n")
     times = lambda m: F.coalesce(*[F.when(F.col(difficulty) == d, n) for d, n in m.items()], F.lit(1))
 
     def repeated(df: DataFrame, m: Mapping[str, int], name: Column) -> DataFrame:

@@ -65,24 +65,49 @@ def sibling_features(df: DataFrame, group: str, votes: str, score: str) -> DataF
     return out.withColumn("margin", F.coalesce(F.col(score) - other, F.lit(0.0))).withColumn("log_votes", F.log1p(F.col(votes).cast("double"))).drop("best", "second")
 
 
-def threshold_sweep(df: DataFrame, group: str, score: str, gain: str) -> DataFrame:
-    """For each score of a group as a threshold: rows at or above it and their summed gain; ties move together."""
-    w = W.partitionBy(group).orderBy(F.col(score).desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
-    return df.select(group, F.col(score).alias("threshold"), F.count(F.lit(1)).over(w).alias("n_at_or_above"), F.sum(gain).over(w).alias("gain")).distinct()
+def spread_rank(df: DataFrame, group: str, order: Column, tie: Column, to: str = "rank", size_to: str | None = None) -> DataFrame:
+    """df with each row's place in its group by a hash in hexadecimal, and the group's size if asked for.
 
+    Places are counted within 4,096 ranges of the hash and shifted by the sizes
+    of the ranges before, so a hot group is no single task. Null is a group.
+    """
+    d = df.withColumn("\x01h", order).withColumn("\x01t", tie).withColumn("\x01b", F.substring("\x01h", 1, 3))
+    sizes = d.groupBy(F.col(group).alias("\x01g"), F.col("\x01b").alias("\x01c")).agg(F.count(F.lit(1)).alias("\x01n"))
+    w = W.partitionBy("\x01g")
+    before = sizes.select("\x01g", "\x01c", F.coalesce(F.sum("\x01n").over(w.orderBy("\x01c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("\x01s"), F.sum("\x01n").over(w).alias("\x01z"))
+    d = d.withColumn("\x01i", F.row_number().over(W.partitionBy(group, "\x01b").orderBy("\x01h", "\x01t")))
+    d = d.join(before, F.col(group).eqNullSafe(F.col("\x01g")) & (F.col("\x01b") == F.col("\x01c")))
+    return d.select(*df.columns, (F.col("\x01i") + F.col("\x01s")).alias(to), *([F.col("\x01z").alias(size_to)] if size_to else []))
 
-def curriculum(df: DataFrame, tiers: Mapping[str, int], tier_column: str, within: Column) -> DataFrame:
-    """Rows with their place in a curriculum: by tier, then by the given order within it.
 
-    Ranks are made within a tier and shifted by the sizes of the tiers before,
-    so no task orders all rows.
+def threshold_sweep(df: DataFrame, group: str, score: str, gain: str, rows: str | None = None, parts: int = 64) -> DataFrame:
+    """For each score of a group as a threshold: rows at or above it and their summed gain; ties move together.
+
+    Rows are first summed by score (`rows` says how many each stands for). The
+    scores of a group are cut at its percentiles; sums run within a part and
+    are shifted by what the parts above hold, so no task sees a whole group.
     """
+    n = F.sum(rows) if rows else F.count(F.lit(1))
+    cells = df.groupBy(group, F.col(score).alias("threshold")).agg(n.alias("\x01n"), F.sum(gain).alias("\x01s"))
+    cuts = cells.groupBy(F.col(group).alias("\x01g")).agg(F.percentile_approx("threshold", [i / parts for i in range(1, parts)]).alias("\x01cuts"))
+    above = F.coalesce(F.size(F.filter("\x01cuts", lambda c: c > F.col("threshold"))), F.lit(0))
+    part = F.when(F.col("threshold").isNull(), parts).otherwise(above)
+    cells = cells.join(cuts, F.col(group).eqNullSafe(F.col("\x01g"))).withColumn("\x01p", part).drop("\x01g", "\x01cuts")
+    sums = cells.groupBy(F.col(group).alias("\x01g"), F.col("\x01p").alias("\x01q")).agg(F.sum("\x01n").alias("\x01n"), F.sum("\x01s").alias("\x01s"))
+    over = W.partitionBy("\x01g").orderBy("\x01q").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select("\x01g", "\x01q", F.coalesce(F.sum("\x01n").over(over), F.lit(0)).alias("\x01bn"), F.sum("\x01s").over(over).alias("\x01bs"))
+    inner = W.partitionBy(group, "\x01p").orderBy(F.col("threshold").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    cells = cells.withColumn("\x01n", F.sum("\x01n").over(inner)).withColumn("\x01s", F.sum("\x01s").over(inner))
+    cells = cells.join(before, F.col(group).eqNullSafe(F.col("\x01g")) & (F.col("\x01p") == F.col("\x01q")))
+    return cells.select(group, "threshold", (F.col("\x01n") + F.col("\x01bn")).alias("n_at_or_above"), F.coalesce(F.col("\x01s") + F.col("\x01bs"), F.col("\x01s"), F.col("\x01bs")).alias("gain"))
+
+
+def curriculum(df: DataFrame, tiers: Mapping[str, int], tier_column: str, within: Column) -> DataFrame:
+    """Rows with their place in a curriculum: by tier, then by the given order within it; ranges of both, so no task orders a tier."""
     pairs = [F.lit(v) for kv in tiers.items() for v in kv]
     t = df.withColumn("tier", F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(tier_column)), F.lit(len(tiers))))
-    sizes = t.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("\x01before", F.coalesce(F.sum("n").over(W.orderBy("tier").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inner = ranked(t.withColumn("\x01w", within), "tier", [F.col("\x01w")], "\x01rank").drop("\x01w")
-    return inner.join(F.broadcast(before), "tier").withColumn("place", (F.col("\x01rank") + F.col("\x01before")).cast("long")).drop("\x01rank", "\x01before")
+    placed = ordinal(t.withColumn("\x01w", within), "tier", "\x01w")
+    return placed.withColumn("place", F.col("ord") + 1).drop("\x01w", "ord")
 
 
 def ordinal(df: DataFrame, *order) -> DataFrame:

@@ -46,21 +46,23 @@ def routed(outcomes: DataFrame, choices: DataFrame, keys: list[str], fallback: s
     return j.where(F.col(run) == F.coalesce("choice", F.lit(fallback))).drop("choice")
 
 
-def best_threshold(paired: DataFrame, group: str, score: str, gain: str) -> DataFrame:
+def best_threshold(paired: DataFrame, group: str, score: str, gain: str, rows: str | None = None) -> DataFrame:
     """(group, threshold, gain): the threshold of greatest summed gain at or above it; above all scores (infinity) if none gains.
 
     gain is what a sample wins by leaving the fallback. Among equal gains the
     greatest threshold, so the fewest changes.
     """
-    sweep = threshold_sweep(paired, group, score, gain)
+    sweep = threshold_sweep(paired, group, score, gain, rows)
     nothing = paired.select(group).distinct().select(group, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("n_at_or_above"), F.lit(0).cast("long").alias("gain"))
-    return best(sweep.unionByName(nothing), group, [F.col("gain").desc(), F.col("threshold").desc()])
+    most = sweep.unionByName(nothing).groupBy(group).agg(F.max(F.struct("gain", "threshold", "n_at_or_above")).alias("\x01m"))
+    return most.select(group, "\x01m.threshold", "\x01m.n_at_or_above", "\x01m.gain")
 
 
 def cv_threshold(paired: DataFrame, fold: str, score: str, gain: str, n_folds: int) -> DataFrame:
-    """(fold, threshold, train_gain, test_n, test_gain): thresholds by the other folds, tried on the fold."""
-    others = paired.withColumn("held", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col(fold))))
-    chosen = best_threshold(others, "held", score, gain).select(F.col("held").alias(fold), "threshold", F.col("gain").alias("train_gain"))
+    """(fold, threshold, train_gain, test_n, test_gain): thresholds by the other folds, tried on the fold. Rows are summed by score before they meet the folds."""
+    cells = paired.groupBy(fold, score).agg(F.count(F.lit(1)).alias("\x01rows"), F.sum(gain).alias(gain))
+    others = cells.withColumn("held", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col(fold))))
+    chosen = best_threshold(others, "held", score, gain, "\x01rows").select(F.col("held").alias(fold), "threshold", F.col("gain").alias("train_gain"))
     hit = F.col(score) >= F.col("threshold")
     tried = paired.join(F.broadcast(chosen), fold).groupBy(fold).agg(F.first("threshold").alias("threshold"), F.first("train_gain").alias("train_gain"), F.sum(hit.cast("long")).alias("test_n"), F.sum(F.when(hit, F.col(gain)).otherwise(0)).alias("test_gain"))
     return tried

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.keys import entity_fraction, hash_order
-from quernel.operators.rank import ranked
+from quernel.operators.rank import ranked, spread_rank
 
 
 def entity_split(key: Column, shares: Sequence[tuple[str, float]], override: Column | None = None) -> Column:
@@ -27,11 +27,8 @@ def split_conflicts(df: DataFrame, key: str, split: str) -> DataFrame:
 
 def stratified_split(df: DataFrame, stratum: str, key: str, share: float, seed: int) -> DataFrame:
     """train or val by stratum: at least one row of val from strata of five, none from smaller, else the share rounded half to even."""
-    from pyspark.sql import Window as W
-
-    n = F.count(F.lit(1)).over(W.partitionBy(stratum))
-    r = ranked(df.withColumn("\x01n", n), stratum, [hash_order(seed, key), F.col(key)], "\x01rank")
-    take = F.when(F.col("\x01n") < 5, 0).otherwise(F.greatest(F.lit(1), F.bround(F.col("\x01n") * F.lit(share)).cast("int")))
+    r = spread_rank(df, stratum, hash_order(seed, key), F.col(key), "\x01rank", "\x01n")
+    take = F.when(F.col("\x01n") < 5, 0).otherwise(F.greatest(F.lit(1), F.bround(F.col("\x01n") * F.lit(share)).cast("long")))
     return r.withColumn("split", F.when(F.col("\x01rank") <= take, "val").otherwise("train")).drop("\x01n", "\x01rank")
 
 
@@ -47,7 +44,7 @@ def times_by_map(column: str, times: Mapping[str, int], default: int = 1) -> Col
 
 def capped(df: DataFrame, group: str, key: str, cap: int, seed: int) -> DataFrame:
     """Up to `cap` rows of each group, in hash order: a sampling operator."""
-    return ranked(df, group, [hash_order(seed, key), F.col(key)], "\x01rank").where(F.col("\x01rank") <= cap).drop("\x01rank")
+    return spread_rank(df, group, hash_order(seed, key), F.col(key), "\x01rank").where(F.col("\x01rank") <= cap).drop("\x01rank")
 
 
 def mixture(parts: Mapping[str, tuple[DataFrame, int | None]], key: str, seed: int) -> DataFrame:
@@ -60,24 +57,21 @@ def mixture(parts: Mapping[str, tuple[DataFrame, int | None]], key: str, seed: i
     return out
 
 
-def group_holdout(df: DataFrame, group: str, key: str, target: int, per_group: int, least_groups: int, seed: int, most_groups: int = 100_000) -> DataFrame:
+def group_holdout(df: DataFrame, group: str, key: str, target: int, per_group: int, least_groups: int, seed: int) -> DataFrame:
     """df with `split`: locked, excess or train. No group crosses, locked keys are unique.
 
     Groups are taken in hash order until `target` keys of at least least_groups
     groups are locked; a taken group locks up to per_group keys that aren't
     locked yet, and its other rows are excess, as are rows elsewhere with a
-    locked key. The order of groups is decided on the driver from one row a
-    group, of which there may be most_groups.
+    locked key. The driver reads groups in that order, each with no more keys
+    than could be locked before it and in it, and only until enough are locked.
     """
     enough = max(target, least_groups * per_group) + per_group  # more than can be locked before a group, and its own
     firsts = ranked(df.select(group, key).distinct(), group, [F.col(key).asc_nulls_last()], "\x01n").where(F.col("\x01n") <= enough)
     stats = firsts.groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("keys")).select(group, "keys", hash_order(seed, group).alias("h")).orderBy("h")
-    rows = stats.limit(most_groups + 1).collect()
-    if len(rows) > most_groups:
-        raise ValueError(f"more than {most_groups} groups")
     locked: dict[str, list] = {}
     seen: set = set()
-    for r in rows:
+    for r in stats.toLocalIterator():
         if len(seen) >= target and len(locked) >= least_groups:
             break
         new = [k for k in r["keys"] if k not in seen][:per_group]

@@ -40,15 +40,23 @@ def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
     df.repartition(*by, salt).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def json_report(df: DataFrame) -> str:
+def small(df: DataFrame, most_rows: int) -> list:
+    """The rows of a report on the driver; an error if there are more than most_rows."""
+    rows = df.take(most_rows + 1)
+    if len(rows) > most_rows:
+        raise ValueError(f"a report of more than {most_rows} rows belongs in a file")
+    return rows
+
+
+def json_report(df: DataFrame, most_rows: int = 10_000) -> str:
     """The rows of a small report as a JSON list."""
-    return json.dumps([r.asDict(recursive=True) for r in df.collect()], default=str, ensure_ascii=False, indent=1)
+    return json.dumps([r.asDict(recursive=True) for r in small(df, most_rows)], default=str, ensure_ascii=False, indent=1)
 
 
-def markdown(df: DataFrame) -> str:
+def markdown(df: DataFrame, most_rows: int = 10_000) -> str:
     """The rows of a small report as a Markdown table."""
     head = [f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}"]
-    return "\n".join(head + [f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in df.collect()])
+    return "\n".join(head + [f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in small(df, most_rows)])
 
 
 def new_rows(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -100,6 +108,13 @@ def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def decided(decisions: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """Decisions (key, role, decision, at) with updates put in: a role's latest decision on an item stands, an update where times are equal."""
+    both = decisions.withColumn("\x01new", F.lit(0)).unionByName(updates.withColumn("\x01new", F.lit(1)))
+    last = both.groupBy(key, "role").agg(F.max_by(F.struct("decision", "at"), F.struct("at", "\x01new", "decision")).alias("\x01d"))
+    return last.select(key, "role", "\x01d.*").select(*decisions.columns)
+
+
 def review_sheet(rows: DataFrame, decisions: DataFrame, key: str, roles: Sequence[str]) -> DataFrame:
     """A row for each item with each role's decision, `pending` if it has none, and whether all roles agree."""
     per = decisions.groupBy(key).pivot("role", list(roles)).agg(F.max_by("decision", "at"))

@@ -207,3 +207,25 @@ def test_parsed_box(spark):
     assert one(spark, shape.parsed_box(F.lit("[0, 0, 1, 1]"))) == [0, 0, 1, 1]
     assert one(spark, shape.parsed_box(F.lit("1,0,1,1"))) is None
     assert one(spark, shape.parsed_box(F.lit("a,b"))) is None
+
+
+def test_spread_rank_and_sweep_are_as_plain_windows(spark):
+    import random
+
+    from pyspark.sql import Window as W
+
+    from quernel.operators import rank
+
+    r = random.Random(5)
+    rows = [(i, r.choice(["a", "a", "a", "b", None]), r.choice([None, 1.5, 2.0, -3.0, float(i % 90)]), r.choice([-1, 0, 2, None])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, g string, s double, gain long")
+    h = keys.hash_order(3, "id")
+    got = rank.spread_rank(df, "g", h, F.col("id"), "r", "n")
+    want = df.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy(h, "id"))).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("g")))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    w = W.partitionBy("g").orderBy(F.col("s").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    plain = df.select("g", F.col("s").alias("threshold"), F.count(F.lit(1)).over(w).alias("n"), F.sum("gain").over(w).alias("x")).distinct()
+    for parts in (2, 64):
+        swept = rank.threshold_sweep(df, "g", "s", "gain", parts=parts)
+        assert sorted(map(tuple, swept.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert rank.threshold_sweep(df.limit(0), "g", "s", "gain").count() == 0

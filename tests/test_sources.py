@@ -41,6 +41,31 @@ def test_csv_with_mark_and_lacking_column(spark, tmp_path):
     assert readers.manifest(spark, str(p), SCHEMA).first()["line_no"] == 2
 
 
+def test_manifest_numbers_the_lines_of_each_file(spark, tmp_path):
+    for name in ("a", "b"):
+        rows = "".join(f'"{name}{i}\nx",{i}\n' for i in range(500))
+        (tmp_path / f"{name}.csv").write_text("id,n\n" + rows)
+    got = readers.manifest(spark, f"{tmp_path}/*.csv", SCHEMA).collect()
+    assert len(got) == 1000 and all(r["line_no"] == r["n"] + 2 and r["id"].endswith("\nx") for r in got)
+
+
+def test_reports_are_bounded(spark):
+    assert len(json.loads(sinks.json_report(spark.range(3)))) == 3 and sinks.markdown(spark.range(2)).count("\n") == 3
+    for report in (sinks.json_report, sinks.markdown):
+        with pytest.raises(ValueError, match="more than 2"):
+            report(spark.range(3), 2)
+
+
+def test_decisions_are_upserted(spark):
+    kind = "id long, role string, decision string, at int"
+    old = spark.createDataFrame([(1, "a", "no", 1), (1, "b", "yes", 5), (2, "a", None, 1)], kind)
+    new = spark.createDataFrame([(1, "a", "yes", 2), (1, "b", "no", 4), (2, "a", "yes", 1), (3, "a", "no", 9)], kind)
+    now = sinks.decided(old, new, "id")
+    assert sorted(tuple(r) for r in now.collect()) == [(1, "a", "yes", 2), (1, "b", "yes", 5), (2, "a", "yes", 1), (3, "a", "no", 9)]
+    sheet = sinks.review_sheet(spark.range(1, 5), now, "id", ["a", "b"]).orderBy("id").collect()
+    assert [(r["a"], r["b"], r["agreed"]) for r in sheet] == [("yes", "yes", True), ("yes", "pending", False), ("no", "pending", False), ("pending", "pending", False)]
+
+
 def test_seeds(spark, tmp_path):
     with gzip.open(tmp_path / "s.txt.gz", "wt") as f:
         f.write("CCO name\n\nCC\n")
