@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ from quernel.llm.exchange import Deal, Rolling, Texts, flagged_columns, mixed, p
 _bytes = Rolling(31)
 PLACE_BITS = 28
 SPARE_BITS = 8
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 5 << 20
 
 
 # Suffix arrays
@@ -49,19 +48,21 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     first = eight_bytes(text)
     if text[-8:].all():
-        sa = np.argsort(first).astype(np.int64)
-        ordered, left = first[sa], np.zeros(n, np.int64)
+        sa = np.argsort(first).astype(np.int32)
+        ordered, left = first[sa], np.zeros(n, np.int8)
     else:  # zero bytes at the end look like what follows it; the shorter suffix comes first
-        left = np.minimum(n - np.arange(n), 8)
-        sa = np.lexsort((left, first)).astype(np.int64)
+        left = np.minimum(n - np.arange(n), 8).astype(np.int8)
+        sa = np.lexsort((left, first)).astype(np.int32)
         ordered, left = first[sa], left[sa]
     if not n:
         return sa
     new = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | (left[1:] != left[:-1])])
-    starts = np.nonzero(new)[0]
-    rank = np.empty(n + 1, np.int64)
-    rank[sa], rank[n] = starts[np.cumsum(new) - 1], -1
-    at, sizes = np.arange(n), np.diff(np.append(starts, n))
+    del first, ordered, left
+    starts = np.nonzero(new)[0].astype(np.int32)
+    rank = np.empty(n + 1, np.int32)
+    rank[sa], rank[n] = starts[np.cumsum(new, dtype=np.int32) - 1], -1
+    at, sizes = np.arange(n, dtype=np.int32), np.diff(np.append(starts, n))
+    del new, starts
     h = 8
     while True:
         at = at[np.repeat(sizes > 1, sizes)]  # places of suffixes that are still tied
@@ -87,10 +88,10 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int, lane: int = 25
     Many stretches of the text are gone through side by side.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     eight = np.append(eight_bytes(text), np.zeros(limit + 9, np.uint64))
-    shared = np.zeros(n, np.int64)
+    shared = np.zeros(n, np.int32)
     starts = np.arange(0, n, lane)
     h = np.zeros(len(starts), np.int64)
     for k in range(min(lane, n)):
@@ -104,10 +105,8 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int, lane: int = 25
         while len(go):
             a, b = i[go] + h[go], j[go] + h[go]
             differs = eight[a] ^ eight[b]
-            more = np.zeros(len(go), np.int64)
-            for shift in range(56, -1, -8):
-                more += differs >> np.uint64(shift) == 0
-            more = np.minimum(more, n - np.maximum(a, b))
+            top = np.frexp((differs & ~(differs >> np.uint64(1))).astype(float))[1]  # place of the highest bit; the next is cleared, so nothing rounds up
+            more = np.minimum((64 - top) // 8, n - np.maximum(a, b))
             h[go] += more
             go = go[(more == 8) & (h[go] < limit)]
         h = np.minimum(h, limit)
@@ -123,9 +122,9 @@ def owners_in_shard(text: np.ndarray, starts: np.ndarray, ids: np.ndarray, lengt
     Also, in ascending order of strings, where each distinct one first is and its least id.
     """
     sa = suffix_array(text)
-    group = np.cumsum(common_prefixes(text, sa, length) < length)
-    entry = np.full(len(text), -1, np.int64)
-    entry[starts] = np.arange(len(starts))
+    group = np.cumsum(common_prefixes(text, sa, length) < length, dtype=np.int32)
+    entry = np.full(len(text), -1, np.int32)
+    entry[starts] = np.arange(len(starts), dtype=np.int32)
     at = entry[sa]
     wanted = at >= 0
     at, group = at[wanted], group[wanted]
@@ -225,10 +224,11 @@ def stretches_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Named:
     """The stretches that the groups of a range name, entry by entry.
 
-    first: of each distinct stretch the entry with the least id; least: that
-    id; contested: whether the anchor has other stretches too. Equal strings
-    have equal anchors, so all strings of an uncontested stretch are its own,
-    and its least id is theirs; contested ones need the suffix arrays.
+    first: of each distinct stretch the entry with the least id; shared:
+    whether the anchor is named by several entries. What is shared goes through
+    the suffix arrays, a copy of each distinct stretch; a stretch that one
+    group alone names, and no other beside it, has no string in common with
+    other groups, and its own copies are settled in the group.
     """
 
     @classmethod
@@ -246,11 +246,9 @@ class Named:
         new_a = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
         new_s = new_a | np.concatenate([[True], s[1:] != s[:-1]])[: len(a)]
         self.first = order[new_s]
-        self.least, self.contested = np.empty(len(a), np.int64), np.empty(len(a), bool)
-        run = np.cumsum(new_s) - 1
-        self.least[order] = self.ids[self.first][run] if len(a) else 0
-        per_anchor = np.bincount(np.cumsum(new_a) - 1, new_s) if len(a) else np.zeros(0)
-        self.contested[order] = per_anchor[np.cumsum(new_a) - 1] > 1 if len(a) else False
+        self.shared = np.empty(len(a), bool)
+        per_anchor = np.bincount(np.cumsum(new_a) - 1) if len(a) else np.zeros(0)
+        self.shared[order] = per_anchor[np.cumsum(new_a) - 1] > 1 if len(a) else False
         return self
 
 
@@ -266,8 +264,9 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
 
     The texts are shuffled once and read from that shuffle by each of four
     steps. A stretch of text is named once by each group that has it and sent
-    by one of them if other stretches share its anchor, so what a hot passage
-    adds is bounded by the number of groups.
+    by one of them if its anchor is named more than once, so what a hot passage
+    adds is bounded by the number of groups. Stretches are told apart by the
+    hashes of their anchor and of their bytes, 128 bits; in a group by 64.
     """
     names = ("n_bytes", "n_removed", "n_spans", kept_to)
     docs = docs.select(*[c for c in docs.columns if c not in names])
@@ -316,7 +315,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
 
     def choose(table: pa.Table) -> pa.Table:
         named_ = Named.of(table)
-        first = named_.first[named_.contested[named_.first]]
+        first = named_.first[named_.shared[named_.first]]
         out = [(g, pack_sorted(np.sort(named_.stretch[first[named_.of[first] == i]]))) for i, g in enumerate(named_.groups)]
         return pa.Table.from_pylist([dict(zip(chosen.names, x)) for x in out], chosen)
 
@@ -341,11 +340,6 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
     def shard(requests: pa.Table, bodies: pa.Table) -> pa.Table:
         out = []
         names_ = Named.of(requests)
-        foreign = ~names_.contested & (names_.ids > names_.least)
-        for i, group in enumerate(names_.groups):
-            if len(at := np.nonzero(foreign & (names_.of == i))[0]):
-                own = names_.least[at]
-                out.append((group, names_.stretch[at].tobytes(), None, int(own.min()), pack((own - own.min()).astype(np.uint64))))
         if len(bodies):
             body = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in bodies.column("body").to_pylist()]
             size = np.concatenate([unpack(x).astype(np.int64) for x in bodies.column("sizes").to_pylist()])
@@ -363,7 +357,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
             lowest = np.minimum.reduceat(owner, place)
             by = np.argsort(stretch)
             for i, group in enumerate(names_.groups):
-                mine = np.nonzero(names_.contested & (names_.of == i))[0]
+                mine = np.nonzero(names_.shared & (names_.of == i))[0]
                 if len(mine):
                     at = by[np.searchsorted(stretch[by], names_.stretch[mine])]
                     low = lowest[at] < names_.ids[mine]
@@ -383,14 +377,6 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
         least = np.empty(len(s), np.int64)
         least[order] = ids[order][np.nonzero(new)[0]][np.cumsum(new) - 1] if len(s) else 0
         whole = ids > least
-        flat = answers.filter(pc.is_null(answers.column("counts")))
-        answers = answers.filter(pc.is_valid(answers.column("counts")))
-        if len(flat) and len(s):
-            key = np.concatenate([np.frombuffer(x, np.uint64) for x in flat.column("stretch").to_pylist()])
-            owner = np.concatenate([unpack(x).astype(np.int64) + b for x, b in zip(flat.column("owners").to_pylist(), flat.column("least_id").to_pylist())])
-            by = np.argsort(key)
-            at = by[np.minimum(np.searchsorted(key[by], stretch), len(key) - 1)]
-            whole |= (key[at] == stretch) & (owner[at] < ids)
         np.add.at(cover, start[whole], 1)
         np.add.at(cover, end[whole] + length, -1)
         if len(answers) and len(s):
