@@ -122,11 +122,11 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, dim: int =
 def fit_language_model(docs: DataFrame, is_training, rows: int = 4000, row_bytes: int = 65536, lang_column: str = "lang", text_column: str = "text", id_column: str = "doc_id") -> LanguageModel:
     """Train on at most about `rows` of the rows where is_training holds and text and language are there.
 
-    The sample is chosen by a hash of the id over all rows; texts over row_bytes are left out of training only.
+    The sample is chosen by a hash of id and text over all rows, of 128 MiB of text at most; texts over row_bytes are left out of training only.
     """
     ready = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("t"), F.col(lang_column).cast("string").alias("l"), is_training.alias("use"))
     ready = ready.where(F.col("use") & F.col("l").isNotNull() & F.col("t").isNotNull() & (F.octet_length("t") <= row_bytes))
-    found = sorted(((r["id"], r["t"], r["l"]) for r in hashed_sample(ready, rows, "id").select("id", "t", "l").collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1]))
+    found = sorted(((r["id"], r["t"], r["l"]) for r in hashed_sample(ready, rows, "id", "t", text="t").select("id", "t", "l").collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1]))
     return train([r[1] for r in found], [r[2] for r in found])
 
 

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where the session names none (as in tests on one machine) a temporary
-    folder is chosen and set for the session.
+    Where the session names none and runs on one machine, as in tests, a
+    temporary folder is chosen and set for the session; elsewhere that is an
+    error, for executors wouldn't see such a folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quernel-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -40,15 +43,17 @@ def id_crc32(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def hashed_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+def hashed_sample(df: DataFrame, rows: int, *columns: str, text: str | None = None, most_bytes: int = 128 << 20) -> DataFrame:
     """About `rows` rows of df, all of it if it has fewer, chosen by a hash of `columns`.
 
-    A threshold on the hash, so neither a sort nor a shuffle of the rows.
+    A threshold on the hash, so neither a sort nor a shuffle of the rows. With
+    `text` named, its texts are no more than about most_bytes together, and it
+    belongs among the columns: an id that many rows bear is then no unit.
     """
-    n = max(df.count(), 1)
-    if n <= rows:
-        return df
-    return df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+    size = F.sum(F.octet_length(text)) if text else F.lit(0)
+    n, total = df.agg(F.count(F.lit(1)), size).first()
+    share = min(rows / max(n, 1), most_bytes / max(total or 0, 1))
+    return df if share >= 1 else df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < int((1 << 30) * share))
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

@@ -220,7 +220,7 @@ def write_token_shards(
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     n_shards = split_count(text_bytes(rows), shard_text_bytes)
-    sample = hashed_sample(rows.where(F.octet_length("text") <= dictionary_row_bytes), dictionary_rows, "doc_id")
+    sample = hashed_sample(rows.where(F.octet_length("text") <= dictionary_row_bytes), dictionary_rows, "doc_id", "text", text="text")
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -193,7 +193,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, is_training, rows: int = 80
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").where(is_training)
     chosen = hashed_sample(known, rows, "doc_id").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= row_bytes))
-    found = sorted(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1]))
+    joined = hashed_sample(texts.join(F.broadcast(chosen), "doc_id"), rows, "doc_id", "text", text="text")
+    found = sorted(joined.select("doc_id", "text", "toxic").collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1]))
     return train([r[1] for r in found], [r[2] for r in found])[0]
 
 
