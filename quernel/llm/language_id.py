@@ -134,6 +134,7 @@ class Scorer:
     """Scores texts, remembering what each word adds."""
 
     def __init__(self, model: LanguageModel, most_kept: int = 400_000):
+        most_kept = min(most_kept, (64 << 20) // (4 * (len(model.languages) + 1)))  # 64 MiB of sums, however many languages
         self.model, self.rows = model, Kept(most_kept)
         self.sums = np.zeros((most_kept, len(model.languages) + 1), np.float32)
 
@@ -144,8 +145,9 @@ class Scorer:
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = _words(text or "")
         total = np.zeros(len(self.model.languages) + 1)
-        for at in range(0, len(words), 1 << 16):  # a very long text in parts
-            part = words[at : at + (1 << 16)]
+        step = min(1 << 16, self.rows.most)
+        for at in range(0, len(words), step):  # a very long text in parts
+            part = words[at : at + step]
             found = list(map(self.rows.get, part))
             if None in found:
                 if len(self.rows) + len(part) > self.rows.most:
