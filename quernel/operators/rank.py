@@ -42,13 +42,6 @@ def near_best_earliest(df: DataFrame, group: str, score: str, step: str, toleran
     return best(near, group, [F.col(step)])
 
 
-def max_of_others(value: str, group: str) -> Column:
-    """The greatest value among the other rows of the group; null if there are none."""
-    w = W.partitionBy(group)
-    two = F.slice(F.reverse(F.array_sort(F.collect_list(value).over(w))), 1, 2)
-    return F.when(F.col(value) == F.try_element_at(two, F.lit(1)), F.try_element_at(two, F.lit(2))).otherwise(F.try_element_at(two, F.lit(1)))
-
-
 def top_two(df: DataFrame, group: str, value: str) -> DataFrame:
     """The greatest and second-greatest value of each group, by two small aggregates and no list."""
     w = W.partitionBy(group).orderBy(F.col(value).desc())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quernel.operators import build, stats
 from quernel.operators import candidates as cand
 from quernel.plans.base import CANDIDATES, Tables, candidates, query, truth
-from quernel.plans.selection import _AB, _units
+from quernel.plans.selection import _AB, _MINED, _units
 
 # Mixtures: small parts are the base, large ones the wild rows, and base rows of two brands come again as variants
 
@@ -303,3 +303,29 @@ def latest_checkpoint(spark, sf):
 @query("greatest_weights", "select p_partkey, round(p_retailprice - 1200, 6) as weight from part order by abs(round(p_retailprice - 1200, 6)) desc, p_partkey limit 20")
 def greatest_weights(spark, sf):
     return build.greatest_weights(Tables(spark, sf).part.select("p_partkey", F.round(F.col("p_retailprice") - 1200, 6).alias("weight")), "p_partkey", "weight")
+
+
+# Records of pairs, flags
+
+
+@query("sft_records", f"with {_MINED} select id, 'Order ' || id as prompt, chosen as answer, 2 as n_turns from mined")
+def sft_records(spark, sf):
+    t = Tables(spark, sf)
+    pairs = cand.as_sft(cand.mined_pairs(cand.aggregate(candidates(t)), truth(t), 4), F.concat(F.lit("Order "), F.col("id").cast("string")))
+    return pairs.select("id", F.col("messages")[0]["content"].alias("prompt"), F.col("messages")[1]["content"].alias("answer"), F.size("messages").alias("n_turns"))
+
+
+@query("dpo_records", f"with {_MINED} select id, 'Order ' || id as prompt, chosen, rejected from mined")
+def dpo_records(spark, sf):
+    t = Tables(spark, sf)
+    return cand.as_dpo(cand.mined_pairs(cand.aggregate(candidates(t)), truth(t), 4), F.concat(F.lit("Order "), F.col("id").cast("string")))
+
+
+@query("text_flags", """
+select o_orderkey, coalesce(lower(trim(case o_orderkey % 7 when 0 then ' TRUE ' when 1 then '1' when 2 then 'Yes' when 3 then 'on' when 4 then '0' when 5 then 'no' end)) in ('1', 'true', 'yes', 'y', 'on'), false) as flag from orders""")
+def text_flags(spark, sf):
+    from quernel.functions.text import as_bool
+
+    k = F.col("o_orderkey") % 7
+    raw = F.when(k == 0, " TRUE ").when(k == 1, "1").when(k == 2, "Yes").when(k == 3, "on").when(k == 4, "0").when(k == 5, "no")
+    return Tables(spark, sf).orders.select("o_orderkey", F.coalesce(as_bool(raw), F.lit(False)).alias("flag"))
