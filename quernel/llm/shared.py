@@ -38,6 +38,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df, computed once and read back from Parquet below the shared folder."""
+    folder = new_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def id_crc32(column: str = "doc_id"):
     """crc32 of an id written as decimal text; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
