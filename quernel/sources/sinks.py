@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.sources.readers import there
+from quernel.sources.versions import VersionedTable
 
 
 def write_jsonl(df: DataFrame, path: str) -> int:
@@ -69,35 +69,33 @@ def new_rows(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 def append_new(spark: SparkSession, incoming: DataFrame, path: str, key: str) -> None:
     """Insert-only merge into a Parquet folder; running it again adds nothing."""
-    rows = new_rows(spark.read.parquet(path), incoming, key) if there(spark, path) else incoming.dropDuplicates([key])
+    seen = spark.read.parquet(path) if there(spark, path) else spark.createDataFrame([], incoming.schema)
+    rows = new_rows(seen, incoming, key)
     rows.write.mode("append").parquet(path)
 
 
-def replaced(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write df beside a folder that it may be read from, then put it in its place; the old one stays as .bak until then."""
-    jvm, tag = spark._jvm, uuid.uuid4().hex
-    df.write.parquet(f"{path}.{tag}")
-    Path = jvm.org.apache.hadoop.fs.Path  # noqa: N806
-    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(Path(path)):
-        fs.rename(Path(path), Path(f"{path}.{tag}.bak"))
-    fs.rename(Path(f"{path}.{tag}"), Path(path))
-    fs.delete(Path(f"{path}.{tag}.bak"), True)
-
-
-def without_bad(spark: SparkSession, path: str, bad: DataFrame, keys: Sequence[str], dry_run: bool = False) -> Mapping[str, int]:
-    """Rewrite a Parquet folder without the rows that `bad` names; rows before, removed and after."""
-    rows = spark.read.parquet(path)
+def without_bad(table: VersionedTable, bad: DataFrame, keys: Sequence[str], dry_run: bool = False) -> Mapping[str, int]:
+    """The next version of a table, without the rows that `bad` names; rows before, removed and after. Nulls in the keys match nothing."""
+    version = table.current()
+    rows = table.read(version)
     kept = rows.join(bad.select(*keys).distinct(), list(keys), "left_anti").select(*rows.columns)
     before, after = rows.count(), kept.count()
     if not dry_run and after < before:
-        replaced(spark, kept, path)
+        table.write(kept, version)
     return {"before": before, "removed": before - after, "after": after}
 
 
-def upserted(rows: DataFrame, updates: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Rows with columns replaced by what an update of the same key has that isn't null."""
-    u = updates.select(key, *[F.col(c).alias(f"\x01{c}") for c in columns])
+def upserted(rows: DataFrame, updates: DataFrame, key: str, columns: Sequence[str], order: Column | None = None) -> DataFrame:
+    """Rows with columns replaced by what the last update of the same key has that isn't null.
+
+    Of several updates of a key the last by `order` stands, equal ones and
+    those without an order by the values themselves; an update of a key that no
+    row has does nothing.
+    """
+    from quernel.operators.rank import best
+
+    values = [F.col(c).desc_nulls_last() for c in columns]
+    u = best(updates, key, [order.desc_nulls_last(), *values] if order is not None else values).select(key, *[F.col(c).alias(f"\x01{c}") for c in columns])
     j = rows.join(u, key, "left")
     return j.select(*[F.coalesce(F.col(f"\x01{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernel.operators.rank import best
-from quernel.sources.readers import there
+from quernel.sources.versions import Conflict, VersionedTable
+
+BUCKET = "key_bucket"
 
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
@@ -15,26 +17,48 @@ def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_per_tr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def upsert(stream: DataFrame, target: str, checkpoint: str, key: str, order: str):
-    """Keep in `target` the last row of each key by `order`; a new version of the table for each batch.
+def upsert(stream: DataFrame, target: str, checkpoint: str, key: str, order: str, buckets: int = 64, most_deltas: int = 16, keep: int = 2):
+    """Keep in `target` the last row of each key by `order`; one version of the table for each batch.
 
-    A batch that is run again writes its version again, so the result doesn't
-    change; the version that counts is that of the greatest batch.
+    Keys are dealt into buckets, and a batch writes only its own rows, as one
+    more layer of the buckets it touches. A bucket whose layers have grown
+    beyond its base in bytes, or are more than most_deltas, is written anew, so
+    what is written follows the batches. All but the last `keep` versions are
+    dropped. A batch that is run again after its version was put does nothing.
     """
 
     def batch(rows: DataFrame, n: int) -> None:
-        spark, now = rows.sparkSession, rows
-        if n and there(spark, f"{target}/batch_version={n - 1}"):
-            now = spark.read.parquet(f"{target}/batch_version={n - 1}").unionByName(rows)
-        best(now, key, [F.col(order).desc(), F.xxhash64(*rows.columns)]).write.mode("overwrite").parquet(f"{target}/batch_version={n}")
+        table = VersionedTable(rows.sparkSession, target)
+        now = table.current()
+        if now and now.note.get("stream") == checkpoint and now.note["batch"] >= n:
+            return
+        parts = {p: list(f) for p, f in now.parts.items()} if now else {}
+        mine = rows.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [str(r[0]) for r in mine.select(BUCKET).distinct().collect()]
+        grown = [p for p in touched if len(parts.get(p, ())) > most_deltas or sum(b for _, b in parts.get(p, ())[1:]) > parts.get(p, [(None, 0)])[0][1]]
+        if grown:
+            old = table.read(now, grown)
+            mine = mine.unionByName(old.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+        last = best(mine, key, [F.col(order).desc(), F.xxhash64(*rows.columns)])
+        new = table.stage(last.repartition(BUCKET), BUCKET) if touched else {}
+        for p, f in new.items():
+            parts[p] = [f] if p in grown else [*parts.get(p, []), f]
+        try:
+            table.put(parts, rows.schema, now, {"stream": checkpoint, "batch": n, "key": key, "order": order})
+        except Conflict:
+            table.drop(f for f, _ in new.values())
+            raise
+        table.expire(keep)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
-    """The version of the greatest batch."""
-    rows = spark.read.parquet(target)
-    return rows.join(F.broadcast(rows.agg(F.max("batch_version").alias("batch_version"))), "batch_version", "left_semi").drop("batch_version")
+    """The last row of each key, from the newest version."""
+    table = VersionedTable(spark, target)
+    now = table.current()
+    rows = table.read(now)
+    return best(rows, now.note["key"], [F.col(now.note["order"]).desc(), F.xxhash64(*rows.columns)])
 
 
 def append_new(stream: DataFrame, target: str, checkpoint: str, key: str, time: str, delay: str = "1 day"):

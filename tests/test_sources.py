@@ -9,7 +9,10 @@ import zlib
 import pytest
 from pyspark.sql import types as T
 
+from pyspark.sql import functions as F
+
 from quernel.sources import readers, sinks
+from quernel.sources.versions import Conflict, VersionedTable
 from quernel.streaming import upsert
 
 SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.IntegerType())])
@@ -32,6 +35,34 @@ def test_jsonl(spark, lines, tmp_path):
     assert {(r["id"], r["n"]) for r in readers.jsonl_parts(spark, lines, SCHEMA, "id").collect()} == {("a", 3)}
 
 
+def test_lines_are_numbered_over_many_splits(spark, tmp_path):
+    """As Python numbers them, with empty lines, in files of many splits, one, and none."""
+    bodies = {"a.txt": "\n".join("" if i % 7 == 3 else f"line {i} " + "x" * (i % 90) for i in range(4000)) + "\n", "b.txt": "one\r\ntwo\r\n\r\nthree", "c.txt": "", "d.txt": "\n"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body.encode())
+    with gzip.open(tmp_path / "e.txt.gz", "wt") as f:
+        f.write("x\ny\n")
+    want = {(n, i, l.rstrip("\r\n")) for n in [*bodies, "e.txt.gz"] for i, l in enumerate(gzip.open(tmp_path / n, "rt", newline="\n") if n.endswith("gz") else open(tmp_path / n, newline="\n"), 1)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        for most in (0, readers.BROADCAST_SPLITS):
+            lines = readers.numbered_lines(spark, f"{tmp_path}/*", most)
+            assert spark.read.text(f"{tmp_path}/a.txt").select("_metadata.file_block_start").distinct().count() > 3
+            assert {(r["path"].rsplit("/", 1)[1], r["line_no"], r["value"]) for r in lines.collect()} == want
+            assert lines.count() == len(want)
+        assert readers.most_splits(spark, f"{tmp_path}/*") >= spark.read.text(f"{tmp_path}/*").select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+    finally:
+        for k, v in zip(("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"), before):
+            spark.conf.set(k, v)
+
+
+def test_a_bad_line_fails_with_its_place(spark, lines):
+    with pytest.raises(Exception, match=r"invalid JSON at .*a\.jsonl:2"):
+        readers.jsonl_strict(spark, lines, SCHEMA).collect()
+
+
 def test_csv_with_mark_and_lacking_column(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text("\ufeffid,n\na,1\n")
@@ -70,6 +101,15 @@ def test_seeds(spark, tmp_path):
     with gzip.open(tmp_path / "s.txt.gz", "wt") as f:
         f.write("CCO name\n\nCC\n")
     assert {r[0] for r in readers.seeds(spark, str(tmp_path / "s.txt.gz")).collect()} == {"CCO", "CC"}
+    (tmp_path / "t.txt").write_text("CCO x\n\tCCN y\n  CCC\n\u00a0\n")
+    assert sorted(r[0] for r in readers.seeds(spark, str(tmp_path / "t.txt")).collect()) == ["CCC", "CCN", "CCO"]
+    (tmp_path / "t.tsv").write_text("smiles\tcanonical_smiles\nA\tB\nC\t \n\t\n")
+    assert sorted(r[0] for r in readers.seeds(spark, str(tmp_path / "t.tsv")).collect()) == ["B", "C"]
+    (tmp_path / "t.jsonl").write_text('{"smiles": "A", "canonical_smiles": "\\tB "}\n{"smiles": "C"}\n{}\n')
+    assert sorted(r[0] for r in readers.seeds(spark, str(tmp_path / "t.jsonl")).collect()) == ["B", "C"]
+    (tmp_path / "u.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="none of the columns"):
+        readers.seeds(spark, str(tmp_path / "u.csv"))
 
 
 def test_reports_by_path(spark, tmp_path):
@@ -110,16 +150,60 @@ def test_sinks(spark, tmp_path):
     sinks.append_new(spark, df, path, "id")
     sinks.append_new(spark, df, path, "id")
     assert spark.read.parquet(path).count() == 3
-    assert sinks.without_bad(spark, path, df.where("id = 'b'"), ["id"], dry_run=True) == {"before": 3, "removed": 1, "after": 2}
-    sinks.without_bad(spark, path, df.where("id = 'b'"), ["id"])
-    assert {r[0] for r in spark.read.parquet(path).select("id").collect()} == {"a", "c"}
+    table = VersionedTable(spark, str(tmp_path / "v"))
+    table.write(df, None)
+    assert sinks.without_bad(table, df.where("id = 'b'"), ["id"], dry_run=True) == {"before": 3, "removed": 1, "after": 2}
+    assert sinks.without_bad(table, df.where("id = 'b'"), ["id"])["after"] == 2
+    assert {r[0] for r in table.read().select("id").collect()} == {"a", "c"}
     up = sinks.upserted(df, spark.createDataFrame([("a", 9), ("z", 1)], "id string, n int"), "id", ["n"])
     assert {tuple(r) for r in up.collect()} == {("a", 9), ("b", 2), ("c", 3)}
+    twice = spark.createDataFrame([("a", 9, 1), ("a", 4, 2), ("a", None, 0), ("b", None, 1)], "id string, n int, at int")
+    assert sorted(tuple(r) for r in sinks.upserted(df, twice, "id", ["n"], F.col("at")).collect()) == [("a", 4), ("b", 2), ("c", 3)]
+    assert sorted(tuple(r) for r in sinks.upserted(df, twice, "id", ["n"]).collect()) == [("a", 9), ("b", 2), ("c", 3)]
     assert sinks.markdown(df.limit(1)).count("|") >= 6 and len(json.loads(sinks.json_report(df))) == 3
     sheet = sinks.review_sheet(df.select("id"), spark.createDataFrame([("a", "one", "ok", 1), ("a", "two", "ok", 2), ("b", "one", "ok", 1)], "id string, role string, decision string, at int"), "id", ["one", "two"])
     assert {r["id"]: r["agreed"] for r in sheet.collect()} == {"a": True, "b": False, "c": False}
 
 
+def test_a_reader_always_finds_one_version(spark, tmp_path):
+    """Readers run while versions are put, each sees one whole version."""
+    import threading
+
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    version = table.write(spark.range(10).selectExpr("id", "0 as version"), None)
+    seen, stop = [], threading.Event()
+
+    def reading():
+        while not stop.is_set():
+            rows = table.read().collect()
+            seen.append((len(rows), {r["version"] for r in rows}))
+
+    reader = threading.Thread(target=reading)
+    reader.start()
+    try:
+        for n in range(1, 5):
+            version = table.write(table.read(version).selectExpr("id", f"{n} as version"), version)
+    finally:
+        stop.set()
+        reader.join()
+    assert seen and all(n == 10 and len(v) == 1 for n, v in seen)
+    assert table.expire(2) == 3 and table.numbers() == [3, 4] and table.read().first()["version"] == 4
+    assert len(list((tmp_path / "t" / "data").iterdir())) == 2
+
+
+def test_a_second_writer_fails(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    first = table.write(spark.range(3), None)
+    table.write(spark.range(4), first)
+    with pytest.raises(Conflict):
+        table.write(spark.range(5), first)
+    assert table.read().count() == 4 and len(list((tmp_path / "t" / "data").iterdir())) == 2
+    now = table.current()
+    assert table.read(table.put({}, now.schema, now)).count() == 0
+
+
 def test_stream_upsert_is_last_wins(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "k string, v int"
@@ -129,3 +213,21 @@ def test_stream_upsert_is_last_wins(spark, tmp_path):
         q = upsert.upsert(upsert.stream_of(spark, src, spark.read.parquet(src).schema, 1), str(tmp_path / "out"), str(tmp_path / "ck"), "k", "v")
         q.awaitTermination()
     assert {tuple(r) for r in upsert.latest(spark, str(tmp_path / "out")).select("k", "v").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_upserts_write_what_a_batch_brings(spark, tmp_path):
+    """A small batch on a large table writes few bytes; the rows are those of a plain loop."""
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    want, written = {}, []
+    for n in range(8):
+        ids = range(20000) if n == 0 else range(n * 10, n * 10 + 30)
+        rows = [(i, n * 100000 + i, "x" * 20) for i in ids]
+        want |= {i: v for i, v, _ in rows}
+        spark.createDataFrame(rows, "k long, v long, t string").coalesce(1).write.mode("append").parquet(src)
+        upsert.upsert(upsert.stream_of(spark, src, spark.read.parquet(src).schema), out, ck, "k", "v", buckets=4, most_deltas=3).awaitTermination()
+        table = VersionedTable(spark, out)
+        written.append({f: b for p in table.current().parts.values() for f, b in p})
+    assert {r["k"]: r["v"] for r in upsert.latest(spark, out).collect()} == want
+    assert upsert.latest(spark, out).count() == len(want) and len(table.numbers()) == 2
+    fresh = [sum(b for f, b in now.items() if f not in then) for then, now in zip([{}, *written], written)]
+    assert fresh[1] < fresh[0] / 10 and fresh[2] < fresh[0] / 10
