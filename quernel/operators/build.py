@@ -29,24 +29,59 @@ def hash_capped(df: DataFrame, cap: int, seed: int, key: str) -> DataFrame:
     return df.withColumn("order_key", hash_order(seed, key)).orderBy("order_key", key).limit(cap)
 
 
-def hard_replay(base: DataFrame, extra: DataFrame, heldout: DataFrame, key: str, source: str, difficulty: str, caps: Mapping[str, int], base_times: Mapping[str, int], extra_times: Mapping[str, int], at: str, seed: int) -> DataFrame:
-    """Rows with policy and repeat_index: what is held out goes, the first row of a key stays, sources are capped in hash order, hard rows repeat.
+#: How often a base row of a difficulty comes, and a row of an extra bucket; others come once and 8 times.
+DIFFICULTY_TIMES = {
+    "handwritten": 8, "chinese_exam": 6, "photo": 6, "scan": 6, "degraded_scan": 6, "document_embed": 5, "journal_fig": 5, "multi_grid": 5, "page_level": 5, "hard": 3, "medium_hard": 2,
+    "abbreviated": 2, "large": 2, "medium": 1, "easy": 1, "clean": 1,
+}
+BUCKET_TIMES, OTHER_BUCKETS = {"auto_photo_scan": 14, "auto_document_context": 14, "auto_exam_context": 14, "auto_handdrawn_like": 14, "auto_long_stereo": 10}, 8
+#: The least and the most repeats of a source, whatever the difficulty.
+SOURCE_TIMES = {"real_world": (4, None), "molgrapher_synthetic": (2, 3), "uspto": (1, 2), "uspto30k_abbreviated": (1, 2), "uspto30k_large": (1, 2), "uob": (1, 1), "uspto30k_clean": (1, 1)}
+
+
+def named_times(column, times: Mapping[str, int], other: int) -> Column:
+    """How often a value's rows come, by its name."""
+    return F.coalesce(*[F.when(_c(column) == d, n) for d, n in times.items()], F.lit(other))
+
+
+def base_times(source, difficulty, times: Mapping[str, int] = DIFFICULTY_TIMES, clamps: Mapping[str, tuple[int, int | None]] = SOURCE_TIMES) -> Column:
+    """Repeats of a base row: by its difficulty, then held between its source's least and most."""
+    out = n = named_times(difficulty, times, 1)
+    for name, (least, most) in clamps.items():
+        held = F.greatest(n, F.lit(least))
+        out = F.when(_c(source) == name, F.least(held, F.lit(most)) if most else held).otherwise(out)
+    return out
+
+
+def hard_replay(base: DataFrame, extra: DataFrame, heldout: DataFrame, key: str, target: str, source: str, difficulty: str, bucket: str, caps: Mapping[str, int], at: str, seed: int, times: Mapping[str, int] = DIFFICULTY_TIMES, clamps: Mapping[str, tuple[int, int | None]] = SOURCE_TIMES, bucket_times: Mapping[str, int] = BUCKET_TIMES, other_buckets: int = OTHER_BUCKETS) -> DataFrame:
+    """Rows with policy and repeat_index: what has a held-out target goes, the first row of a key stays, sources are capped in hash order, hard rows repeat.
 
-    Rows of `extra` aren't capped and repeat by their own map. A row repeats as
-    often as its difficulty says, once if it isn't named.
+    Base rows repeat by difficulty within their source's bounds; rows of `extra`
+    aren't capped and repeat by their bucket, or their difficulty if they have
+    none, other_buckets times where that isn't named. A missing source,
+    difficulty or bucket is `unknown`.
     """
-    fresh = lambda df: best(df.join(heldout.select(key).distinct(), key, "left_anti"), key, [F.col(at)])
+    fresh = lambda df: best(df.join(heldout.select(target).distinct(), target, "left_anti"), key, [F.col(at)])
+    named = lambda *c: F.coalesce(*[F.nullif(F.col(x).cast("string"), F.lit("")) for x in c], F.lit("unknown"))
     cap = F.coalesce(*[F.when(F.col(source) == s, n) for s, n in caps.items()], F.lit(1 << 62))
     kept = spread_rank(fresh(base), source, hash_order(seed, key), F.col(key), "\x01n").where(F.col("\x01n") <= cap).drop("\x01n")
-    times = lambda m: F.coalesce(*[F.when(F.col(difficulty) == d, n) for d, n in m.items()], F.lit(1))
 
-    def repeated(df: DataFrame, m: Mapping[str, int], name: Column) -> DataFrame:
-        df = df.withColumn("\x01t", times(m))
+    def repeated(df: DataFrame, n: Column, name: Column) -> DataFrame:
+        df = df.withColumn("\x01t", n)
         df = df.withColumn("policy", F.concat(name, F.lit(":repeat_"), F.col("\x01t").cast("string")))
         return df.withColumn("repeat_index", F.explode(F.sequence(F.lit(0), F.col("\x01t") - 1))).drop("\x01t")
 
-    first = repeated(kept, base_times, F.concat(F.lit("base_"), F.col(source), F.lit("_"), F.col(difficulty)))
-    return first.unionByName(repeated(fresh(extra), extra_times, F.concat(F.lit("auto_"), F.col(difficulty))))
+    first = repeated(kept, base_times(named(source), named(difficulty), times, clamps), F.concat(F.lit("base_"), named(source), F.lit("_"), named(difficulty)))
+    where = named(bucket, difficulty)
+    return first.unionByName(repeated(fresh(extra), named_times(where, bucket_times, other_buckets), F.concat(F.lit("auto_"), where)))
+
+
+def replay_report(built: DataFrame, base: DataFrame, extra: DataFrame, heldout: DataFrame, target: str, source: str) -> DataFrame:
+    """(what, name, n) of a replay set: rows by policy and by source, and base and extra rows that a held-out target took."""
+    by = lambda what, c: built.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "name", "n")
+    held = heldout.select(target).distinct()
+    lost = lambda name, df: df.join(held, target, "left_semi").agg(F.count(F.lit(1)).alias("n")).select(F.lit("skipped").alias("what"), F.lit(name).alias("name"), "n")
+    return by("policy", "policy").unionByName(by("source", source)).unionByName(lost("base_heldout", base)).unionByName(lost("extra_heldout", extra))
 
 
 # Predicates and records
@@ -251,23 +286,6 @@ def correct_by(paired: DataFrame, fields: Sequence[str], a: str = "a", b: str =
     return out.select(field.alias("field"), value.alias("value"), "n", "baseline_correct", "candidate_correct")
 
 
-def paired_report(paired: DataFrame, resamples: DataFrame, slack: float = 0.005) -> DataFrame:
-    """One row: counts of pairs, deltas of exactness and validity, the resampled interval, McNemar's p, and whether the gate lets the candidate pass.
-
-    paired: a, b (exact, 0 or 1) and va, vb (valid). resamples: `mean` of each
-    resample. The gate: the interval's low end and the change of validity no
-    worse than -slack, and as many wins as losses.
-    """
-    n = lambda c: F.sum(c.cast("long"))
-    a, b = F.col("a") == 1, F.col("b") == 1
-    counts = paired.agg(F.count(F.lit(1)).alias("n"), n(~a & b).alias("wins"), n(a & ~b).alias("losses"), F.avg(F.col("b").cast("double") - F.col("a")).alias("exact_delta"), F.avg(F.col("vb").cast("double") - F.col("va")).alias("valid_delta"))
-    spread = resamples.agg(F.percentile("mean", 0.025).alias("ci95_low"), F.percentile("mean", 0.975).alias("ci95_high"), F.avg((F.col("mean") > 0).cast("double")).alias("probability_gain"))
-    both = counts.join(spread)  # one row each
-    passed = (F.col("ci95_low") >= -slack) & (F.col("valid_delta") >= -slack) & (F.col("wins") >= F.col("losses"))
-    r = lambda c: F.round(c, 6).alias(c)
-    return both.select("n", "wins", "losses", r("exact_delta"), r("ci95_low"), r("ci95_high"), r("probability_gain"), r("valid_delta"), F.round(mcnemar_p("wins", "losses"), 9).alias("mcnemar_p"), passed.alias("passed"))
-
-
 def rolled_up(reports: DataFrame, text: str, schema: str) -> DataFrame:
     """Reports in JSON as rows: the fields of `schema`, nested ones by their path."""
     return reports.select(*[c for c in reports.columns if c != text], F.from_json(text, schema, {"mode": "FAILFAST"}).alias("\x01r")).select("*", "\x01r.*").drop("\x01r")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quernel.functions.keys import hash_order
 from quernel.operators.rank import best, ranked
 
 #: What stands in for a missing score and a missing index.
@@ -56,21 +55,6 @@ def rerank(aggregates: DataFrame, strategy: str = "current", sample: str = "id",
     return best(aggregates, sample, order_of(strategy, key))
 
 
-def rerank_two_stage(aggregates: DataFrame, family: str, bonus: Column, size: Column, size_weight: float, rescue: float, sample: str = "id", key: str = "canonical") -> DataFrame:
-    """By votes with a bonus less a size term; then a variant of the same family takes over if it has `rescue` of the winner's votes or more."""
-    scored = aggregates.withColumn("stage_score", F.col("votes") + bonus - size * size_weight)
-    first = best(scored, sample, [F.col("stage_score").desc(), F.col("max_score").desc(), F.col(key).asc()])
-    lead = first.select(sample, F.col(family).alias("\x01family"), F.col("votes").alias("\x01votes"))
-    rivals = scored.join(lead, sample).where((F.col(family) == F.col("\x01family")) & (F.col("votes") >= rescue * F.col("\x01votes")))
-    return best(rivals, sample, [F.length(key).desc(), F.col("votes").desc(), F.col(key).asc()]).drop("\x01family", "\x01votes")
-
-
-def rerank_soft(aggregates: DataFrame, score_weight: float, penalty: Column, sample: str = "id", key: str = "canonical") -> DataFrame:
-    """By one score: log votes, weighted score, less the penalty."""
-    scored = aggregates.withColumn("soft", F.round(F.log1p(F.col("votes").cast("double")) + F.col("max_score") * score_weight - penalty, 9))
-    return best(scored, sample, [F.col("soft").desc(), F.col(key).asc()])
-
-
 def fused(cands: DataFrame, strategy: str, weights: Mapping[str, float] | None = None, run: str = "run", penalty: str = "penalty", sample: str = "id", key: str = "canonical") -> DataFrame:
     """Selections from the pooled candidates of several runs by one strategy."""
     agg = aggregate(cands, sample, key, runs=run)
@@ -151,13 +135,6 @@ def merged_pairs(*pairs: DataFrame, keys: Sequence[str] = ("id", "chosen", "reje
     return best(every, list(keys), [F.col("priority"), F.col("source_index"), F.col("pair_type")])
 
 
-def dpo_pairs(pool: DataFrame, per_source: int, total: int, source: str = "source", sample: str = "id", seed: int = 13) -> DataFrame:
-    """The best wrong answer of each sample, at most per_source of a source and total in all, in hash order: a sampling operator."""
-    one = best(pool, sample, [F.col("votes").desc(), F.col("max_score").desc(), F.col("rejected")])
-    r = ranked(one.withColumn("\x01h", hash_order(seed, sample)), source, [F.col("\x01h"), F.col(sample)], "\x01n").where(F.col("\x01n") <= per_source)
-    return r.orderBy("\x01h", sample).limit(total).drop("\x01h", "\x01n")
-
-
 def as_sft(pairs: DataFrame, prompt: Column) -> DataFrame:
     turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     return pairs.select("id", F.array(turn("user", prompt), turn("assistant", F.col("chosen"))).alias("messages"))

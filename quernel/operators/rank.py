@@ -110,3 +110,23 @@ def ordinal(df: DataFrame, *order) -> DataFrame:
     sizes = parts.groupBy("\x01p").agg(F.count(F.lit(1)).alias("\x01n"))
     before = sizes.select("\x01p", F.coalesce(F.sum("\x01n").over(W.orderBy("\x01p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("\x01b"))
     return parts.join(F.broadcast(before), "\x01p").withColumn("ord", (F.col("\x01i") + F.col("\x01b") - 1).cast("long")).drop("\x01p", "\x01i", "\x01b")
+
+
+def running(df: DataFrame, group: str | None, major: str, minor: str, value: str, to: str, span: int = 1 << 16) -> DataFrame:
+    """df with the sum of `value` over a group's rows up to this one, in the order of major and minor, an integer.
+
+    Sums run within ranges of `span` values of minor and are shifted by the
+    sums of the ranges before, of which there is one row each; so neither a hot
+    group nor all rows are one task. Rows of equal place are summed together.
+    """
+    groups = [group] if group else []
+    d = df.withColumn("\x01part", F.floor(F.col(minor) / span))
+    sums = d.groupBy(*[F.col(g).alias(f"\x01g{g}") for g in groups], F.col(major).alias("\x01major"), F.col("\x01part").alias("\x01p")).agg(F.sum(value).alias("\x01sum"))
+    earlier = W.partitionBy(*[f"\x01g{g}" for g in groups]).orderBy("\x01major", "\x01p").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("\x01before", F.coalesce(F.sum("\x01sum").over(earlier), F.lit(0)))
+    within = W.partitionBy(*groups, major, "\x01part").orderBy(minor)
+    d = d.withColumn("\x01within", F.sum(value).over(within))
+    same = F.col(major).eqNullSafe(F.col("\x01major")) & F.col("\x01part").eqNullSafe(F.col("\x01p"))
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"\x01g{g}"))
+    return d.join(sums, same).select(*df.columns, (F.col("\x01within") + F.col("\x01before")).alias(to))

@@ -84,28 +84,45 @@ def merged_shards(shards: DataFrame, expected: DataFrame, key: str) -> DataFrame
     return repeated.unionByName(diff)
 
 
-def containing(texts: DataFrame, passages: DataFrame, text: str, passage: str, words: int = 5) -> DataFrame:
+#: Passages up to this many are looked for inside the scan of the texts; more are joined.
+SCANNED_PASSAGES = 4096
+
+
+def containing(texts: DataFrame, passages: DataFrame, text: str, passage: str, words: int = 5, scanned: int = SCANNED_PASSAGES) -> DataFrame:
     """Rows of texts with each passage they contain.
 
-    A theta join made an equi-join: `words` words of a passage, and every run
-    of as many words of a text, are joined, and the hits compared. The first
-    and last word of a passage may be parts of words of a text, so passages of
-    fewer than words + 2 words are joined by characters: their first 16, or the
-    power of two that they have. A text gives runs only of lengths in use.
+    A theta join by keys: `words` words of a passage against every run of as
+    many words of a text, and hits compared. The first and last word of a
+    passage may be parts of words of a text, so passages of fewer than words + 2
+    words have no such key. Up to `scanned` passages travel to the scan of the
+    texts as one array and everything is done there; a text meets only passages
+    that share a key with it, or short ones that it contains. More passages are
+    joined with the runs of the texts, the short ones by characters: their
+    first 16, or the power of two that they have.
     """
     split = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
     p = passages.withColumn("\x01w", split(passage)).where(F.size("\x01w") > 0)
-    t = texts.withColumn("\x01row", F.monotonically_increasing_id()).withColumn("\x01w", split(text))
-    starts = F.when(F.size("\x01w") >= words, F.transform(F.sequence(F.lit(1), F.size("\x01w") - words + 1), lambda i: F.xxhash64(F.slice("\x01w", i, words)))).otherwise(F.array().cast("array<long>"))
     long_p = p.where(F.size("\x01w") >= words + 2).withColumn("\x01h", F.xxhash64(F.slice("\x01w", 2, words))).drop("\x01w")
-    keys = t.select("\x01row", F.explode(F.array_distinct(starts)).alias("\x01h")).join(long_p, "\x01h").drop("\x01h")
+    short_p = p.where(F.size("\x01w") < words + 2).drop("\x01w")
+    t = texts.withColumn("\x01w", split(text))
+    starts = F.when(F.size("\x01w") >= words, F.transform(F.sequence(F.lit(1), F.size("\x01w") - words + 1), lambda i: F.xxhash64(F.slice("\x01w", i, words)))).otherwise(F.array().cast("array<long>"))
+    if passages.limit(scanned + 1).count() <= scanned:
+        keys = long_p.agg(F.collect_set("\x01h").alias("\x01keys"))
+        met = t.withColumn("\x01runs", starts).join(F.broadcast(keys)).withColumn("\x01h", F.explode(F.array_intersect("\x01runs", "\x01keys")))  # one row of keys
+        found = met.drop("\x01w", "\x01runs", "\x01keys").join(F.broadcast(long_p), "\x01h").where(F.contains(text, F.col(passage))).drop("\x01h")
+        few = short_p.agg(F.collect_set(passage).alias("\x01short"))
+        held = texts.join(F.broadcast(few)).withColumn("\x01p", F.explode(F.filter("\x01short", lambda s: F.contains(text, s)))).drop("\x01short")  # one row
+        return found.unionByName(held.join(F.broadcast(short_p.withColumn("\x01p", F.col(passage))), "\x01p").drop("\x01p"))
+    t = t.withColumn("\x01key", F.xxhash64(text))
+    hits = t.select("\x01key", F.explode(F.array_distinct(starts)).alias("\x01h")).distinct().join(long_p, "\x01h").drop("\x01h")
     n = F.length(passage)
     power = F.when(n >= 16, 16).when(n >= 8, 8).when(n >= 4, 4).when(n >= 2, 2).otherwise(1)
     hashed = lambda letters, i, k: F.xxhash64(F.slice(letters, i, k))
-    short_p = p.where(F.size("\x01w") < words + 2).drop("\x01w").withColumn("\x01k", power).withColumn("\x01h", hashed(F.split(passage, ""), 1, F.col("\x01k")))
+    short_p = short_p.withColumn("\x01k", power).withColumn("\x01h", hashed(F.split(passage, ""), 1, F.col("\x01k")))
     lengths = F.broadcast(short_p.select("\x01k").distinct())
-    letters = t.select("\x01row", F.split(text, "").alias("\x01c")).join(lengths, F.size("\x01c") >= F.col("\x01k"))
+    letters = t.select("\x01key", F.split(text, "").alias("\x01c")).join(lengths, F.size("\x01c") >= F.col("\x01k"))
     runs = F.transform(F.sequence(F.lit(1), F.size("\x01c") - F.col("\x01k") + 1), lambda i: hashed(F.col("\x01c"), i, F.col("\x01k")))
-    short_keys = letters.select("\x01row", "\x01k", F.explode(F.array_distinct(runs)).alias("\x01h")).join(short_p, ["\x01k", "\x01h"]).drop("\x01k", "\x01h")
-    found = t.drop("\x01w").join(keys.unionByName(short_keys), "\x01row").where(F.contains(text, F.col(passage)))
-    return found.drop("\x01row")
+    short_hits = letters.select("\x01key", "\x01k", F.explode(F.array_distinct(runs)).alias("\x01h")).distinct().join(short_p, ["\x01k", "\x01h"]).drop("\x01k", "\x01h")
+    # equal texts share their hash and their hits; the comparison settles texts that share a hash by chance
+    found = t.drop("\x01w").join(hits.unionByName(short_hits), "\x01key").where(F.contains(text, F.col(passage)))
+    return found.drop("\x01key")

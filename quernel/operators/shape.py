@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions.text import filled
+from quernel.functions.text import filled, trimmed
 
 
 def coalesced(*columns) -> Column:
@@ -103,7 +103,26 @@ def parsed_box(x) -> Column:
     return F.when(good & (F.try_element_at(parts, F.lit(3)) > F.try_element_at(parts, F.lit(1))) & (F.try_element_at(parts, F.lit(4)) > F.try_element_at(parts, F.lit(2))), parts)
 
 
+#: Image modes that harm inference, by name and by how they begin; RGB alone is sound, all others want a look.
+DELETED_MODES, DELETED_PREFIXES = ("P", "PA", "1", "I", "F"), ("I;16",)
+
+
 def image_mode_class(mode) -> Column:
-    """ok for colour and grey, review for palettes and alpha, delete for anything else."""
-    mode = F.col(mode) if isinstance(mode, str) else mode
-    return F.when(mode.isin("RGB", "L"), "ok").when(mode.isin("RGBA", "LA", "P"), "review").otherwise("default_delete")
+    """ok for RGB, default_delete for palettes, bits and other depths, review for all else, a missing mode too."""
+    mode = F.coalesce(trimmed(mode), F.lit(""))
+    bad = mode.isin(*DELETED_MODES)
+    for p in DELETED_PREFIXES:
+        bad = bad | F.startswith(mode, F.lit(p))
+    return F.when(mode == "RGB", "ok").when(bad, "default_delete").otherwise("review")
+
+
+def unwanted_images(rows: DataFrame, modes: DataFrame, image: str, path: str = "path", mode: str = "mode") -> tuple[DataFrame, DataFrame]:
+    """Rows without those whose image is to be deleted, and the plan: each image that goes, its class, and how many rows name it.
+
+    An image of rows that `modes` doesn't know is missing and goes too; the plan
+    is what an anti join takes off the rows.
+    """
+    known = modes.select(F.col(path).alias(image), image_mode_class(mode).alias("\x01class")).groupBy(image).agg(F.max(F.struct(F.col("\x01class") == "default_delete", "\x01class")).getField("\x01class").alias("\x01class"))
+    named = rows.groupBy(image).agg(F.count(F.lit(1)).alias("n_rows")).join(known, image, "left")
+    plan = named.select(image, F.coalesce("\x01class", F.lit("missing")).alias("action"), "n_rows").where(F.col("action").isin("missing", "default_delete"))
+    return rows.join(plan.select(image), image, "left_anti").where(F.col(image).isNotNull()).select(*rows.columns), plan

@@ -16,16 +16,25 @@ def cluster_means(paired: DataFrame, cluster: str, a: str = "a", b: str = "b") -
     return paired.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(a).cast("double")).alias("mean_a"), F.avg(F.col(b).cast("double")).alias("mean_b")).withColumn("delta", F.col("mean_b") - F.col("mean_a"))
 
 
-def bootstrap(units: DataFrame, value: str, index: str, n_units: int, iterations: int, seed: int = 17) -> DataFrame:
+#: Units up to this many travel as one array; 8 MiB of doubles.
+BROADCAST_UNITS = 1 << 20
+
+
+def bootstrap(units: DataFrame, value: str, index: str, n_units: int, iterations: int, seed: int = 17, broadcast_units: int = BROADCAST_UNITS) -> DataFrame:
     """(iteration, mean): means of resamples of units numbered 0 .. n_units-1 by `index`.
 
     The draw of place j of iteration i is a hash of both, so any engine can
-    repeat it. iterations x units draws are made in parallel and joined to the
-    units, of which there is one row a cluster.
+    repeat it. Draws are made and summed where they arise: up to broadcast_units
+    units, there is one array of all values beside them; beyond that draws are
+    joined with the units, of which there is one row a cluster.
     """
     spark = units.sparkSession
     draws = spark.range(iterations * n_units).select(F.floor(F.col("id") / n_units).alias("iteration"), F.pmod(hash_number(seed, F.col("id")), F.lit(n_units)).alias(index))
-    return draws.join(units.select(index, value), index).groupBy("iteration").agg(F.avg(value).alias("mean"))
+    if n_units > broadcast_units:
+        return draws.join(units.select(index, value), index).groupBy("iteration").agg(F.avg(value).alias("mean"))
+    every = units.agg(F.transform(F.sort_array(F.collect_list(F.struct(index, value))), lambda s: s[value]).alias("\x01every"))
+    drawn = draws.join(F.broadcast(every)).select("iteration", F.col("\x01every")[F.col(index).cast("int")].alias(value))  # one row
+    return drawn.groupBy("iteration").agg(F.avg(value).alias("mean"))
 
 
 def interval(means: DataFrame, digits: int = 9) -> DataFrame:

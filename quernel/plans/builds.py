@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quernel.operators import build, stats
+from quernel.operators import build, paired
 from quernel.operators import candidates as cand
 from quernel.plans.base import CANDIDATES, Tables, candidates, query, truth
-from quernel.plans.selection import _AB, _MINED, _units
+from quernel.plans.selection import _MINED
 
 # Mixtures: small parts are the base, large ones the wild rows, and base rows of two brands come again as variants
 
@@ -50,19 +50,41 @@ def mixture_hard_replay(spark, sf):
     return build.hash_capped(hard, 150, 91, "p_partkey").select("p_partkey", "piece", "order_key")
 
 
-@query("hard_replay_build", """
-with h as (select distinct p_type || '|' || p_name as k from part where p_partkey % 19 = 5),
-b as (select * from (select p_partkey, p_type || '|' || p_name as k, p_brand as s, case when p_size % 4 = 0 then 'scan' when p_size % 4 = 1 then 'hand' else 'clean' end as d, row_number() over (partition by p_type || '|' || p_name order by p_partkey) as r from part where p_size <= 30 and p_type || '|' || p_name not in (select k from h)) where r = 1),
-e as (select * from (select p_partkey, p_type || '|' || p_name as k, p_brand as s, case when p_size % 4 = 0 then 'scan' when p_size % 4 = 1 then 'hand' else 'clean' end as d, row_number() over (partition by p_type || '|' || p_name order by p_partkey) as r from part where p_size > 30 and p_type || '|' || p_name not in (select k from h)) where r = 1),
-c as (select *, row_number() over (partition by s order by sha256('33|' || k), k) as n from b),
-f as (select p_partkey, s, d, case d when 'scan' then 4 when 'hand' then 2 else 1 end as t, 'base_' || s || '_' || d as p from c where n <= case s when 'Brand#1' then 9 when 'Brand#2' then 14 else 1000000000 end
-  union all select p_partkey, s, d, case d when 'scan' then 3 else 1 end, 'auto_' || d from e)
-select p_partkey, p || ':repeat_' || t as policy, i::int as repeat_index from f, lateral (select unnest(range(t)) as i)""")
+_REPLAY = """
+r as (select p_partkey, p_type || '|' || p_name as k, p_name as target, p_size, ['real_world', 'molgrapher_synthetic', 'uspto', 'uob', 'other', 'uspto30k_large', null][p_partkey % 7 + 1] as s,
+  ['handwritten', 'scan', 'hard', 'medium_hard', 'clean', 'strange', null][p_size % 7 + 1] as d, ['auto_photo_scan', 'auto_long_stereo', 'auto_else', '', null][p_partkey % 5 + 1] as w from part),
+h as (select distinct target from r where p_partkey % 19 = 5),
+b as (select * from (select *, row_number() over (partition by k order by p_partkey) as n from r where p_size <= 30 and target not in (select target from h)) where n = 1),
+e as (select * from (select *, row_number() over (partition by k order by p_partkey) as n from r where p_size > 30 and target not in (select target from h)) where n = 1),
+c as (select *, row_number() over (partition by s order by sha256('33|' || k), k) as place, case coalesce(d, 'unknown') when 'handwritten' then 8 when 'scan' then 6 when 'hard' then 3 when 'medium_hard' then 2 else 1 end as t from b),
+f as (select p_partkey, s, 'base_' || coalesce(s, 'unknown') || '_' || coalesce(d, 'unknown') as p,
+    case coalesce(s, 'unknown') when 'real_world' then greatest(t, 4) when 'molgrapher_synthetic' then least(greatest(t, 2), 3) when 'uspto' then least(t, 2) when 'uspto30k_large' then least(t, 2) when 'uob' then 1 else t end as t
+  from c where place <= case s when 'uob' then 9 when 'uspto' then 14 else 1000000000 end
+  union all select p_partkey, s, 'auto_' || coalesce(nullif(w, ''), d, 'unknown'), case coalesce(nullif(w, ''), d, 'unknown') when 'auto_photo_scan' then 14 when 'auto_long_stereo' then 10 else 8 end from e),
+out as (select p_partkey, s, p || ':repeat_' || t as policy, i::int as repeat_index from f, lateral (select unnest(range(t)) as i))"""
+
+
+def _replay(t: Tables):
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    p = t.part.select(
+        "p_partkey", "p_size", F.concat_ws("|", "p_type", "p_name").alias("k"), F.col("p_name").alias("target"), pick(["real_world", "molgrapher_synthetic", "uspto", "uob", "other", "uspto30k_large", None], F.col("p_partkey") % 7).alias("s"),
+        pick(["handwritten", "scan", "hard", "medium_hard", "clean", "strange", None], F.col("p_size") % 7).alias("d"), pick(["auto_photo_scan", "auto_long_stereo", "auto_else", "", None], F.col("p_partkey") % 5).alias("w"),
+    )
+    parts = p.where("p_size <= 30"), p.where("p_size > 30"), p.where("p_partkey % 19 = 5")
+    return build.hard_replay(*parts, "k", "target", "s", "d", "w", {"uob": 9, "uspto": 14}, "p_partkey", 33), *parts
+
+
+@query("hard_replay_build", f"with {_REPLAY} select p_partkey, policy, repeat_index from out")
 def hard_replay_build(spark, sf):
-    kind = F.when(F.col("p_size") % 4 == 0, "scan").when(F.col("p_size") % 4 == 1, "hand").otherwise("clean")
-    p = Tables(spark, sf).part.withColumn("k", F.concat_ws("|", "p_type", "p_name")).withColumn("d", kind)
-    out = build.hard_replay(p.where("p_size <= 30"), p.where("p_size > 30"), p.where("p_partkey % 19 = 5"), "k", "p_brand", "d", {"Brand#1": 9, "Brand#2": 14}, {"scan": 4, "hand": 2}, {"scan": 3}, "p_partkey", 33)
-    return out.select("p_partkey", "policy", "repeat_index")
+    return _replay(Tables(spark, sf))[0].select("p_partkey", "policy", "repeat_index")
+
+
+@query("hard_replay_report", f"""with {_REPLAY}
+select 'policy' as what, policy as name, count(*) as n from out group by 2 union all select 'source', coalesce(s, 'unknown'), count(*) from out group by 2
+union all select 'skipped', 'base_heldout', count(*) from r where p_size <= 30 and target in (select target from h) union all select 'skipped', 'extra_heldout', count(*) from r where p_size > 30 and target in (select target from h)""")
+def hard_replay_report(spark, sf):
+    built, base, extra, held = _replay(Tables(spark, sf))
+    return build.replay_report(built, base, extra, held, "target", "s")
 
 
 # Predicates and records
@@ -252,33 +274,82 @@ def correct_by_group(spark, sf):
     return build.correct_by(_runs(Tables(spark, sf)), ["flag", "status"])
 
 
-_REPORT = f"""with {_RUNS}, {_AB}, n as (select count(*) as n from u),
-d as (select i // n as iteration, ('0x' || substr(sha1('17:' || i), 1, 12))::bigint % n as unit from n, (select unnest(range(10000 * (select n from n))) as i)),
-m as (select iteration, avg(delta) as mean from d join u using (unit) group by 1),
-s as (select quantile_cont(mean, 0.025) as low, quantile_cont(mean, 0.975) as high, avg((mean > 0)::int) as gain from m),
-c as (select count(*) as n, sum((a = 0 and b = 1)::int)::bigint as wins, sum((a = 1 and b = 0)::int)::bigint as losses, avg(b - a) as exact_delta, avg(vb - va) as valid_delta from runs),
-q as (select c.*, s.*, wins + losses as k from c, s)
-select n, wins, losses, round(exact_delta, 6) as exact_delta, round(low, 6) as ci95_low, round(high, 6) as ci95_high, round(gain, 6) as probability_gain, round(valid_delta, 6) as valid_delta,
-  round(case when k = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda i: exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) - k * ln(2.0))))) end, 9) as mcnemar_p,
-  low >= -0.005 and valid_delta >= -0.005 and wins >= losses as passed from q"""
+def _report_sql(unit: str, clustered: bool) -> str:
+    """The report on paired rows, resampled by unit, from the same rows throughout."""
+    draws = lambda seed: f"(select i // n as iteration, ('0x' || substr(sha1('{seed}:' || i), 1, 12))::bigint % n as ord from n, (select unnest(range(10000 * (select n from n))) as i))"
+    spread = lambda name, seed: f"""
+m_{name} as (select iteration, avg({name}) as mean from {draws(seed)} join u using (ord) group by 1),
+s_{name} as (select quantile_cont(mean, 0.025) as {name}_low, quantile_cont(mean, 0.975) as {name}_high, avg((mean > 0)::int) as {name}_gain from m_{name})"""
+    p = "null::double" if clustered else "round(case when k = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda i: exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) - k * ln(2.0))))) end, 9)"
+    rounded = ", ".join(f"round({m}_{c}, 6) as {m}_{c}" for m in ("exact", "valid") for c in ("baseline", "candidate", "delta", "low", "high", "gain"))
+    return f"""
+g as (select {unit} as unit, avg(a) as a, avg(b) as b, avg(va) as va, avg(vb) as vb from pairs group by 1),
+u as (select row_number() over (order by unit) - 1 as ord, *, b - a as exact, vb - va as valid from g), n as (select count(*) as n from u),{spread("exact", 17)},{spread("valid", 18)},
+c as (select count(*) as n, sum((a = 0 and b = 1)::int)::bigint as wins, sum((a = 1 and b = 0)::int)::bigint as losses, sum((a = 1 and b = 1)::int)::bigint as "both", sum((a = 0 and b = 0)::int)::bigint as neither from pairs),
+v as (select count(*) as independent_units, avg(a) as exact_baseline, avg(b) as exact_candidate, avg(exact) as exact_delta, avg(va) as valid_baseline, avg(vb) as valid_candidate, avg(valid) as valid_delta from u),
+q as (select *, wins + losses as k from c, v, s_exact, s_valid),
+report as (select n, independent_units, wins, losses, "both", neither, {rounded}, {p} as mcnemar_p, exact_low >= -0.005 and valid_delta >= -0.005 and wins >= losses as passed from q)"""
+
+
+#: Both halves of an order's lines are two runs over it; orders are clustered by a supplier.
+_PAIRS = """
+pairs as (select l_orderkey as id, min(l_suppkey)::varchar as cluster, coalesce(max(case when l_linenumber % 2 = 0 then (l_quantity > 25)::int end), 0) as a, coalesce(max(case when l_linenumber % 2 = 1 then (l_quantity > 25)::int end), 0) as b,
+  coalesce(max(case when l_linenumber % 2 = 0 then (l_discount > 0.02)::int end), 0) as va, coalesce(max(case when l_linenumber % 2 = 1 then (l_discount > 0.02)::int end), 0) as vb, min(l_returnflag) as flag, min(l_linestatus) as status from lineitem group by 1)"""
+#: Two runs over suppliers, without clusters.
+_SUPPLIED = """
+pairs as (select l_suppkey as id, l_suppkey::varchar as cluster, (avg(case when l_linenumber % 2 = 0 then l_quantity end) > 25)::int as a, (avg(case when l_linenumber % 2 = 1 then l_quantity end) > 25)::int as b,
+  (avg(case when l_linenumber % 2 = 0 then l_discount end) > 0.05)::int as va, (avg(case when l_linenumber % 2 = 1 then l_discount end) > 0.05)::int as vb from lineitem group by 1 having count(distinct l_linenumber % 2) = 2)"""
+
+
+def _pairs(t: Tables):
+    def side(odd: int):
+        of = lambda c: F.coalesce(F.max(F.when(F.col("l_linenumber") % 2 == odd, c)), F.lit(False))
+        return t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_suppkey").alias("supplier"), of(F.col("l_quantity") > 25).alias("exact"), of(F.col("l_discount") > 0.02).alias("valid"), F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
 
+    return paired.paired(side(0), side(1), "id", "exact", "valid", ["flag", "status"], "supplier")
 
-def _report(t: Tables):
-    u = _units(t)
-    return build.paired_report(_runs(t), stats.bootstrap(u, "delta", "unit", u.count(), 10_000))
 
+def _supplied(t: Tables):
+    there = t.lineitem.groupBy("l_suppkey").agg(F.count_distinct(F.col("l_linenumber") % 2).alias("n")).where("n = 2").select("l_suppkey")
 
-@query("paired_report", _REPORT)
+    def side(odd: int):
+        d = t.lineitem.join(there, "l_suppkey", "left_semi").where(F.col("l_linenumber") % 2 == odd)
+        return d.groupBy(F.col("l_suppkey").alias("id")).agg((F.avg("l_quantity") > 25).alias("exact"), (F.avg("l_discount") > 0.05).alias("valid"))
+
+    return paired.paired(side(0), side(1), "id", "exact", "valid")
+
+
+@query("paired_report", f"with {_PAIRS}, {_report_sql('cluster', True)} select * from report")
 def paired_report(spark, sf):
-    return _report(Tables(spark, sf))
+    return paired.report(_pairs(Tables(spark, sf)), clustered=True)
+
+
+@query("paired_report_rows", f"with {_SUPPLIED}, {_report_sql('id', False)} select * from report")
+def paired_report_rows(spark, sf):
+    return paired.report(_supplied(Tables(spark, sf)))
 
 
-@query("paired_rollup", f"""select 'baseline' as baseline_run, 'candidate' as candidate_run, n, exact_delta, ci95_low, passed from ({_REPORT})""")
+@query("paired_changes", f"with {_PAIRS} select id, case when b = 1 then 'improvement' else 'regression' end as change from pairs where a <> b")
+def paired_changes(spark, sf):
+    return paired.changed(_pairs(Tables(spark, sf)))
+
+
+@query("paired_groups", f"""with {_PAIRS}
+select 'flag' as field, flag as value, count(*) as n, sum(a)::bigint as baseline_correct, sum(b)::bigint as candidate_correct from pairs group by flag union all
+select 'status', status, count(*), sum(a)::bigint, sum(b)::bigint from pairs group by status""")
+def paired_groups(spark, sf):
+    return paired.groups(_pairs(Tables(spark, sf)), ["flag", "status"])
+
+
+@query("paired_rollup", f"""
+select * from (with {_PAIRS}, {_report_sql('cluster', True)} select 'orders' as baseline_run, 'clustered' as candidate_run, n, exact_delta, exact_low as ci95_low, exact_high as ci95_high, valid_delta, passed from report)
+union all select * from (with {_SUPPLIED}, {_report_sql('id', False)} select 'suppliers' as baseline_run, 'rows' as candidate_run, n, exact_delta, exact_low, exact_high, valid_delta, passed from report)""")
 def paired_rollup(spark, sf):
-    exact = F.struct(F.col("exact_delta").alias("delta"), "ci95_low")
-    text = _report(Tables(spark, sf)).select(F.lit("baseline").alias("baseline_run"), F.lit("candidate").alias("candidate_run"), F.to_json(F.struct("n", exact.alias("exact"), F.struct("passed").alias("gate"))).alias("report"))
-    r = build.rolled_up(text, "report", "n long, exact struct<delta: double, ci95_low: double>, gate struct<passed: boolean>")
-    return r.select("baseline_run", "candidate_run", "n", F.col("exact.delta").alias("exact_delta"), F.col("exact.ci95_low").alias("ci95_low"), F.col("gate.passed").alias("passed"))
+    t = Tables(spark, sf)
+    kept = paired.as_json(paired.report(_pairs(t), clustered=True), baseline_run=F.lit("orders"), candidate_run=F.lit("clustered"))
+    kept = kept.unionByName(paired.as_json(paired.report(_supplied(t)), baseline_run=F.lit("suppliers"), candidate_run=F.lit("rows")))
+    r = build.rolled_up(kept, "report", "n long, exact struct<delta: double, ci95_low: double, ci95_high: double>, valid struct<delta: double>, gate struct<passed: boolean>")
+    return r.select("baseline_run", "candidate_run", "n", F.col("exact.delta").alias("exact_delta"), "exact.ci95_low", "exact.ci95_high", F.col("valid.delta").alias("valid_delta"), F.col("gate.passed").alias("passed"))
 
 
 @query("over_panels", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.plans import builds, curation, evaluation, selection
+from quernel.plans import builds, choices, curation, evaluation, selection
 from quernel.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "builds", "curation", "evaluation", "selection"]
+__all__ = ["QUERIES", "SQL", "builds", "choices", "curation", "evaluation", "selection"]

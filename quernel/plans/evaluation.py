@@ -249,12 +249,25 @@ def workspace_violations(spark, sf):
     return out
 
 
-@query("image_mode_audit", """
-select case when m in ('RGB', 'L') then 'ok' when m in ('RGBA', 'LA', 'P') then 'review' else 'default_delete' end as action, count(*) as n
-from (select ['RGB', 'L', 'RGBA', 'P', 'CMYK'][p_size % 5 + 1] as m from part) group by 1""")
+_MODES = ["RGB", "L", " RGBA", "P", "CMYK", "1", "I;16B", "LA", "", "HSV", "PA", "YCbCr"]
+
+
+@query("image_mode_audit", f"""
+with m as (select p_partkey, trim({_MODES}[p_partkey % 12 + 1]) as m from part)
+select m as mode, case when m = 'RGB' then 'ok' when m in ('P', 'PA', '1', 'I', 'F') or starts_with(m, 'I;16') then 'default_delete' else 'review' end as action, count(*) as n from m group by 1, 2""")
 def image_mode_audit(spark, sf):
-    m = F.element_at(F.array(*[F.lit(x) for x in ("RGB", "L", "RGBA", "P", "CMYK")]), F.col("p_size") % 5 + 1)
-    return Tables(spark, sf).part.groupBy(shape.image_mode_class(m).alias("action")).agg(F.count(F.lit(1)).alias("n"))
+    m = F.element_at(F.array(*[F.lit(x) for x in _MODES]), (F.col("p_partkey") % 12 + 1).cast("int"))
+    return Tables(spark, sf).part.select(F.trim(m).alias("mode"), shape.image_mode_class(m).alias("action")).groupBy("mode", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("image_deletion_plan", f"""
+with i as (select p_partkey, {_MODES}[p_partkey % 12 + 1] as m from part where p_partkey % 10 <> 3),
+r as (select l_partkey, count(*) as n_rows from lineitem group by 1)
+select l_partkey, case when p_partkey is null then 'missing' else 'default_delete' end as action, n_rows from r left join i on p_partkey = l_partkey where p_partkey is null or m in ('P', 'PA', '1', 'I', 'F') or starts_with(m, 'I;16')""")
+def image_deletion_plan(spark, sf):
+    t = Tables(spark, sf)
+    m = F.element_at(F.array(*[F.lit(x) for x in _MODES]), (F.col("p_partkey") % 12 + 1).cast("int"))
+    return shape.unwanted_images(t.lineitem, t.part.where("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("path"), m.alias("mode")), "l_partkey")[1]
 
 
 @query("pixel_boxes", """

@@ -54,29 +54,6 @@ def sibling_features(spark, sf):
     return s.select("id", "canonical", F.round("vote_share", 9).alias("vote_share"), F.round("margin", 6).alias("margin"), F.round("log_votes", 9).alias("log_votes"))
 
 
-@query("rerank_current", f"with {CANDIDATES} select id, canonical, votes, max_score from ({_BEST.format(order=_CURRENT, table='agg')})")
-def rerank_current(spark, sf):
-    return _pick(cand.rerank(cand.aggregate(candidates(Tables(spark, sf))), "current"))
-
-
-@query("rerank_two_stage", f"""with {CANDIDATES},
-s as (select *, substr(canonical, 1, 1) as family, votes + case when canonical like '_O%' then 0.5 else 0.0 end - substr(canonical, 3)::int * 0.01 as stage_score from agg),
-f as ({_BEST.format(order='stage_score desc, max_score desc, canonical', table='s')})
-select id, canonical, votes, max_score from (select s.*, row_number() over (partition by s.id order by length(s.canonical) desc, s.votes desc, s.canonical) as r from s join f on f.id = s.id and f.family = s.family and s.votes >= 0.5 * f.votes) where r = 1""")
-def rerank_two_stage(spark, sf):
-    a = cand.aggregate(candidates(Tables(spark, sf))).withColumn("family", F.substring("canonical", 1, 1))
-    bonus = F.when(F.substring("canonical", 2, 1) == "O", 0.5).otherwise(0.0)
-    return _pick(cand.rerank_two_stage(a, "family", bonus, F.substring("canonical", 3, 9).cast("int"), 0.01, 0.5))
-
-
-@query("rerank_soft", f"""with {CANDIDATES},
-s as (select *, round(ln(1 + votes) + max_score * 0.00001 - substr(canonical, 3)::int * 0.05, 9) as soft from agg)
-select id, canonical, votes, max_score from ({_BEST.format(order='soft desc, canonical', table='s')})""")
-def rerank_soft(spark, sf):
-    a = cand.aggregate(candidates(Tables(spark, sf)))
-    return _pick(cand.rerank_soft(a, 0.00001, F.substring("canonical", 3, 9).cast("int") * 0.05))
-
-
 @query("rerank_changes", f"""with {CANDIDATES},
 b as ({_BEST.format(order=_CURRENT, table='agg')}), a as ({_BEST.format(order='max_score desc, votes desc, canonical', table='agg')}),
 j as (select t.id, b.canonical is distinct from a.canonical as ch, coalesce(b.canonical = truth, false) as was, coalesce(a.canonical = truth, false) as now from truth t left join b on b.id = t.id left join a on a.id = t.id)
@@ -175,17 +152,6 @@ def merge_pairs(spark, sf):
     return cand.merged_pairs(m, again).groupBy("pair_type", "priority", "source_index").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dpo_pairs", f"""with {_MINED},
-o as (select * from (select m.*, panel as source, row_number() over (partition by m.id order by votes desc, max_score desc, rejected) as r from mined m join truth using (id)) where r = 1),
-s as (select *, sha256('13|' || id) as h, row_number() over (partition by source order by sha256('13|' || id), id) as q from o)
-select id, source, chosen, rejected from s where q <= 30 order by h, id limit 100""")
-def dpo_pairs(spark, sf):
-    t = Tables(spark, sf)
-    a = cand.aggregate(candidates(t))
-    pool = cand.mined_pairs(a, truth(t), 4).join(a.select("id", F.col("canonical").alias("rejected"), "votes", "max_score"), ["id", "rejected"]).join(truth(t).select("id", F.col("panel").alias("source")), "id")
-    return cand.dpo_pairs(pool, 30, 100).select("id", "source", "chosen", "rejected")
-
-
 # Policies
 
 _X = "x as (select id, canonical, votes::double as votes, max_score / 10000 as s, min_index::double as m, (canonical = truth)::int::double as y from agg join truth using (id))"

@@ -71,9 +71,16 @@ def test_latest_checkpoint(spark):
 
 
 def test_hard_replay_keeps_first_and_caps(spark):
-    df = spark.createDataFrame([(i, f"k{i % 10}", "s", "hard" if i % 2 else "easy") for i in range(30)], "at long, k string, s string, d string")
-    out = build.hard_replay(df, df.where("k = 'k1'"), df.where("k = 'k0'"), "k", "s", "d", {"s": 4}, {"hard": 3}, {}, "at", 1).collect()
+    df = spark.createDataFrame([(i, f"k{i % 10}", f"t{i % 10}", "s", "hard" if i % 2 else "easy", None) for i in range(30)], "at long, k string, t string, s string, d string, w string")
+    out = build.hard_replay(df, df.where("k = 'k1'"), df.where("k = 'k0'"), "k", "t", "s", "d", "w", {"s": 4}, "at", 1).collect()
     base = [r for r in out if r["policy"].startswith("base_")]
     assert len({r["k"] for r in base}) == 4 and all(r["at"] < 10 and r["k"] != "k0" for r in out)
     assert all(sum(x["k"] == r["k"] for x in base) == (3 if r["d"] == "hard" else 1) for r in base)
-    assert [(r["k"], r["policy"]) for r in out if r["policy"].startswith("auto_")] == [("k1", "auto_hard:repeat_1")]
+    auto = [(r["k"], r["policy"]) for r in out if r["policy"].startswith("auto_")]
+    assert auto == [("k1", "auto_hard:repeat_8")] * 8
+
+
+def test_repeats_are_held_by_sources(spark):
+    rows = [("real_world", "clean", 4), ("real_world", "handwritten", 8), ("molgrapher_synthetic", "clean", 2), ("molgrapher_synthetic", "scan", 3), ("uspto", "scan", 2), ("uob", "scan", 1), ("other", "scan", 6), ("other", None, 1)]
+    df = spark.createDataFrame(rows, "s string, d string, want int")
+    assert df.where(build.base_times("s", "d") != F.col("want")).count() == 0

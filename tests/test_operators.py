@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions import keys, numbers, text
 from quernel.operators import candidates as cand
-from quernel.operators import learn, measure, rank, relate, route, sample, shape, stats
+from quernel.operators import choose, learn, measure, paired, rank, relate, route, sample, shape, stats
 
 
 def values(df, *columns):
@@ -161,15 +161,17 @@ def test_unique_by_key_fails(spark):
 def test_containing_matches_contains(spark):
     t = spark.createDataFrame([(1, "x a b c d e f g y"), (2, "xa b c d e f gy"), (3, "nothing"), (4, None)], "i int, t string")
     p = spark.createDataFrame([("a b c d e f g",), ("nothing",), ("",)], "p string")
-    got = values(relate.containing(t, p, "t", "p"), "i", "p")
-    assert got == [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "nothing")]
+    for scanned in (0, 4096):
+        got = values(relate.containing(t, p, "t", "p", scanned=scanned), "i", "p")
+        assert got == [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "nothing")]
 
 
-def test_containing_short_passages_at_word_edges(spark):
+@pytest.mark.parametrize("scanned", [0, 100])
+def test_containing_short_passages_at_word_edges(spark, scanned):
     texts = [(1, "the book of love. And on"), (2, "xthe old book of lovely"), (3, "a bb ccc 😀é, end"), (4, ""), (5, "the\tbook of"), (6, None), (6, "the old big book of love."), (6, "the old big book of love.")]
     parts = ["the old big book of love", "big book of love", "the old book of love", "e old b", "book", "k o", "o", "😀é", "cc 😀", "f love", "x y", " ", "", "ld big book of lov", "the old big book of love. And more", "one two three four five six seven eight"]
     t = spark.createDataFrame(texts, "i int, t string")
-    found = relate.containing(t, spark.createDataFrame([(p,) for p in parts], "p string"), "t", "p")
+    found = relate.containing(t, spark.createDataFrame([(p,) for p in parts], "p string"), "t", "p", scanned=scanned)
     assert values(found, "i", "p") == sorted((i, p) for i, s in texts for p in parts if s is not None and p.strip() and p in s)
     assert "CartesianProduct" not in found._jdf.queryExecution().toString()
 
@@ -229,3 +231,93 @@ def test_spread_rank_and_sweep_are_as_plain_windows(spark):
         swept = rank.threshold_sweep(df, "g", "s", "gain", parts=parts)
         assert sorted(map(tuple, swept.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
     assert rank.threshold_sweep(df.limit(0), "g", "s", "gain").count() == 0
+
+
+def test_running_sums_over_ranges(spark):
+    """As one loop in order of place, for groups and for all rows, whatever the span; null is a group."""
+    import random
+
+    r = random.Random(4)
+    rows = [(run, line * r.randint(1, 3), r.choice(["a", "b", None]), r.randint(0, 3)) for run in range(3) for line in range(60)]
+    rows = list({(x[0], x[1]): x for x in rows}.values())
+    df = spark.createDataFrame(rows, "run int, line long, g string, v long")
+    for span in (1, 7, 1 << 16):
+        for group in ("g", None):
+            sums, want = {}, {}
+            for run, line, g, v in sorted(rows, key=lambda x: x[:2]):
+                k = g if group else 0
+                sums[k] = want[run, line] = sums.get(k, 0) + v
+            got = rank.running(df, group, "run", "line", "v", "s", span)
+            assert {(x["run"], x["line"]): x["s"] for x in got.collect()} == want and got.count() == len(rows)
+
+
+@pytest.mark.parametrize("per_source,total", [(2, 5), (0, 4), (3, 0), (0, 0), (1, 100)])
+def test_preference_scan_caps_in_order(spark, per_source, total):
+    import random
+
+    r = random.Random(per_source * 10 + total)
+    rows = [(run, line, r.choice("ab"), r.choice(["x", None])) for run in range(2) for line in range(12)]
+    df = spark.createDataFrame(rows, "run int, line long, source string, rejected string")
+    kept, of, want = 0, {}, {}
+    for run, line, source, rejected in rows:
+        if total and kept >= total:
+            status = "total_cap"
+        elif per_source and of.get(source, 0) >= per_source:
+            status = "source_cap"
+        elif rejected is None:
+            status = "no_rejected"
+        else:
+            status, kept = "kept", kept + 1
+            of[source] = of.get(source, 0) + 1
+        want[run, line] = status
+    got = choose.preference_scan(df, "run", "line", "source", "rejected", per_source, total, span=5)
+    assert {(x["run"], x["line"]): x["status"] for x in got.collect()} == want
+
+
+def test_rejected_answers(spark):
+    """The pool holds the prompt's own answers once; valid ones come first, then votes and nearness in length."""
+    one = "struct<" + choose.PAIR_POOL.replace(" ", ": ").replace(",: ", ", ") + ">"
+    answer = lambda prompt, p, canonical=None, raw=None, votes=None: (prompt, p, canonical, raw, votes, None, None, None)
+    nothing = answer(None, None)
+    rows = [
+        (1, "P", "CC", answer(None, "CC", votes=3), [answer("P", " CCC "), answer("Q", "CCCC", votes=9), answer("P", "C?", votes=8)]),
+        (2, "P", "CC", nothing, [answer("P", "C?"), answer(None, "?C")]),
+        (3, "P", "CC", nothing, None),
+        (4, "P", None, answer(None, "CC"), []),
+        (5, "P", "CC", answer(None, "CC"), [answer("P", "x", canonical="CC")]),
+        (6, "P", "CC", nothing, [answer("P", "CCCCC", votes=2), answer("P", "CCN", votes=2), answer("P", "CCO", votes=2)]),
+    ]
+    df = spark.createDataFrame(rows, f"id int, prompt string, target string, selected {one}, candidates array<{one}>")
+    canonical = lambda c: F.when(~F.contains(c, F.lit("?")), c)
+    got = {r["id"]: r["rejected"] for r in choose.with_rejected(df, canonical).collect()}
+    assert {i: tuple(v) if v else None for i, v in got.items()} == {1: ("CCC", 3, "valid_wrong"), 2: ("C?", 0, "invalid_wrong"), 3: None, 4: None, 5: None, 6: ("CCO", 2, "valid_wrong")}
+    assert {r["id"] for r in choose.with_rejected(df, canonical, allow_invalid=False).where("rejected is not null").collect()} == {1, 6}
+
+
+def test_paired_runs_must_match(spark):
+    kind = "id long, exact boolean, valid boolean, source string, c string"
+    a = spark.createDataFrame([(1, True, True, "s", "x"), (2, False, True, None, None), (3, None, None, "s", "")], kind)
+    b = spark.createDataFrame([(1, False, True, "s", "x"), (2, True, True, "s", None), (3, True, True, "s", None)], kind)
+    pairs = paired.paired(a, b, "id", "exact", "valid", ["source"], "c")
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, "x", 1, 0, 1, 1, "s"), (2, "2", 0, 1, 1, 1, None), (3, "3", 0, 1, 0, 1, "s")]
+    r = paired.report(pairs, iterations=50).first()
+    assert (r["n"], r["independent_units"], r["wins"], r["losses"], r["exact_delta"], r["mcnemar_p"]) == (3, 3, 2, 1, round(1 / 3, 6), 1.0)
+    assert paired.report(pairs, clustered=True, iterations=50).first()["mcnemar_p"] is None
+    assert sorted(tuple(x) for x in paired.changed(pairs).collect()) == [(1, "regression"), (2, "improvement"), (3, "improvement")]
+    for other, message in ((b.where("id < 3"), "only the baseline"), (b.union(b.where("id = 1").selectExpr("9L", "exact", "valid", "source", "c")), "only the candidate"), (b.withColumn("c", F.lit("y")), "clusters differ"), (b.union(b), "repeated id")):
+        with pytest.raises(Exception, match=message):
+            paired.paired(a, other, "id", "exact", "valid", ["source"], "c").collect()
+
+
+def test_resampling_by_array_is_as_by_join(spark):
+    units = spark.createDataFrame([(i, float(i * i % 7)) for i in range(40)], "ord long, v double")
+    ways = [sorted(tuple(r) for r in stats.bootstrap(units, "v", "ord", 40, 25, 3, most).collect()) for most in (0, 100)]
+    assert [(i, round(m, 9)) for i, m in ways[0]] == [(i, round(m, 9)) for i, m in ways[1]] and len(ways[0]) == 25
+
+
+def test_image_modes_and_the_deletion_plan(spark):
+    modes = spark.createDataFrame([("a", "RGB"), ("b", "P"), ("c", "I;16L"), ("d", None), ("e", "L")], "path string, mode string")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e"), (6, "gone"), (7, "b"), (8, None)], "i int, image string")
+    kept, plan = shape.unwanted_images(rows, modes, "image")
+    assert values(kept, "i") == [(1,), (4,), (5,)]
+    assert sorted(((r["image"] or "", r["action"], r["n_rows"]) for r in plan.collect())) == [("", "missing", 1), ("b", "default_delete", 2), ("c", "default_delete", 1), ("gone", "missing", 1)]
