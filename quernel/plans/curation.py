@@ -507,12 +507,6 @@ def unique_key_sample(spark, sf):
     return rank.ordinal(k.withColumn("h", keys.hash_order(8, "k")), "h", "k").select((F.col("ord") + 1).alias("seq"), "k")
 
 
-@query("group_holdout")
-def group_holdout(spark, sf):
-    d = Tables(spark, sf).documents.select("doc_id", "source", F.substring(F.sha1("text"), 1, 12).alias("k"))
-    return sample.group_holdout(d, "source", "k", 60, 5, 3, 2026).groupBy("source", "split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("n_keys"))
-
-
 @query("capped_examples", """
 select lang, count(*) as n, array_to_string(list_slice(list_sort(list(doc_id)), 1, 3), ',') as examples from documents group by 1""")
 def capped_examples(spark, sf):

@@ -286,12 +286,6 @@ def box_parse(spark, sf):
     return Tables(spark, sf).part.select("p_partkey", box.isNotNull().alias("valid"))
 
 
-@query("functional_dependency", """
-select p_brand, count(distinct p_type) as n_types from part group by 1 having count(distinct p_type) > 1""")
-def functional_dependency(spark, sf):
-    return Tables(spark, sf).part.groupBy("p_brand").agg(F.count_distinct("p_type").alias("n_types")).where("n_types > 1")
-
-
 @query("safe_numbers", """
 select event_id, coalesce(case when try_cast(props ->> '$.k' as double) is null then null else try_cast(props ->> '$.k' as double) end, 0.0::double) as k,
   greatest(least(value, 10.0::double), -50.0::double) as clamped, round(1 / (1 + exp(-greatest(least(value, 10.0::double), -50.0::double))), 9) as sigmoid from events""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions import keys, numbers, text
 from quernel.operators import candidates as cand
-from quernel.operators import choose, learn, measure, paired, rank, relate, route, sample, shape, stats
+from quernel.operators import choose, export, graph, learn, measure, paired, qc, rank, relate, route, sample, shape, stats
 
 
 def values(df, *columns):
@@ -321,3 +321,156 @@ def test_image_modes_and_the_deletion_plan(spark):
     kept, plan = shape.unwanted_images(rows, modes, "image")
     assert values(kept, "i") == [(1,), (4,), (5,)]
     assert sorted(((r["image"] or "", r["action"], r["n_rows"]) for r in plan.collect())) == [("", "missing", 1), ("b", "default_delete", 2), ("c", "default_delete", 1), ("gone", "missing", 1)]
+
+
+def test_entities_close_over_chains_and_shared_keys(spark):
+    """Against a plain union of sets; null and empty keys join nothing."""
+    import random
+
+    r = random.Random(9)
+    rows = [(i, r.choice(["", None, f"a{r.randint(0, 30)}"]), r.choice([None, f"b{r.randint(0, 30)}"])) for i in range(60)]
+    rows += [(100 + i, f"c{i}", f"c{i + 1}") for i in range(12)] + [(200 + i, f"d{i // 2}", f"e{(i + 1) // 2}") for i in range(40)] + [(300 + i, "hot", None) for i in range(30)]
+    label = {i: i for i, _, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for k in (1, 2):
+            least = {}
+            for x in rows:
+                if x[k]:
+                    least[x[k]] = min(least.get(x[k], 1 << 60), label[x[0]])
+            for x in rows:
+                if x[k] and least[x[k]] < label[x[0]]:
+                    label[x[0]], changed = least[x[k]], True
+    got = graph.entity_closure(spark.createDataFrame(rows, "row long, a string, b string"), "row", ["a", "b"])
+    assert {x["row"]: x["closure"] for x in got.collect()} == label and got.count() == len(rows)
+    assert graph.entity_closure(spark.createDataFrame([], "row long, a string"), "row", ["a"]).count() == 0
+
+
+def test_splits_that_tear_an_entity_fail(spark):
+    df = spark.createDataFrame([(1, "x", "train"), (2, "x", ""), (3, "y", " Eval ")], "row long, k string, s string")
+    got = graph.checked_splits(df, "row", ["k"], "s", F.lit("train"))
+    assert values(got, "row", "closure", "split") == [(1, 1, "train"), (2, 1, "train"), (3, 3, "eval")]
+    with pytest.raises(Exception, match="entity of row 1 is in several splits"):
+        graph.checked_splits(df, "row", ["k"], "s", F.lit("eval")).collect()
+
+
+def test_export_in_one_pass(spark, tmp_path):
+    """The counts of the writer are those of the files and of the report, and no entity is in two outputs."""
+    import random
+
+    r = random.Random(2)
+    rows = [
+        (i, r.choice(["public"] * 8 + ["manifest", "eval"]), f"id{i}", f"img{r.randint(0, 150)}", f"key{r.randint(0, 150)}" + "@" * (i % 5 == 0), r.choice("ab"), r.choice([None, "val", "test", "TRAIN", "odd"]), r.choice([None, 1, 2]), None if i % 17 else "bad")
+        for i in range(160)
+    ]
+    df = spark.createDataFrame(rows, "row long, origin string, id string, image string, key string, source string, split string, repeat_hint int, problem string")
+    plan = export.planned(df, 0.2, 5)
+    assert plan.count() == 160
+    sides = {}
+    for x in plan.where("output in ('train', 'val', 'competition_eval', 'auxiliary_eval')").collect():
+        for k in (x["image"], x["key"]):
+            sides.setdefault(k, set()).add("eval" if x["output"].endswith("eval") else x["output"])
+    assert all(len(s) == 1 for s in sides.values()) and {"train", "val", "eval"} == set().union(*sides.values())
+    full = export.expanded(plan, export.Repeats(stereo=3))
+    assert {x["n"] for x in full.where("output = 'train' and contains(key, '@')").groupBy("row").agg(F.count(F.lit(1)).alias("n")).collect()} <= {3}
+    counts = export.write_export(full, str(tmp_path / "out"), "Read it.")
+    files = {x["output"]: x["count"] for x in spark.read.json(str(tmp_path / "out")).groupBy("output").count().collect()}
+    assert {k: v for k, v in counts.items() if v} == files == {x["output"]: x["n"] for x in export.export_report(full).groupBy("output").agg(F.sum("n").alias("n")).collect()}
+    one = spark.read.json(str(tmp_path / "out")).where("output = 'val'").first()["record"]
+    assert one["text_info"][0]["tag"] == "mask" and one["text_info"][1]["tag"] == "no_mask" and one["image_info"][0]["matched_text_index"] == 0
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 22])
+def test_overlaps_lose_nothing(spark, bits):
+    rows = spark.range(3000).select(F.col("id").alias("row"), F.when(F.col("id") % 11 != 0, F.concat(F.lit("k"), F.col("id") % 900)).alias("a"), F.col("id").cast("string").alias("b"))
+    index = spark.range(400).select(F.lit("a").alias("kind"), F.concat(F.lit("k"), F.col("id") * 3).alias("value")).unionByName(spark.range(500).select(F.lit("b").alias("kind"), (F.col("id") * 2).cast("string").alias("value")))
+    got = qc.overlaps(rows, "row", {"a": "a", "b": "b"}, index, bits)
+    a, b = {f"k{i * 3}" for i in range(400)}, {str(i * 2) for i in range(500)}
+    assert all(r["in_a"] == (r["a"] in a) and r["in_b"] == (r["b"] in b) for r in got.collect()) and got.count() == 3000
+    assert not any(r["in_a"] or r["in_b"] for r in qc.overlaps(rows, "row", {"a": "a", "b": "b"}, index.limit(0), bits).collect())
+
+
+def test_water_fills_short_strata(spark):
+    import random
+
+    r = random.Random(6)
+    for target in (0, 1, 7, 40, 1000):
+        sizes = [(f"s{i}", r.choice([1, 2, 3, 10, 30])) for i in range(9)]
+        got = {x["s"]: x["quota"] for x in sample.water_filled(spark.createDataFrame(sizes, "s string, n long"), "s", "n", target).collect()}
+        want, left = {s: 0 for s, _ in sizes}, min(target, sum(n for _, n in sizes))
+        while left >= (open_ := sum(want[s] < n for s, n in sizes)) > 0:
+            for s, n in sizes:
+                if want[s] < n:
+                    want[s], left = want[s] + 1, left - 1
+        assert sum(got.values()) == min(target, sum(n for _, n in sizes)) and all(0 <= got[s] - want[s] <= 1 and got[s] <= n for s, n in sizes)
+
+
+@pytest.mark.parametrize("target,per_group,least", [(5, 2, 2), (30, 3, 4), (10_000, 2, 3), (1, 1, 50)])
+def test_group_holdout_is_as_taking_turns(spark, target, per_group, least):
+    import hashlib
+    import random
+
+    r = random.Random(target)
+    rows = [(i, f"g{r.randint(0, 25)}", f"k{r.randint(0, 40)}") for i in range(300)] + [(900, None, "k1"), (901, "g1", None)]
+    groups = {}
+    for _, g, k in rows:
+        if g and k:
+            groups.setdefault(g, set()).add(k)
+    seen, locked = set(), {}
+    for g in sorted(groups, key=lambda g: (hashlib.sha256(f"7|{g}".encode()).hexdigest(), g)):
+        if len(seen) >= target and len(locked) >= least:
+            break
+        if new := [k for k in sorted(groups[g]) if k not in seen][:per_group]:
+            locked[g] = new
+            seen.update(new)
+    got = sample.group_holdout(spark.createDataFrame(rows, "i long, g string, k string"), "g", "k", target, per_group, least, 7).collect()
+    assert len(got) == len(rows)
+    mine = sorted((x["g"], x["k"]) for x in got if x["split"] == "locked")
+    assert mine == sorted((g, k) for g, ks in locked.items() for k in ks)
+    for x in got:
+        if x["split"] != "locked":
+            assert x["split"] == ("excess" if x["g"] in locked or x["k"] in seen else "train")
+
+
+def test_choice_gradient_is_as_by_rows(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    rows = [(i, j == 0 or r.random() < 0.2, 0.5 + i % 3, r.gauss(0, 1), r.choice([0.0, 500.0, 1.0])) for i in range(25) for j in range(r.randint(2, 5))]
+    w, x = np.array([0.7, -1.5]), 0.4
+
+    def plain(w):
+        total, loss, slope = 0.0, 0.0, np.zeros(2)
+        for i in {q[0] for q in rows}:
+            mine = [q for q in rows if q[0] == i]
+            f, p, g = np.array([q[3:] for q in mine]), np.array([q[1] for q in mine]), mine[0][2]
+            s = f @ w
+            lse = lambda v: v.max() + np.log(np.exp(v - v.max()).sum())
+            one = lse(s) - lse(s[p])
+            d = np.exp(s - lse(s)) - np.where(p, np.exp(s - lse(s[p])), 0)
+            if (~p).any():
+                lead = s[~p].max() - s[p].max()
+                one += x * np.logaddexp(0, lead)
+                tp, tn = p & (s == s[p].max()), ~p & (s == s[~p].max())
+                d = d + x / (1 + np.exp(-lead)) * (tn / tn.sum() - tp / tp.sum())
+            total, loss, slope = total + g, loss + g * one, slope + g * (d @ f)
+        return loss / total, slope / total
+
+    df = spark.createDataFrame(rows, "id int, p boolean, w double, a double, b double")
+    got = learn.choice_gradient(df, "id", "p", "w", ["a", "b"], w.tolist(), x).first()
+    loss, slope = plain(w)
+    assert got["loss"] == pytest.approx(loss) and [got["a"], got["b"]] == pytest.approx(slope.tolist())
+    fitted, losses = learn.fit_choice(df, "id", "p", "w", ["a", "b"], rounds=6, rate=1e-6)
+    assert losses[-1] < losses[0] and all(b <= a for a, b in zip(losses, losses[1:])) and len(fitted) == 2
+
+
+def test_margin_modes(spark):
+    rows = [(1, "a", 5.0, 4.0, "b", 3.0, 0.0), (2, "a", 5.0, 4.9, "b", 3.0, 0.0), (3, "a", 3.5, 1.0, "b", 3.0, 4.0), (4, None, None, None, "b", 3.0, None), (5, "b", 3.0, None, "b", 3.0, None), (6, "a", 9.0, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, policy string, policy_score double, second_score double, fallback string, fallback_score double, spread double")
+    picks = {m: [r["selected"] for r in learn.margin_choice(df, m, 0.5).orderBy("id").collect()] for m in ("fallback", "second", "certain")}
+    assert picks == {"fallback": ["a", "a", "a", "b", "b", "a"], "second": ["a", "b", "a", "b", "b", "a"], "certain": ["a", "a", "b", "b", "b", "a"]}
+    with pytest.raises(ValueError):
+        learn.margin_choice(df, "other", 1.0)

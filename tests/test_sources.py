@@ -126,8 +126,15 @@ def test_images_and_archives(spark, tmp_path):
     ihdr = struct.pack(">IIBBBBB", 7, 5, 8, 2, 0, 0, 0)
     (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + ihdr + struct.pack(">I", zlib.crc32(b"IHDR" + ihdr)))
     (tmp_path / "b.png").write_bytes(b"no image")
+    segment = lambda kind, body: b"\xff" + bytes([kind]) + struct.pack(">H", len(body) + 2) + body
+    (tmp_path / "c.png").write_bytes(b"\xff\xd8" + segment(0xE1, b"x" * 60000) + segment(0xE2, b"y" * 60000) + segment(0xC2, struct.pack(">BHHB", 8, 11, 13, 4) + b"z" * 12))
+    (tmp_path / "d.png").write_bytes(b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">IIBBBBB", 3, 4, 16, 0, 0, 0, 0))
+    (tmp_path / "e.png").write_bytes(b"")
     rows = {r["path"][-5:]: r for r in readers.image_metadata(spark, str(tmp_path / "*.png")).collect()}
     assert (rows["a.png"]["mode"], rows["a.png"]["width"], rows["a.png"]["height"]) == ("RGB", 7, 5) and not rows["b.png"]["openable"]
+    assert (rows["c.png"]["mode"], rows["c.png"]["width"], rows["c.png"]["height"]) == ("CMYK", 13, 11) and rows["d.png"]["mode"] == "I;16" and not rows["e.png"]["openable"]
+    read, body = [], (tmp_path / "c.png").read_bytes()
+    assert readers.image_header(lambda at, n: read.append(n) or body[at : at + n])[0] == "JPEG" and sum(read) < 100
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("x/a.txt", "1")
         z.writestr("__MACOSX/a.txt", "2")
