@@ -27,7 +27,7 @@ def message_of(df: DataFrame, key: str, order: str, role: str = "assistant", las
     """The last (or first) message of a role in each conversation, trimmed."""
     pick = F.max_by if last else F.min_by
     own = df.where(F.col(role_column) == role)
-    return own.groupBy(key).agg(pick(F.struct(F.regexp_replace(text_column, r"^\s+|\s+$", "").alias("text"), F.col(order).alias("at")), F.struct(order, text_column)).alias("m")).select(key, F.col("m.at").alias("turn"), F.col("m.text").alias("text"))
+    return own.groupBy(key).agg(pick(F.struct(trimmed(text_column).alias("text"), F.col(order).alias("at")), F.struct(order, text_column)).alias("m")).select(key, F.col("m.at").alias("turn"), F.col("m.text").alias("text"))
 
 
 def binned(x, edges: Sequence[float], names: Sequence[str]) -> Column:

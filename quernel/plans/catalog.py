@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.plans import builds, choices, curation, datasets, evaluation, selection
+from quernel.plans import assembly, builds, choices, curation, datasets, evaluation, selection, tables
 from quernel.plans.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "builds", "choices", "curation", "datasets", "evaluation", "selection"]
+__all__ = ["QUERIES", "SQL", "assembly", "builds", "choices", "curation", "datasets", "evaluation", "selection", "tables"]

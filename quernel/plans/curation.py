@@ -473,14 +473,6 @@ def oversample_map(spark, sf):
     return o.groupBy("lang", F.col("repeat_index").cast("long").alias("repeat_index")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("repeat_policy", """
-select times, count(*) as n from (select least(5, greatest(1, case lang when 'es' then 3 else 1 end, case when n_chars > 5000 then 2 else 1 end, case when source = 'src0' then 1 else 2 end))::int as times from documents) group by 1""")
-def repeat_policy(spark, sf):
-    one = F.lit(1)
-    times = F.least(F.lit(5), F.greatest(one, F.when(F.col("lang") == "es", 3).otherwise(1), F.when(F.col("n_chars") > 5000, 2).otherwise(1), F.when(F.col("source") == "src0", 1).otherwise(2)))
-    return Tables(spark, sf).documents.groupBy(times.alias("times")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("phase_mixture", """
 with p as (select 'all' as mixture, doc_id from documents union all select doc_id_mix, doc_id from (select 'long' as doc_id_mix, doc_id, row_number() over (order by sha256('4|' || doc_id), doc_id) as r from documents where n_chars > 2000) where r <= 100)
 select mixture, count(*) as n, sum(doc_id)::bigint as ids from p group by 1""")

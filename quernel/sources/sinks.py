@@ -22,11 +22,11 @@ def write_jsonl(df: DataFrame, path: str) -> int:
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], bom: bool = True) -> None:
-    """The named columns with a header, which a byte-order mark opens."""
+    """The named columns with a header, which a byte-order mark opens; quotes within a field are doubled."""
     out = df.select(*columns)
     if bom:
         out = out.withColumnRenamed(columns[0], "﻿" + columns[0])
-    out.write.mode("overwrite").csv(path, header=True)
+    out.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def pivot_counts(df: DataFrame, row: str, column: str, values: Sequence[str] | None = None) -> DataFrame:
