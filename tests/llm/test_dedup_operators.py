@@ -206,6 +206,26 @@ def test_estimates_are_unbiased_and_bounded():
     true = np.einsum("ij,ij->i", unit, y)
     upper = np.diag(a.upper(slice(0, 400), slice(0, 400), b))
     assert (upper >= true).all() and abs((upper - a.spread - true).mean()) < 0.02
+    assert a.likely(slice(0, 400), 0.98).shape == (400, 400)
+
+
+@pytest.mark.parametrize("dim", [1, 3, 64, 100])
+def test_stored_codes_give_the_same_bounds(dim):
+    """Bits counted from what is stored, against the product of signs and form."""
+    x = np.random.default_rng(dim).normal(size=(30, dim))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    codes = embedding_dedup.Codes(unit)
+    rows = codes.packed()
+    assert {len(r) for r in rows} == {12 + 8 * -(-dim // 64) * (1 + embedding_dedup.QUERY_BITS)}
+    back = embedding_dedup.Codes.unpacked(rows, dim)
+    every = slice(0, 30)
+    assert np.allclose(codes.upper(every, every, codes), back.upper(every, every, back), atol=1e-6)
+    z = unit @ embedding_dedup.rotation(dim, 77)
+    step = np.maximum((z.max(1) - z.min(1)) / 15, 1e-30)
+    form = z.min(1)[:, None] + step[:, None] * np.rint((z - z.min(1)[:, None]) / step[:, None])
+    signs = np.where(z > 0, 1, -1) / np.sqrt(dim)
+    plain = signs @ form.T / np.einsum("ij,ij->i", signs, z)[:, None]
+    assert np.allclose(back.upper(every, every, back) - back.spread[:, None], plain, atol=1e-4)
 
 
 def test_packing():
@@ -231,6 +251,6 @@ def test_hot_groups_are_dealt_into_bounded_tasks(spark, monkeypatch):
     assert {x["component_id"] for x in got} == {0}
     vectors = [(i, [1.0 + r.random() / 100 for _ in range(8)], 0) for i in range(3000)]
     embedding_dedup.near_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int"), most_together=100)
-    assert len(dealt) == 2
-    texts, spots = (group(d, "bin").count().agg({"count": "max"}).first()[0] for d in dealt)
-    assert texts < 1000 and spots < 20_000, (texts, spots)
+    assert len(dealt) == 3
+    texts, codes, fetched = (group(d, "bin").count().agg({"count": "max"}).first()[0] for d in dealt)
+    assert texts < 1000 and codes < 20_000 and fetched < 20_000, (texts, codes, fetched)
