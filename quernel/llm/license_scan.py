@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
-In a block of text that speaks of a licence, every place with the wording of a
-licence template is found: enough of its words in order, and no difference in
-words that tell licences apart. Each place is compressed alone and with its
-template as a raw zstandard dictionary; where places overlap, that which saves
-most wins.
+A block of text that speaks of a licence is compressed alone and with each
+licence template as a raw zstandard dictionary, and the templates are ranked by
+what they save. In that order each is confirmed by its exact wording: enough of
+its words in order, and no difference in words that tell licences apart. What a
+template has confirmed, later ones don't get.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import difflib
 import math
 import re
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import pyarrow as pa
@@ -78,6 +78,18 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     *((name, f"SPDX-License-Identifier: {name}") for name in _SPDX_NAMES),
 )
+_SHORT = (*((f"GPL-{v}.0", f"GPL{v}") for v in ("3", "2")), ("LGPL-3.0", "LGPL3"), ("LGPL-2.1", "LGPL2.1"), ("AGPL-3.0", "AGPL3"))
+#: Short forms that count only in their place: `line` alone on a line, `field` as the value of a field named license, `grant` anywhere.
+SHORT: tuple[tuple[str, str, str], ...] = (
+    *((name, f"Licensed under {short.replace('GPL', 'GPLv')}", "grant") for name, short in _SHORT), ("Apache-2.0", "Licensed under Apache 2.0", "grant"), ("MIT", "MIT licensed", "line"),
+    ("MIT", "MIT License", "line"), ("MIT", "The MIT License", "line"), ("ISC", "ISC License", "line"), ("BSD-3-Clause", "BSD 3-Clause License", "line"), ("BSD-2-Clause", "BSD 2-Clause License", "line"), ("Apache-2.0", "Apache License 2.0", "line"),
+    ("Apache-2.0", "Apache License, Version 2.0", "line"), ("BSL-1.0", "Boost Software License 1.0", "line"), ("0BSD", "BSD Zero Clause License", "line"), ("Zlib", "zlib License", "line"), ("Unlicense", "The Unlicense", "line"),
+    *((name, f"license: {name}", "field") for name in _SPDX_NAMES),
+)
+#: Words that take a notice back if one of them stands shortly before it or within it.
+_NOT = frozenset("not never neither nor no isn wasn aren cannot without".split())
+#: Words of a block that are compressed at once, and how near a heading stands to the notice that it heads.
+MOST_WORDS, NEAR = 2048, 40
 _TRIGGER = re.compile(r"licen[cs]e|copyright|redistribut|permission\W+(?:is|to)\b|l?gpl|unencumbered|public\W+domain|\bcc\W*(?:0|by)\b|spdx", re.I)
 _WORD = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
 _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([\w.+() \t-]+)", re.I)
@@ -127,23 +139,26 @@ def blocks(text: str, reach: int) -> list[tuple[int, int]]:
 
 
 class LicenseScanner:
-    """Finds the places in a block that have a template's wording, and ranks them where they overlap.
+    """Ranks the templates for a block by the bytes they save, and confirms the places that have their wording.
 
     Words tell licences apart if they are digits or of a licence's name, or if
     templates of two licences that share half of their words differ in them
     (_COMMON never does): a template's own must be there, others not come in
-    between. An SPDX expression is read name by name. least_same is the share of the template's words that must be
-    there in order. Savings only rank: none is asked for.
+    between. An SPDX expression is read name by name. least_same is the share of
+    the template's words that must be there in order, all in short forms, which
+    count only in their place. A notice that is taken back by a word shortly
+    before it is none. Savings only rank: none is asked for.
     """
 
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, least_same: float = 0.8):
-        self.templates = templates
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, least_same: float = 0.8, short: tuple[tuple[str, str, str], ...] = SHORT):
+        self.where = [None] * len(templates) + [w for _, _, w in short]
+        self.templates = templates = (*templates, *((name, t) for name, t, _ in short))
         self.least_same = least_same
         self.plain = zstandard.ZstdCompressor(level=9)
         self.given = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(self._bytes(words(t)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
         self.wanted = [words(t) for _, t in templates]
         self.counts = [Counter(w) for w in self.wanted]
-        self.need = [math.ceil(least_same * len(w) - 1e-9) for w in self.wanted]
+        self.need = [len(w) if k else math.ceil(least_same * len(w) - 1e-9) for w, k in zip(self.wanted, self.where)]
         self.reach = max((self.sizes(len(w))[-1] for w in self.wanted), default=1)
         named = [set(words(name)) for name, _ in templates]
         every = set().union(*named)
@@ -168,10 +183,14 @@ class LicenseScanner:
         return (" ".join(own) + " ").encode()
 
     def savings(self, block: str) -> list[tuple[float, int]]:
-        """(share saved, template) with the most saved first, ties by the templates' order."""
-        data = self._bytes(words(block))
+        """(share saved, template) of all templates, as `ranked` orders them."""
+        return self.ranked(words(block), range(len(self.templates)))
+
+    def ranked(self, own: list[str], templates: Iterable[int]) -> list[tuple[float, int]]:
+        """(share of the compressed size that a template saves, template), the most saved first; of equal ones the shorter template, then the earlier."""
+        data = self._bytes(own)
         alone = len(self.plain.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, i) for i, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
+        return sorted(((1 - len(self.given[i].compress(data)) / alone, i) for i in templates), key=lambda x: (-x[0], len(self.wanted[x[1]]), x[1]))
 
     @staticmethod
     def sizes(n: int) -> tuple[int, int, int]:
@@ -222,34 +241,59 @@ class LicenseScanner:
                 yield at, at + hit[1], hit[2], hit[3]
             at += hit[1] if hit else 1
 
-    def scan_block(self, text: str, start: int, end: int) -> list[tuple[str, float, int, str, str, int, int]]:
-        """The confirmed places of a block; of overlapping ones that whose template saves most bytes."""
+    def in_place(self, text: str, spots: list[tuple[int, int]], first: int, last: int, template: int) -> bool:
+        """Whether a short form stands where it counts; other templates do anywhere."""
+        where, start, end = self.where[template], spots[first][0], spots[last - 1][1]
+        if where == "line":
+            before, behind = text[text.rfind("\n", 0, start) + 1 : start], text[end : text.find("\n", end) if "\n" in text[end : end + 400] else end + 400]
+            return not _WORD.search(before) and not _WORD.search(behind)
+        if where == "field":
+            between = text[spots[first][1] : spots[first + 1][0]]
+            return ("=" in between or ":" in between) and "\n" not in between
+        return True
+
+    def scan_block(self, text: str, start: int, end: int) -> list[tuple[str, float, int, str, str, int, int, int]]:
+        """The confirmed places of a block: licence, share saved, template, words lacking and put in, start, end, and the template's rank.
+
+        A block of more than MOST_WORDS words is ranked piece by piece, with as
+        many words beyond as a template may take; a place is of the piece that
+        it begins in. Templates whose telling words aren't all there, or too few
+        of whose words are, can't be confirmed and aren't compressed.
+        """
         found = list(_WORD.finditer(text, start, end))
-        own = [_plain(m.group()) for m in found]
-        there, count = set(own), Counter(own)
-        spots = [(m.start(), m.end()) for m in found]
-        tagged = set(self.spdx.values())
-        seen = [(a, b, i, "", "", self._bytes(self.wanted[i])) for a, b, i in self.identifiers(text, start, end)]
-        for i, must in enumerate(self.must):
-            if i not in tagged and must <= there and sum(min(n, count[w]) for w, n in self.counts[i].items()) >= self.need[i]:
-                seen += [(spots[a][0], spots[b - 1][1], i, lack, extra, self._bytes(own[a:b])) for a, b, lack, extra in self.places(own, i)]
-        hits = []
-        for a, b, i, lack, extra, data in seen:
-            alone, with_it = len(self.plain.compress(data)), len(self.given[i].compress(data))
-            hits.append((with_it - alone, i, a, b, (self.templates[i][0], 1 - with_it / alone, i, lack, extra)))
+        words_of, spots = [_plain(m.group()) for m in found], [(m.start(), m.end()) for m in found]
+        tagged, tags = set(self.spdx.values()), {}
+        for a, b, i in self.identifiers(text, start, end):
+            tags.setdefault(i, []).append((a, b))
         kept: list[tuple] = []
-        for _, _, a, b, hit in sorted(hits):
-            if all(b <= c or d <= a for c, d, _ in kept):
-                kept.append((a, b, hit))
-        return [(*hit, a, _CLOSE.match(text, b).end()) for a, b, hit in sorted(kept)]
+        for lo in range(0, len(words_of), MOST_WORDS):
+            own = words_of[lo : lo + MOST_WORDS + self.reach]
+            there, count = set(own), Counter(own)
+            here = range(spots[lo][0], spots[min(lo + MOST_WORDS, len(spots)) - 1][1])
+            able = [i for i, must in enumerate(self.must) if i not in tagged and must <= there and sum(min(n, count[w]) for w, n in self.counts[i].items()) >= self.need[i]]
+            able += [i for i, places in tags.items() if any(a in here for a, _ in places)]
+            for rank, (share, i) in enumerate(self.ranked(own, able)):
+                if i in tagged:
+                    places = [(a, b, "", "") for a, b in tags[i] if a in here]
+                else:
+                    places = [(spots[lo + a][0], spots[lo + b - 1][1], lack, extra) for a, b, lack, extra in self.places(own, i) if a < MOST_WORDS and self.in_place(text, spots[lo:], a, b, i) and not self.denied(own, a, extra)]
+                kept += [(a, b, (self.templates[i][0], share, i, lack, extra), rank) for a, b, lack, extra in places if all(b <= c or d <= a for c, d, *_ in kept)]
+        kept.sort(key=lambda x: x[:2])
+        alone = [x for x, y in zip(kept, [*kept[1:], None]) if not (y and self.where[x[2][2]] == "line" and y[2][0] == x[2][0] and len(_WORD.findall(text, x[1], y[0])) <= NEAR)]
+        return [(*hit, a, _CLOSE.match(text, b).end(), rank) for a, b, hit, rank in alone]
+
+    @staticmethod
+    def denied(own: list[str], first: int, extra: str) -> bool:
+        """Whether a word takes the notice back."""
+        return not _NOT.isdisjoint(own[max(0, first - 3) : first]) or not _NOT.isdisjoint(extra.split())
 
-    def scan(self, text: str) -> list[tuple[str, float, int, str, str, int, int]]:
+    def scan(self, text: str) -> list[tuple[str, float, int, str, str, int, int, int]]:
         """All confirmed notices of a text with their places."""
         return [hit for start, end in blocks(text, self.reach) for hit in self.scan_block(text, start, end)]
 
 
 def license_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row for each notice whose licence is confirmed: id, start and end (characters), license, saved, lacking, inserted, block.
+    """A row for each notice whose licence is confirmed: id, start and end (characters), license, saved, rank, lacking, inserted, block.
 
     Null and empty texts give no rows, a null id is kept, repeated rows repeat
     theirs; other columns of docs aren't read. No shuffle, and every text is
@@ -261,13 +305,13 @@ def license_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for name, share, _, lack, extra, start, end in scanner.scan(text or ""):
-                    out.append((doc_id, start, end, name, share, lack, extra, text[start:end]))
-            columns = list(zip(*out)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.string()))], names=[id_column, "start", "end", "license", "saved", "lacking", "inserted", "block"])
+                for name, share, _, lack, extra, start, end, rank in scanner.scan(text or ""):
+                    out.append((doc_id, start, end, name, share, rank, lack, extra, text[start:end]))
+            columns = list(zip(*out)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.string(), pa.string()))], names=[id_column, "start", "end", "license", "saved", "rank", "lacking", "inserted", "block"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, F.col(text_column).cast("string")).mapInArrow(run, f"`{id_column}` {kind}, start long, end long, license string, saved double, lacking string, inserted string, block string")
+    return docs.select(id_column, F.col(text_column).cast("string")).mapInArrow(run, f"`{id_column}` {kind}, start long, end long, license string, saved double, rank int, lacking string, inserted string, block string")
 
 
 def license_digest(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
