@@ -14,6 +14,7 @@ The dictionary is a file of its own, found by its hash.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -21,7 +22,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -153,7 +154,8 @@ def shard_bytes(doc_ids: list[int], frames: list[bytes], tokens: list[int], dict
 class ShardReader:
     """Reads documents of a shard file; `document(i)` reads the trailer, the index and one frame only."""
 
-    def __init__(self, path: str, dictionary: bytes):
+    def __init__(self, path: str, dictionary: bytes | Callable[[str], bytes]):
+        """dictionary: the bytes, or what gives those of a hash in hexadecimal; the hash in the shard chooses."""
         fs, inner = pafs.FileSystem.from_uri(path)
         self.file = fs.open_input_file(inner)
         size = self.file.size()
@@ -161,7 +163,9 @@ class ShardReader:
         if end != END:
             raise ValueError(f"{path} is no whole shard")
         self.index = np.frombuffer(self.file.read_at(n * INDEX.itemsize, at), INDEX)
-        if self.file.read_at(32, at + n * INDEX.itemsize) != hashlib.sha256(dictionary).digest():
+        written_with = self.file.read_at(32, at + n * INDEX.itemsize)
+        dictionary = dictionary(written_with.hex()) if callable(dictionary) else dictionary
+        if written_with != hashlib.sha256(dictionary).digest():
             raise ValueError(f"{path} was written with another dictionary")
         self._d = decompressor(dictionary)
 
@@ -287,19 +291,10 @@ def read_token_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dictionaries: dict[str, bytes] = {}
+        dictionary = functools.lru_cache(4)(lambda name: get_file(f"{folder}/{name}.dict"))
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not dictionaries:
-                    fs, inner = pafs.FileSystem.from_uri(folder)
-                    found = [x.path for x in fs.get_file_info(pafs.FileSelector(inner)) if x.path.endswith(".dict")]
-                    for p in found:
-                        with fs.open_input_file(p) as f:
-                            data = f.read()
-                        if not p.endswith(hashlib.sha256(data).hexdigest() + ".dict"):
-                            raise ValueError(f"{p} isn't the dictionary that its name says")
-                        dictionaries[hashlib.sha256(data).hexdigest()] = data
-                shard = ShardReader(path, *dictionaries.values())
+                shard = ShardReader(path, dictionary)
                 tokens = shard.index["tokens"].astype("i8")
                 crc = [zlib.crc32(shard.document(i).tobytes()) for i in range(len(shard))]
                 starts = start + np.cumsum(tokens) - tokens

@@ -95,6 +95,9 @@ def test_token_shards_round_trip(spark):
     assert len(reader) == shard["n_docs"] and sum(len(reader.document(i)) for i in range(len(reader))) == shard["n_tokens"]
     with pytest.raises(ValueError, match="another dictionary"):
         token_output.ShardReader(shard["path"], b"other")
+    token_output.put_file(f"{folder}/{'0' * 64}.dict", b"of another write into this folder")
+    again = token_output.read_token_shards(token_output.with_starts(manifest), folder).collect()
+    assert sorted((tuple(r)[:4] for r in again), key=lambda x: x[1]) == want
 
 
 def _names(folder):
