@@ -9,6 +9,7 @@ and recur, so what they encode to can be kept.
 from __future__ import annotations
 
 import ctypes
+import inspect
 import re
 from collections.abc import Callable
 
@@ -69,6 +70,13 @@ class Kept(dict):
 _held: dict = {}
 
 
+def given_back() -> None:
+    """Freed memory of this process, back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def held(key, make: Callable[[], object]):
     """What `make` made for a key in this process; what it held for another key goes first, and freed memory back to the system.
 
@@ -77,8 +85,27 @@ def held(key, make: Callable[[], object]):
     """
     if key not in _held:
         _held.clear()
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        given_back()
         _held[key] = make()
     return _held[key]
+
+
+def alone_here() -> None:
+    """Drop what operators hold in this process, for one that works with arrays."""
+    if _held:
+        _held.clear()
+    given_back()
+
+
+def alone(f: Callable) -> Callable:
+    """f of one or two groups, each a table: what operators hold in this process goes before, and what f has freed goes back to the system behind it."""
+
+    def whole(*tables):
+        alone_here()
+        try:
+            return f(*tables)
+        finally:
+            given_back()
+
+    # Spark counts the arguments
+    return (lambda table: whole(table)) if len(inspect.signature(f).parameters) == 1 else (lambda table, other: whole(table, other))

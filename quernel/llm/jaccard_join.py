@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.llm.chunks import alone, alone_here
 from quernel.llm.components import Forest, components
 from quernel.llm.exchange import Deal, Rolling, Texts, mixed, pack_sorted, ranges, unpack_sorted
 from quernel.llm.shared import saved
@@ -223,8 +224,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
 
     Two documents link if 100 x intersection >= percent x union. Empty sets
     link with nothing. Rows with a null id link with nothing and have a null
-    component; repeated rows are linked, having equal sets. Other columns of
-    docs aren't read.
+    component; repeated rows are linked, having equal sets. Rows of equal id
+    with different texts are documents by themselves: each has the component of
+    its own text, which may bear the id of another's. Other columns of docs
+    aren't read.
 
     Equal sets are one node from the start, however many rows have them.
     Candidates are compared in components of documents that agree in a group.
@@ -238,11 +241,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
     ranges_n = Deal.of(rows, "text").groups
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone_here()
         for batch in small_batches(batches):
             hashes, begins = shingle_sets(Texts.of(pa.Table.from_batches([batch]), "id", "text"), n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(begins)), pa.array(set_keys(hashes, begins).view(np.int64))], names=["id", "n_shingles", "node"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone_here()
         for batch in small_batches(batches):
             texts = Texts.of(pa.Table.from_batches([batch]), "id", "text")
             hashes, begins = shingle_sets(texts, n)
@@ -284,17 +289,23 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
                 last = max(k + 1, int(np.searchsorted(cuts, cuts[k] + most_together, "right")) - 1)
                 first_row, n_rows = cuts[k], cuts[last] - cuts[k]
                 hashes, begins = shingle_sets(Texts.of(table.slice(first_row, n_rows), "id", "text"), n)
-                for lo, hi in zip(cuts[k:last], cuts[k + 1 : last + 1]):
-                    own = begins[lo - first_row : hi - first_row + 1]
-                    label = link_sets(hashes[own[0] : own[-1]], own - own[0], percent, upper[lo:hi])
+                # an id that several rows bear brings all their texts; only that of the node counts
+                mine = set_keys(hashes, begins).view(np.int64) == node[first_row : first_row + n_rows]
+                if not mine.all():
+                    hashes, begins = hashes[np.repeat(mine, np.diff(begins))], np.concatenate([[0], np.cumsum(np.diff(begins)[mine])])
+                places = np.concatenate([[0], np.cumsum(mine)])
+                whose = first_row + np.nonzero(mine)[0]
+                for lo, hi in zip(places[cuts[k:last] - first_row], places[cuts[k + 1 : last + 1] - first_row]):
+                    own, rows_of = begins[lo : hi + 1], whose[lo:hi]
+                    label = link_sets(hashes[own[0] : own[-1]], own - own[0], percent, upper[rows_of])
                     moved = np.nonzero(label != np.arange(hi - lo))[0]
-                    out_a.append(node[lo:hi][moved])
-                    out_b.append(node[lo:hi][label[moved]])
+                    out_a.append(node[rows_of][moved])
+                    out_b.append(node[rows_of][label[moved]])
                 k = last
         return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_a, out_b)], names=["a", "b"])
 
     sets = saved(rows.mapInArrow(scan, "id long, n_shingles long, node long"))
-    shared = rows.mapInArrow(ask, "range int, sig binary, node binary").groupBy("range").applyInArrow(meet, "sig long, node long, size long, agree long")
+    shared = rows.mapInArrow(ask, "range int, sig binary, node binary").groupBy("range").applyInArrow(alone(meet), "sig long, node long, size long, agree long")
     commonest = Window.partitionBy("node", F.col("sig").bitwiseAND(CLASS)).orderBy(F.desc("size"), F.desc("sig"))
     shared = saved(shared.withColumn("place", F.row_number().over(commonest)).where("place >= agree").select("sig", "node"))
     least_node = shared.groupBy("sig").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sig", "b")
@@ -315,7 +326,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
     texts = texts.withColumn("other", F.explode(others)).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     bins = max(1, n_copies // 200)
     texts = texts.withColumn("bin", F.pmod(F.xxhash64("coarse", "block", "i", "j"), F.lit(bins))).select("bin", "coarse", "block", "i", "j", "upper", "node", "id", "text")
-    links = texts.groupBy("bin").applyInArrow(link, "a long, b long")
+    links = texts.groupBy("bin").applyInArrow(alone(link), "a long, b long")
     joined = components(links)
     placed = saved(sets.join(joined, "node", "left").withColumn("component", F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node"))))
     least = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("id").alias("component_id"))

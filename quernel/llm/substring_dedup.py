@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.llm.chunks import alone
 from quernel.llm.exchange import Deal, Rolling, Texts, flagged_columns, pack, pack_flags, pack_sorted, ranges, sketch, unpack, unpack_flags, unpack_sorted
 
 #: The bytes between words.
@@ -156,12 +157,12 @@ def repeated_words(docs: DataFrame, length: int = 13, id_column: str = "doc_id",
     told = pa.schema([("\x01group", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary())])
     ddl = {id(asked): "row int, range int, `\x01group` int, columns binary, twice binary", id(answered): "row int, range int, `\x01group` int, often binary, n long", id(exact): "range int, `\x01group` int, h1 binary, h2 binary, least_id long, ids binary", id(told): "`\x01group` int, h1 binary, h2 binary"}
     by_group = rows.groupBy("\x01group")
-    sketches = by_group.applyInArrow(ask, ddl[id(asked)])
-    often = sketches.groupBy("row", "range").applyInArrow(merge, ddl[id(answered)])
-    keys = by_group.cogroup(often.groupBy("\x01group")).applyInArrow(ask_exactly, ddl[id(exact)])
-    owners = keys.groupBy("range").applyInArrow(group_exactly, ddl[id(told)])
+    sketches = by_group.applyInArrow(alone(ask), ddl[id(asked)])
+    often = sketches.groupBy("row", "range").applyInArrow(alone(merge), ddl[id(answered)])
+    keys = by_group.cogroup(often.groupBy("\x01group")).applyInArrow(alone(ask_exactly), ddl[id(exact)])
+    owners = keys.groupBy("range").applyInArrow(alone(group_exactly), ddl[id(told)])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return by_group.cogroup(owners.groupBy("\x01group")).applyInArrow(remove, f"{fields}, n_words long, n_removed long, `{kept_to}` string")
+    return by_group.cogroup(owners.groupBy("\x01group")).applyInArrow(alone(remove), f"{fields}, n_words long, n_removed long, `{kept_to}` string")
 
 
 def changes(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
