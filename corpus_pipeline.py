@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the windows of 13 words that an earlier document holds; those with nothing left go, those that lose nothing are unchanged."""
-    found = repeated_words(docs, 13, kept_to="\x01kept")
+    found = repeated_words(docs, 13, kept_to="\x01kept", group_bytes=4 << 20)
     text = F.when(F.col("n_removed") > 0, F.col("\x01kept")).otherwise(F.col("text"))
     found = found.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0))
     found = found.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -58,7 +58,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids counted, and digests of them and of what they decode to."""
-    return bpe_digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, most_kept=120_000)
 
 
 STAGES = [

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.chunks import Kept, chunks, held
+from quernel.llm.chunks import Kept, chunks, given_back, held
 
 
 class Vocabulary:
@@ -217,29 +217,31 @@ class Encoder:
         return joined.count(b",") + 1 if joined else 0, hashlib.sha256(joined).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
 
 
-def encoder_of(path: str, pattern: str) -> Encoder:
+def encoder_of(path: str, pattern: str, most_kept: int = 300_000) -> Encoder:
     """The encoder of a vocabulary file, made once a process."""
-    return held(("bpe", path, pattern), lambda: Encoder(Vocabulary.from_file(path), pattern))
+    return held(("bpe", path, pattern, most_kept), lambda: Encoder(Vocabulary.from_file(path), pattern, most_kept))
 
 
-def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", most_kept: int = 300_000) -> DataFrame:
     """Encode every text and decode the ids again; counts and digests of both.
 
     Returns id, n_tokens, ids_sha256, decoded_sha256, a row for each row of
     docs: repeated rows and null ids stay, a null text counts as empty (no ids;
     the digests of nothing), other columns of docs are left out whatever they
     are called. No shuffle: a row needs nothing but itself. ranks_path must
-    lead to the vocabulary on every machine.
+    lead to the vocabulary on every machine. most_kept bounds what a worker
+    remembers, not what it gives.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = encoder_of(ranks_path, pattern).digest
+        digest = encoder_of(ranks_path, pattern, most_kept).digest
         for batch in batches:
             rows = [digest(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
                 names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        given_back()
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column), F.col(text_column).cast("string")).mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

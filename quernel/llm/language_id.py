@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.chunks import Kept, held
+from quernel.llm.chunks import Kept, given_back, held
 from quernel.llm.shared import hashed_sample, id_crc32
 
 UNKNOWN = "und"
@@ -191,6 +191,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text", l
             langs, scores = [f[0] for f in found], [f[1] for f in found]
             rejected = [l == UNKNOWN or s < scorer.model.reject_below for l, s in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, lang_to, score_to, rejected_to])
+        given_back()
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_column).cast("string").alias("\x01text")).mapInArrow(run, ", ".join([*fields, f"`{lang_to}` string", f"`{score_to}` double", f"`{rejected_to}` boolean"]))
 
