@@ -103,13 +103,29 @@ def curriculum(df: DataFrame, tiers: Mapping[str, int], tier_column: str, within
     return placed.withColumn("place", F.col("ord") + 1).drop("\x01w", "ord")
 
 
+#: Keys that the ranges of an order are cut by, and ranges; each is found by steps of halving.
+RANGE_SAMPLE, RANGE_STEPS = 1 << 12, (128, 64, 32, 16, 8, 4, 2, 1)
+
+
 def ordinal(df: DataFrame, *order) -> DataFrame:
-    """df with `ord`, 0, 1, ... in the given order: ranges first, then places within each, so no task orders all rows."""
-    parts = df.repartitionByRange(*order).withColumn("\x01p", F.spark_partition_id())
-    parts = parts.withColumn("\x01i", F.row_number().over(W.partitionBy("\x01p").orderBy(*order)))
+    """df with `ord`, 0, 1, ... in the given ascending order: ranges first, then places within each, so no task orders all rows.
+
+    Ranges are cut at distinct keys of least hash, so every reading of df deals
+    its rows alike, however it is split; equal keys share a range. The cuts only
+    balance the tasks: a row's number is its place in all rows.
+    """
+    key = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)])
+    keys = df.select(key.alias("\x01k")).distinct().orderBy(F.xxhash64("\x01k"), "\x01k").limit(RANGE_SAMPLE)
+    cuts = keys.agg(F.sort_array(F.collect_list("\x01k")).alias("\x01all"))
+    n, parts = F.size("\x01all"), 2 * RANGE_STEPS[0]
+    cuts = cuts.select(F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("\x01all", F.floor(i * n / parts).cast("int"))).alias("\x01cuts"))
+    step = lambda at, s: F.when(F.get("\x01cuts", at + s - 1) <= F.col("\x01k"), at + s).otherwise(at)
+    parts = df.withColumn("\x01k", key).join(F.broadcast(cuts))  # one row
+    parts = parts.withColumn("\x01p", F.aggregate(F.array(*map(F.lit, RANGE_STEPS)), F.lit(0), step)).drop("\x01cuts")
     sizes = parts.groupBy("\x01p").agg(F.count(F.lit(1)).alias("\x01n"))
     before = sizes.select("\x01p", F.coalesce(F.sum("\x01n").over(W.orderBy("\x01p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("\x01b"))
-    return parts.join(F.broadcast(before), "\x01p").withColumn("ord", (F.col("\x01i") + F.col("\x01b") - 1).cast("long")).drop("\x01p", "\x01i", "\x01b")
+    parts = parts.withColumn("\x01i", F.row_number().over(W.partitionBy("\x01p").orderBy(*order)))
+    return parts.join(F.broadcast(before), "\x01p").withColumn("ord", (F.col("\x01i") + F.col("\x01b") - 1).cast("long")).drop("\x01p", "\x01k", "\x01i", "\x01b")
 
 
 def running(df: DataFrame, group: str | None, major: str, minor: str, value: str, to: str, span: int = 1 << 16) -> DataFrame:

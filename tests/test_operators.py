@@ -119,6 +119,19 @@ def test_ordinal_and_shards_are_complete(spark):
     assert values(d, "x", "ord") == [(i, i) for i in range(13)]
 
 
+def test_ordinal_of_more_rows_than_a_range_sample(spark):
+    df = spark.range(0, 20000, 1, 5).select(F.sha2(F.col("id").cast("string"), 256).alias("h"), (F.col("id") % 2).cast("string").alias("t"), F.when(F.col("id") % 9 > 0, F.col("id")).alias("x"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so many ranges as larger rows would have
+    try:
+        got = rank.curriculum(df, {"0": 0}, "t", F.struct("h")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(df.collect(), key=lambda r: (r["t"], r["h"]))
+    assert [(r["place"], r["h"]) for r in sorted(got, key=lambda r: r["place"])] == [(i, r["h"]) for i, r in enumerate(want, 1)]
+    assert [r["x"] for r in rank.ordinal(df.select("x"), "x").orderBy("ord").collect()] == sorted((r["x"] for r in want), key=lambda x: (x is not None, x or 0))
+    assert rank.ordinal(df.where("t > 5"), "h").count() == 0
+
+
 def test_near_best_earliest(spark):
     df = spark.createDataFrame([("a", 200, 0.300), ("a", 400, 0.304)], "g string, step int, score double")
     assert rank.near_best_earliest(df, "g", "score", "step", 0.005).first()["step"] == 200
