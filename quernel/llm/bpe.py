@@ -144,43 +144,51 @@ class PrefixEncoder:
         return out[::-1]
 
 
+#: Bytes of the openings that words share.
+OPENING = 7
+
+
 class Encoder:
     """Encodes texts: each match of `pattern` separately, whole tokens first."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str, most_kept: int = 300_000):
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
-        self.kept, self.last = Kept(most_kept), Kept(most_kept)
+        self.kept, self.last = Kept(most_kept), Kept(most_kept // 3)
+        self.written = {i: str(i).encode() for i in vocabulary.bytes_of}
 
     def piece(self, piece: str) -> list[int]:
-        """The ids of one match: the last tokens of its prefixes, those met before from memory."""
+        """The ids of one match: the last tokens of its prefixes, those of an opening met before from memory.
+
+        A prefix's last token is sought first where the prefix before has its
+        own, then from the shortest on; only one is compatible, so the order
+        in which they are tried changes nothing.
+        """
         data = piece.encode()
-        ranks = self.vocabulary.ranks
+        v = self.vocabulary
+        ranks, length, pairs, allowed = v.ranks, v.length, v._pairs, v.allowed
         if (rank := ranks.get(data)) is not None:
             return [rank]
         if len(data) > 64:
-            return PrefixEncoder(self.vocabulary).append(data).tokens()
-        last = self.last
-        known = len(data) - 1
-        while known and data[:known] not in last:
-            known -= 1
-        last.room(64)
-        pairs, allowed = self.vocabulary._pairs, self.vocabulary.allowed
-        for end in range(known + 1, len(data) + 1):
-            for start in range(end - 1, 0, -1):
-                if (token := ranks.get(data[start:end])) is not None:
-                    before = last.get(data[:start])
-                    if before is None:  # the memory was emptied meanwhile
-                        return PrefixEncoder(self.vocabulary).append(data).tokens()
-                    if (ok := pairs.get(before << 32 | token)) or ok is None and allowed(before, token):
-                        break
-            else:
-                token = ranks[data[:end]]
-            last[data[:end]] = token
-        length, out, at = self.vocabulary.length, [], len(data)
+            return PrefixEncoder(v).append(data).tokens()
+        opening = data[:OPENING]
+        known = self.last.get(opening) or self.last.again(opening)
+        last = list(known) if known else [-1, ranks[data[:1]]]
+        for end in range(len(last), len(data) + 1):
+            first = end - 1 - length[last[-1]]
+            token = ranks.get(data[first:end])
+            if token is None or first and not ((ok := pairs.get(last[first] << 32 | token)) or ok is None and allowed(last[first], token)):
+                for start in range(end - 1, -1, -1):
+                    if start != first and (token := ranks.get(data[start:end])) is not None:
+                        if not start or (ok := pairs.get(last[start] << 32 | token)) or ok is None and allowed(last[start], token):
+                            break
+            last.append(token)
+        if not known and len(data) >= OPENING:
+            self.last.room(1)
+            self.last[opening] = tuple(last[: OPENING + 1])
+        out, at = [], len(data)
         while at:
-            out.append(token)
+            out.append(token := last[at])
             at -= length[token]
-            token = last[data[:at]] if at else 0
         return out[::-1]
 
     def encode(self, text: str) -> list[int]:
@@ -204,7 +212,7 @@ class Encoder:
         return known
 
     def _written(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return ",".join(map(str, ids)).encode(), self.decode(ids)
+        return b",".join([self.written[i] for i in ids]), self.decode(ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, sha256 of the ids joined by commas, sha256 of the bytes decoded from them."""

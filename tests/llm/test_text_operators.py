@@ -58,6 +58,14 @@ def test_bpe_append_and_edit_are_as_if_encoded_at_once(encoder):
         assert e.tokens() == v.merged(data[:a] + b"xyz" + data[b:])
 
 
+def test_pieces_that_share_an_opening_are_merged_as_by_rank():
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    e = bpe.Encoder(bpe.Vocabulary.from_file(path), pattern, most_kept=6)
+    words = [" " + a + b for a in ("interna", "interns", "unbekan", "qzxwvkj", "día", "ä") for b in ("", "l", "lization", "tenzqx", "ntes", "ñandúes", "xxxxxxxxxx")]
+    for w in [*words, *words[::-1]]:
+        assert e.piece(w) == e.vocabulary.merged(w.encode()), w
+
+
 def test_bpe_digest_rows(spark, tiktoken_encoding):
     rows = bpe.bpe_digest(docs(spark), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
     want = []
