@@ -10,12 +10,16 @@ from quernel.plans.selection import _stream_folder
 from quernel.sources import readers, sinks
 from quernel.sources.versions import VersionedTable
 
+#: Documents that one task sorts and writes to one file.
+FILE_ROWS = 10_000
+
 
 @query("numbered_scan", "select doc_id, n_chars, true as in_order from documents")
 def numbered_scan(spark, sf):
     """Documents as JSON lines, numbered by file split: in each file the lines ascend one by one with the ids."""
     folder, d = _stream_folder(spark, sf), Tables(spark, sf).documents.select("doc_id", "n_chars", "text")
-    d.select(F.to_json(F.struct("doc_id", "n_chars", "text")).alias("value"), "doc_id").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(folder)
+    files = max(4, -(-d.count() // FILE_ROWS))
+    d.select(F.to_json(F.struct("doc_id", "n_chars", "text")).alias("value"), "doc_id").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(folder)
     rows = readers.jsonl_enumerated(spark, f"{folder}/*.txt", d.select("doc_id", "n_chars").schema)
     place = F.row_number().over(W.partitionBy("path").orderBy("doc_id"))
     return rows.select("doc_id", "n_chars", (F.col("line_no") == place).alias("in_order"))

@@ -238,3 +238,15 @@ def test_upserts_write_what_a_batch_brings(spark, tmp_path):
     assert upsert.latest(spark, out).count() == len(want) and len(table.numbers()) == 2
     fresh = [sum(b for f, b in now.items() if f not in then) for then, now in zip([{}, *written], written)]
     assert fresh[1] < fresh[0] / 10 and fresh[2] < fresh[0] / 10
+
+
+def test_numbered_scan_writes_files_by_the_number_of_documents(spark, monkeypatch):
+    from quernel.plans import tables
+
+    made, folder = [], tables._stream_folder
+    monkeypatch.setattr(tables, "_stream_folder", lambda *a: made.append(folder(*a)) or made[-1])
+    monkeypatch.setattr(tables, "FILE_ROWS", 25, raising=False)
+    rows = tables.numbered_scan(spark, "/root/testdata/sf0.001").collect()
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert len(rows) == n and all(r["in_order"] for r in rows)
+    assert spark.read.text(f"{made[0]}/*.txt").select(F.input_file_name()).distinct().count() == -(-n // 25)
