@@ -36,9 +36,25 @@ class Tables:
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 
 
+#: Rows that one task gets of a table dealt by a key.
+TASK_ROWS = 150_000
+
+
+def dealt(df: DataFrame, rows: int, key: str, least: int = 16) -> DataFrame:
+    """df by a key in as many partitions as its number of rows asks for; small tables are left to Spark.
+
+    What a task sorts and counts then stays the same however large the table
+    is: Spark would put partitions together by their compressed bytes, which
+    tell little about the memory that such narrow rows take.
+    """
+    parts = -(-rows // TASK_ROWS)
+    return df.repartition(parts, key) if parts > least else df
+
+
 def candidates(t: Tables) -> DataFrame:
-    """Lines of an order as candidates of a sample: canonical key, score, index, run, penalty and family."""
-    return t.lineitem.select(
+    """Lines of an order as candidates of a sample: canonical key, score, index, run, penalty and family; an order's few lines stay together."""
+    lines = t.lineitem
+    return dealt(lines, lines.count(), "l_orderkey").select(
         F.col("l_orderkey").alias("id"),
         F.when(F.col("l_linenumber") % 2 == 0, "even").otherwise("odd").alias("run"),
         F.concat("l_returnflag", "l_linestatus", (F.col("l_partkey") % 7).cast("string")).alias("canonical"),

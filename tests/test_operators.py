@@ -487,3 +487,15 @@ def test_margin_modes(spark):
     assert picks == {"fallback": ["a", "a", "a", "b", "b", "a"], "second": ["a", "b", "a", "b", "b", "a"], "certain": ["a", "a", "b", "b", "b", "a"]}
     with pytest.raises(ValueError):
         learn.margin_choice(df, "other", 1.0)
+
+
+def test_candidates_are_dealt_by_their_number(spark, monkeypatch):
+    from quernel.plans import base
+
+    lines = spark.range(4000).select((F.col("id") % 900).alias("k"), "id")
+    monkeypatch.setattr(base, "TASK_ROWS", 100)
+    got = base.dealt(lines, lines.count(), "k")
+    assert got.rdd.getNumPartitions() == 40 and got.select("k", F.spark_partition_id().alias("p")).distinct().count() == 900
+    assert base.dealt(lines, 1600, "k") is lines
+    t = base.Tables(spark, "/root/testdata/sf0.001")
+    assert base.candidates(t).rdd.getNumPartitions() == -(-t.lineitem.count() // 100)
