@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,16 +137,17 @@ def merged_runs(runs: Mapping[str, DataFrame], labels: DataFrame | None, referen
 STATES = ("missing_prediction", "missing_target", "selected_exact", "light_exact", "oracle_exact", "oracle_nonisomeric", "recoverable_by_rerank", "missing_from_candidates")
 
 
-def oracle_states(labels: DataFrame, aggregates: DataFrame, raw: DataFrame, selected: DataFrame, light: DataFrame, skeleton, sample: str = "id", key: str = "canonical") -> DataFrame:
+def oracle_states(labels: DataFrame, aggregates: DataFrame, raw: DataFrame, picks: DataFrame, skeleton, sample: str = "id", key: str = "canonical") -> DataFrame:
     """What each labelled sample's candidates could have given: the states, and how many raw and distinct candidates it has.
 
-    labels: sample, truth and the dimensions; raw: sample, n; selected and light:
-    sample and key. skeleton(key) is what isomers share.
+    labels: sample, truth and the dimensions; raw: sample, n; picks: sample and
+    the keys `selected` (null without a prediction) and `light`. skeleton(key)
+    is what isomers share.
     """
     t = labels.withColumn("\x01skeleton", skeleton(F.col("truth")))
     hits = aggregates.join(t.select(sample, "truth", "\x01skeleton"), sample).groupBy(sample).agg(F.count(F.lit(1)).alias("unique"), F.max(F.col(key) == F.col("truth")).alias("o"), F.max(skeleton(F.col(key)) == F.col("\x01skeleton")).alias("i"))
     j = t.join(hits, sample, "left").join(raw.select(sample, F.col("n").alias("raw")), sample, "left")
-    j = j.join(selected.select(sample, F.col(key).alias("\x01s"), F.lit(True).alias("\x01there")), sample, "left").join(light.select(sample, F.col(key).alias("\x01l")), sample, "left")
+    j = j.join(picks.select(sample, F.col("selected").alias("\x01s"), F.col("selected").isNotNull().alias("\x01there"), F.col("light").alias("\x01l")), sample, "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     both = F.col("truth").isNotNull() & yes(F.col("\x01there"))
     oracle, picked = both & yes(F.col("o")), both & yes(F.col("\x01s") == F.col("truth"))
@@ -176,6 +177,16 @@ def against_baselines(policy: DataFrame, baselines: Mapping[str, DataFrame], tru
     t = truth.select(sample, "truth").join(policy.select(sample, F.col(key).alias("\x01p")), sample, "left")
     for name, df in baselines.items():
         t = t.join(df.select(sample, F.col(key).alias(f"\x01{name}")), sample, "left")
+    return _against(t, baselines)
+
+
+def picked_against(picks: DataFrame, policy: str, baselines: Sequence[str], truth: DataFrame, sample: str = "id") -> DataFrame:
+    """As against_baselines, from one frame that holds each sample's choices as columns."""
+    t = truth.select(sample, "truth").join(picks.select(sample, F.col(policy).alias("\x01p"), *[F.col(n).alias(f"\x01{n}") for n in baselines]), sample, "left")
+    return _against(t, baselines)
+
+
+def _against(t: DataFrame, baselines: Iterable[str]) -> DataFrame:
     each = t.select("truth", "\x01p", F.explode(F.array(*[F.struct(F.lit(n).alias("baseline"), F.col(f"\x01{n}").alias("b")) for n in baselines])).alias("e"))
     yes = lambda c: F.coalesce(c == F.col("truth"), F.lit(False))
     now, was, n = yes(F.col("\x01p")), yes(F.col("e.b")), lambda c: F.count_if(c)

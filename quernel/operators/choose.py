@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -35,21 +35,20 @@ def aggregates(cands: DataFrame, sample: str = "id", key: str = "canonical") ->
     )
 
 
-def current(aggs: DataFrame, sample: str = "id") -> DataFrame:
+def current_order() -> list[Column]:
     """By votes, greatest score, the representative's penalty and length, least indices, then the first place."""
     rep = F.col("representative")
     order = [F.col("votes").desc(), F.col("max_score").desc(), F.coalesce(rep["penalty"], F.lit(0)).asc(), F.length(F.coalesce(rep["prediction"], F.lit(""))).asc()]
-    return best(aggs, sample, [*order, F.col("min_prompt_index"), F.col("min_tta_index"), F.col("min_generation_index"), F.col("first_place")])
+    return [*order, F.col("min_prompt_index"), F.col("min_tta_index"), F.col("min_generation_index"), F.col("first_place")]
 
 
-def light(aggs: DataFrame, heavy: Column, charge: Column, skeleton: Column, salt_bonus: float = 2.0, heavy_penalty: float = 0.02, isomer_ratio: float = 0.25, sample: str = "id", key: str = "canonical") -> DataFrame:
-    """Two keys, then a rescue of isomers.
+def current(aggs: DataFrame, sample: str = "id") -> DataFrame:
+    """The first by current_order."""
+    return best(aggs, sample, current_order())
 
-    First by votes plus a bonus for several fragments, then by the greatest
-    score less the penalty of size, then small charge, least prompt index and
-    first place. Of the marked isomers of the winner's skeleton the best by
-    votes takes over if it has isomer_ratio of the winner's votes.
-    """
+
+def light_marked(aggs: DataFrame, heavy: Column, charge: Column, skeleton: Column, salt_bonus: float = 2.0, heavy_penalty: float = 0.02, isomer_ratio: float = 0.25, sample: str = "id", key: str = "canonical") -> DataFrame:
+    """aggs with two flags, of which a sample has one each at most: `\x01first`, the winner before the rescue, and `\x01rescue`, the isomer that takes over."""
     score = F.col("max_score") - F.lit(heavy_penalty) * heavy
     salted = F.col("votes") + F.lit(salt_bonus) * F.contains(key, F.lit(FRAGMENT)).cast("double")
     d = aggs.withColumns({"\x01score": score, "\x01salted": salted, "\x01skeleton": skeleton, "\x01charge": charge})
@@ -59,10 +58,29 @@ def light(aggs: DataFrame, heavy: Column, charge: Column, skeleton: Column, salt
     marked = F.coalesce((F.col("\x01skeleton") == F.col("\x01lead")["\x01skeleton"]) & F.contains(key, F.lit(ISOMER)), F.lit(False))
     isomers = W.partitionBy(sample).orderBy(marked.desc(), F.col("votes").desc(), F.col("\x01score").desc(), F.col("min_generation_index"), F.col("first_place"))
     d = d.withColumn("\x01rescue", (F.row_number().over(isomers) == 1) & marked & (F.col("votes") >= F.col("\x01lead")["votes"] * isomer_ratio))
+    return d.select(*aggs.columns, "\x01first", "\x01rescue")
+
+
+def light(aggs: DataFrame, heavy: Column, charge: Column, skeleton: Column, salt_bonus: float = 2.0, heavy_penalty: float = 0.02, isomer_ratio: float = 0.25, sample: str = "id", key: str = "canonical") -> DataFrame:
+    """Two keys, then a rescue of isomers.
+
+    First by votes plus a bonus for several fragments, then by the greatest
+    score less the penalty of size, then small charge, least prompt index and
+    first place. Of the marked isomers of the winner's skeleton the best by
+    votes takes over if it has isomer_ratio of the winner's votes.
+    """
+    d = light_marked(aggs, heavy, charge, skeleton, salt_bonus, heavy_penalty, isomer_ratio, sample, key)
     chosen = best(d.where(F.col("\x01rescue") | F.col("\x01first")), sample, [F.col("\x01rescue").desc()])
     return chosen.select(*aggs.columns)
 
 
+def picked(marked: DataFrame, orders: Mapping[str, Sequence[Column]], sample: str = "id", key: str = "canonical") -> DataFrame:
+    """(sample, a key for each named order, light): what several rules choose, by sample and in one pass over what `light_marked` gives."""
+    d = marked.withColumns({f"\x01{name}": F.row_number().over(W.partitionBy(sample).orderBy(*order)) for name, order in orders.items()})
+    of = lambda c: F.max(F.when(c, F.col(key)))
+    return d.groupBy(sample).agg(*[of(F.col(f"\x01{name}") == 1).alias(name) for name in orders], F.coalesce(of(F.col("\x01rescue")), of(F.col("\x01first"))).alias("light"))
+
+
 def soft(aggs: DataFrame, heavy: Column, charge: Column, fragments: Column, count_bonus: float = 0.0, heavy_penalty: float = 0.006, sample: str = "id") -> DataFrame:
     """By one score: the greatest score plus a bonus a vote less the penalty of size; then small charge, few fragments, least prompt and generation index, first place."""
     score = F.col("max_score") + F.lit(count_bonus) * F.col("votes") - F.lit(heavy_penalty) * heavy

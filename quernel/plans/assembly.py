@@ -9,7 +9,7 @@ from quernel.operators import assemble, choose
 from quernel.operators.build import base_times
 from quernel.operators.export import Repeats
 from quernel.plans.base import Tables, query
-from quernel.plans.choices import _CANDS, _CURRENT, _LIGHT, _cands, _light
+from quernel.plans.choices import _CANDS, _CURRENT, _LIGHT, _cands, _picked
 
 # One build of data sets: documents are figures of papers, of which a target may be missing
 
@@ -186,7 +186,8 @@ def oracle_analysis(spark, sf):
     labels = t.orders.select(F.col("o_orderkey").alias("id"), F.when(c % 19 > 0, key).alias("truth"), F.when(c % 7 > 0, F.col("o_orderstatus")).alias("eval_panel"), F.col("o_orderpriority").alias("source"), (c % 3).cast("string").alias("task_type"), F.concat(F.lit("d"), c % 2).alias("difficulty"))
     cands = _cands(t)
     aggs = choose.aggregates(cands)
-    states = assemble.oracle_states(labels, aggs, cands.groupBy("id").agg(F.count(F.lit(1)).alias("n")), choose.current(aggs).where("id % 23 > 0"), _light(aggs), lambda k: F.replace(k, F.lit("\\"), F.lit("")))
+    picks = _picked(aggs).withColumn("selected", F.when(F.col("id") % 23 > 0, F.col("selected")))
+    states = assemble.oracle_states(labels, aggs, cands.groupBy("id").agg(F.count(F.lit(1)).alias("n")), picks, lambda k: F.replace(k, F.lit("\\"), F.lit("")))
     return assemble.oracle_report(states, ["eval_panel", "source", "task_type", "difficulty"])
 
 
@@ -198,13 +199,10 @@ j as (select tr.truth, p.canonical as p, 'selected' as baseline, s.canonical as
 select baseline, count(*) as n, count_if(coalesce(p = truth, false)) as policy_right, count_if(coalesce(b = truth, false)) as baseline_right, count_if(p is distinct from b) as changed,
   count_if(coalesce(p = truth, false) and not coalesce(b = truth, false)) as good, count_if(coalesce(b = truth, false) and not coalesce(p = truth, false)) as bad from j group by 1""")
 def policy_evaluation(spark, sf):
-    from quernel.operators.rank import best
-
     t = Tables(spark, sf)
-    aggs = choose.aggregates(_cands(t))
-    policy = best(aggs, "id", [F.col("max_score").desc(), F.col("votes").desc(), F.col("min_prompt_index"), F.col("min_generation_index"), F.col("first_place")])
+    picks = _picked(choose.aggregates(_cands(t)), policy=[F.col("max_score").desc(), F.col("votes").desc(), F.col("min_prompt_index"), F.col("min_generation_index"), F.col("first_place")])
     truth = t.orders.select(F.col("o_orderkey").alias("id"), F.concat(F.element_at(F.array(*map(F.lit, "ANR")), (F.col("o_custkey") % 3 + 1).cast("int")), F.col("o_custkey") % 2).alias("truth"))
-    return assemble.against_baselines(policy, {"selected": choose.current(aggs), "light": _light(aggs)}, truth)
+    return assemble.picked_against(picks, "policy", ["selected", "light"], truth)
 
 
 @query("probe_winner", """

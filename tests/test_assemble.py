@@ -88,3 +88,17 @@ def test_annotations_and_two_columns(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.two_columns(spark, str(tmp_path / "t.tsv")).collect()) == [("a", "b"), ("c", None)]
     sinks.write_partitioned(spark.range(20).selectExpr("id", "id % 3 as b"), str(tmp_path / "p"), "b")
     assert sorted(x.name for x in (tmp_path / "p").iterdir() if x.is_dir()) == ["b=0", "b=1", "b=2"] and spark.read.parquet(str(tmp_path / "p")).count() == 20
+
+
+def test_all_choices_of_a_sample_shuffle_no_more_than_one(spark):
+    from quernel.operators import choose
+    from quernel.plans import choices
+    from quernel.plans.base import Tables
+
+    aggs = choose.aggregates(choices._cands(Tables(spark, "/root/testdata/sf0.001")))
+    picks = choices._picked(aggs)
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(picks) == shuffles(choose.current(aggs))
+    got = {r["id"]: (r["selected"], r["light"]) for r in picks.collect()}
+    selected, light = ({r["id"]: r["canonical"] for r in df.collect()} for df in (choose.current(aggs), choices._light(aggs)))
+    assert got == {i: (k, light[i]) for i, k in selected.items()} and set(light) == set(got)
