@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.operators.build import correct_by, mcnemar_p
+from quernel.operators.graph import kept
 from quernel.operators.rank import ordinal
 from quernel.operators.relate import unique_by_key
-from quernel.operators.stats import bootstrap
+from quernel.operators.stats import bootstraps
 
 #: The resamples, and what the gate allows to be lost.
 ITERATIONS, SLACK = 10_000, 0.005
@@ -33,20 +35,36 @@ def paired(baseline: DataFrame, candidate: DataFrame, key: str, exact: str, vali
     return j.where(sound).select(key, "cluster", "a", "b", "va", "vb", *fields)
 
 
-def resampled(pairs: DataFrame, clustered: bool, iterations: int, seed: int) -> DataFrame:
-    """One row: independent_units, and for exact and valid the means of both runs, the change, its central 95 % and how often it is a gain."""
-    by = "cluster" if clustered else pairs.columns[0]
-    units = ordinal(pairs.groupBy(F.col(by).alias("unit")).agg(*[F.avg(c).alias(c) for c in ("a", "b", "va", "vb")]), "unit")
-    units = units.select("ord", "a", "b", "va", "vb", (F.col("b") - F.col("a")).alias("exact"), (F.col("vb") - F.col("va")).alias("valid"))
-    n = units.count()
-    if not n:
-        raise ValueError("there are no pairs")
-    out = units.agg(F.count(F.lit(1)).alias("independent_units"), *[F.avg(c).alias(n) for c, n in (("a", "exact_baseline"), ("b", "exact_candidate"), ("exact", "exact_delta"), ("va", "valid_baseline"), ("vb", "valid_candidate"), ("valid", "valid_delta"))])
-    for value, s in (("exact", seed), ("valid", seed + 1)):
-        means = bootstrap(units, value, "ord", n, iterations, s)
-        spread = means.agg(F.percentile("mean", 0.025).alias(f"{value}_low"), F.percentile("mean", 0.975).alias(f"{value}_high"), F.avg((F.col("mean") > 0).cast("double")).alias(f"{value}_gain"))
-        out = out.join(spread)  # one row each
-    return out
+def units_of(pairs: DataFrame, clustered: bool) -> DataFrame:
+    """What is resampled, a row each, kept: the means of both runs, their changes, and counts of rows and transitions; pairs are read once."""
+    n = lambda c: F.sum(c.cast("long"))
+    a, b = F.col("a") == 1, F.col("b") == 1
+    counts = [F.count(F.lit(1)).alias("n"), n(~a & b).alias("wins"), n(a & ~b).alias("losses"), n(a & b).alias("both"), n(~a & ~b).alias("neither")]
+    units = pairs.groupBy(F.col("cluster" if clustered else pairs.columns[0]).alias("unit")).agg(*[F.avg(c).alias(f"mean_{c}") for c in ("a", "b", "va", "vb")], *counts)
+    return kept(units.withColumns({"exact": F.col("mean_b") - F.col("mean_a"), "valid": F.col("mean_vb") - F.col("mean_va")}))
+
+
+def reports(runs: Sequence[tuple[DataFrame, bool]], iterations: int = ITERATIONS, seed: int = 17, slack: float = SLACK, digits: int = 6) -> DataFrame:
+    """The rows of `report` on several pairs of runs, each with whether it has clusters, and `run`, its number; draws are made once for all of them."""
+    samples, facts = [], []
+    for k, (pairs, clustered) in enumerate(runs):
+        units = units_of(pairs, clustered)
+        size = units.count()
+        if not size:
+            raise ValueError("there are no pairs")
+        samples.append((ordinal(units.select("unit", "exact", "valid"), "unit"), "ord", size, {"exact": seed, "valid": seed + 1}))
+        means = {"mean_a": "exact_baseline", "mean_b": "exact_candidate", "exact": "exact_delta", "mean_va": "valid_baseline", "mean_vb": "valid_candidate", "valid": "valid_delta"}
+        counts = [F.sum(c).alias(c) for c in ("n", "wins", "losses", "both", "neither")]
+        facts.append(units.agg(F.lit(k).alias("run"), F.lit(clustered).alias("clustered"), F.count(F.lit(1)).alias("independent_units"), *counts, *[F.avg(c).alias(to) for c, to in means.items()]))
+    spread = []
+    for m in ("exact", "valid"):
+        mean = F.when(F.col("value") == m, F.col("mean"))
+        spread += [F.percentile(mean, 0.025).alias(f"{m}_low"), F.percentile(mean, 0.975).alias(f"{m}_high"), F.avg((mean > 0).cast("double")).alias(f"{m}_gain")]
+    both = reduce(DataFrame.unionByName, facts).join(bootstraps(samples, iterations).groupBy(F.col("sample").alias("run")).agg(*spread), "run")
+    passed = (F.col("exact_low") >= -slack) & (F.col("valid_delta") >= -slack) & (F.col("wins") >= F.col("losses"))
+    p = F.when(~F.col("clustered"), F.round(mcnemar_p("wins", "losses"), 9))
+    rounded = [F.round(f"{m}_{c}", digits).alias(f"{m}_{c}") for m in ("exact", "valid") for c in ("baseline", "candidate", "delta", "low", "high", "gain")]
+    return both.select("run", "n", "independent_units", "wins", "losses", "both", "neither", *rounded, p.alias("mcnemar_p"), passed.alias("passed"))
 
 
 def report(pairs: DataFrame, clustered: bool = False, iterations: int = ITERATIONS, seed: int = 17, slack: float = SLACK, digits: int = 6) -> DataFrame:
@@ -56,14 +74,7 @@ def report(pairs: DataFrame, clustered: bool = False, iterations: int = ITERATIO
     are resampled whole. The gate: the exact interval's low end and the change
     of validity no worse than -slack, and as many wins as losses.
     """
-    n = lambda c: F.sum(c.cast("long"))
-    a, b = F.col("a") == 1, F.col("b") == 1
-    counts = pairs.agg(F.count(F.lit(1)).alias("n"), n(~a & b).alias("wins"), n(a & ~b).alias("losses"), n(a & b).alias("both"), n(~a & ~b).alias("neither"))
-    both = counts.join(resampled(pairs, clustered, iterations, seed))  # one row each
-    passed = (F.col("exact_low") >= -slack) & (F.col("valid_delta") >= -slack) & (F.col("wins") >= F.col("losses"))
-    p = F.lit(None).cast("double") if clustered else F.round(mcnemar_p("wins", "losses"), 9)
-    rounded = [F.round(f"{m}_{c}", digits).alias(f"{m}_{c}") for m in ("exact", "valid") for c in ("baseline", "candidate", "delta", "low", "high", "gain")]
-    return both.select("n", "independent_units", "wins", "losses", "both", "neither", *rounded, p.alias("mcnemar_p"), passed.alias("passed"))
+    return reports([(pairs, clustered)], iterations, seed, slack, digits).drop("run")
 
 
 def changed(pairs: DataFrame) -> DataFrame:

@@ -346,8 +346,9 @@ select * from (with {_PAIRS}, {_report_sql('cluster', True)} select 'orders' as
 union all select * from (with {_SUPPLIED}, {_report_sql('id', False)} select 'suppliers' as baseline_run, 'rows' as candidate_run, n, exact_delta, exact_low, exact_high, valid_delta, passed from report)""")
 def paired_rollup(spark, sf):
     t = Tables(spark, sf)
-    kept = paired.as_json(paired.report(_pairs(t), clustered=True), baseline_run=F.lit("orders"), candidate_run=F.lit("clustered"))
-    kept = kept.unionByName(paired.as_json(paired.report(_supplied(t)), baseline_run=F.lit("suppliers"), candidate_run=F.lit("rows")))
+    both = paired.reports([(_pairs(t), True), (_supplied(t), False)])
+    name = lambda *names: F.element_at(F.array(*map(F.lit, names)), F.col("run") + 1)
+    kept = paired.as_json(both, baseline_run=name("orders", "suppliers"), candidate_run=name("clustered", "rows"))
     r = build.rolled_up(kept, "report", "n long, exact struct<delta: double, ci95_low: double, ci95_high: double>, valid struct<delta: double>, gate struct<passed: boolean>")
     return r.select("baseline_run", "candidate_run", "n", F.col("exact.delta").alias("exact_delta"), "exact.ci95_low", "exact.ci95_high", F.col("valid.delta").alias("valid_delta"), F.col("gate.passed").alias("passed"))
 

@@ -1,11 +1,12 @@
 """Invariants of operators on small inline tables."""
 
+import hashlib
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from quernel.functions import keys, numbers, text
+from quernel.functions import draws, keys, numbers, text
 from quernel.operators import candidates as cand
 from quernel.operators import choose, export, graph, learn, measure, paired, qc, rank, relate, route, sample, shape, stats
 
@@ -328,6 +329,52 @@ def test_resampling_by_array_is_as_by_join(spark):
     assert [(i, round(m, 9)) for i, m in ways[0]] == [(i, round(m, 9)) for i, m in ways[1]] and len(ways[0]) == 25
 
 
+def test_numbers_of_draws_are_those_of_sha1():
+    plain = lambda seed, i: int(hashlib.sha1(f"{seed}:{i}".encode()).hexdigest()[:12], 16)
+    for seed in (17, "s", "", "é", -3, "x" * 40, "x" * 60):
+        for first, last in ((0, 12), (9_990, 10_011), (99_995, 100_004), (19_998, 40_003), (999_999_999, 1_000_000_001), (123_456_789_012, 123_456_789_015), (7, 7)):
+            got = draws.hash_numbers(seed, first, last)
+            assert len(got) == last - first and all(int(got[i]) == plain(seed, first + i) for i in {*range(0, last - first, 997), *range(min(13, last - first)), *range(max(0, last - first - 5), last - first)}), (seed, first)
+
+
+def test_samples_share_the_draws(spark, monkeypatch):
+    monkeypatch.setattr(stats, "LEAST_DRAWS", 10_000)  # ranges that cut iterations
+    a = [(i, float(i * i % 7), None if i % 5 == 0 else float(i)) for i in range(40)]
+    b = [(i, float(i % 3 - 1), 1.0) for i in range(37)]
+    kind = "ord long, v double, w double"
+    samples = [(spark.createDataFrame(rows, kind), "ord", len(rows), {"v": 3, "w": 4}) for rows in (a, b)]
+    want = {}
+    for k, rows in enumerate((a, b)):
+        for c, v, seed in ((1, "v", 3), (2, "w", 4)):
+            for i in range(1000):
+                drawn = [rows[int(hashlib.sha1(f"{seed}:{i * len(rows) + j}".encode()).hexdigest()[:12], 16) % len(rows)][c] for j in range(len(rows))]
+                drawn = [x for x in drawn if x is not None]
+                want[k, v, i] = sum(drawn) / len(drawn)
+    for most in (100, 38, 0):  # by arrays, by both ways, by joins
+        got = {(r["sample"], r["value"], r["iteration"]): r["mean"] for r in stats.bootstraps(samples, 1000, most).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert stats.bootstraps([(samples[0][0].limit(0), "ord", 0, {"v": 3})], 10).collect() == []
+
+
+def test_reports_draw_once_and_read_pairs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    kind = "id long, cluster string, a int, b int, va int, vb int"
+    rows = [(i, str(i // 3), i % 2, i % 3 // 2, 1, i % 5 // 4) for i in range(60)]
+    one = spark.createDataFrame(rows, kind).mapInArrow(count, kind)
+    both = paired.reports([(one, True), (spark.createDataFrame(rows[:50], kind), False)], iterations=200)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = [tuple(r)[1:] for r in both.orderBy("run").collect()]
+    assert seen.value == 60
+    alone = [tuple(paired.report(spark.createDataFrame(r, kind), c, iterations=200).first()) for r, c in ((rows, True), (rows[:50], False))]
+    assert got == alone and got[0][:2] == (60, 20) and got[1][:2] == (50, 50) and got[0][-2] is None and got[1][-2] is not None
+
+
 def test_image_modes_and_the_deletion_plan(spark):
     modes = spark.createDataFrame([("a", "RGB"), ("b", "P"), ("c", "I;16L"), ("d", None), ("e", "L")], "path string, mode string")
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e"), (6, "gone"), (7, "b"), (8, None)], "i int, image string")
