@@ -17,7 +17,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Made once a process; making one takes longer than a small blob.
+_compressor, _decompressor = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 GROUP_BYTES = 8 << 20
+MANY_GROUPS = 256
 ROW_BYTES = 64
 
 
@@ -26,12 +29,12 @@ def pack(values: np.ndarray) -> bytes:
     values = np.ascontiguousarray(values, "<u8")
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
     planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return bytes([width]) + _compressor.compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
     width = data[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
+    planes = np.frombuffer(_decompressor.decompress(data[1:]), np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.reshape(-1).view("<u8")
@@ -47,11 +50,11 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def pack_flags(flags: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.packbits(flags).tobytes())
+    return _compressor.compress(np.packbits(flags).tobytes())
 
 
 def unpack_flags(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), count=n).astype(bool)
+    return np.unpackbits(np.frombuffer(_decompressor.decompress(data), np.uint8), count=n).astype(bool)
 
 
 def ranges(keys: np.ndarray, bits: int, n: int) -> list[tuple[int, int, int]]:
@@ -75,9 +78,12 @@ class Deal:
     total_bytes: int
 
     @classmethod
-    def of(cls, docs: DataFrame, text_column: str = "text", group_bytes: int = GROUP_BYTES) -> Deal:
+    def of(cls, docs: DataFrame, text_column: str = "text", group_bytes: int = GROUP_BYTES, most_bytes: int | None = None) -> Deal:
+        """Groups of group_bytes; where that makes more than MANY_GROUPS, of more, up to most_bytes."""
         n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_column))).first()
-        return cls(max(1, -(-(n * ROW_BYTES + (size or 0)) // group_bytes)), size or 0)
+        total = n * ROW_BYTES + (size or 0)
+        most = max(group_bytes, min(most_bytes or 0, -(-total // MANY_GROUPS)))
+        return cls(max(1, -(-total // most)), size or 0)
 
     def dealt(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
         """docs with \x01group, by the id and text together, so that a hot id or text alone makes no hot group."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm import embedding_dedup, jaccard_join, substring_dedup, suffix_dedup
 from quernel.llm.components import components
-from quernel.llm.exchange import pack, pack_sorted, unpack, unpack_sorted
+from quernel.llm.exchange import Deal, Texts, pack, pack_sorted, unpack, unpack_sorted
 
 SCHEMA = "doc_id long, text string, kept string, n_words string"
 
@@ -80,6 +80,34 @@ def test_suffix_arrays():
         assert suffix_dedup.common_prefixes(t, sa, 60, lane=32).tolist() == lcp
 
 
+def test_groups_of_large_tables_grow(spark):
+    docs = spark.range(3000).selectExpr("id doc_id", "repeat('a', 136) text")  # 600,000 bytes with what a row counts
+    assert [Deal.of(docs, "text", 1000, most).groups for most in (None, 2000, 10_000)] == [600, 300, 256]
+    assert Deal.of(docs.limit(500), "text", 1000, 10_000).groups == 100
+
+
+@pytest.mark.parametrize(("length", "part"), [(50, 24), (12, 12), (9, 4)])
+def test_strings_at_anchors_find_their_least_id(length, part):
+    r = np.random.default_rng(length)
+    words = [r.integers(0, 256, k).astype(np.uint8) for k in (length, length + 5, 3 * length)] + [np.zeros(2 * length, np.uint8), np.full(2 * length, 255, np.uint8)]
+    texts = []
+    for _ in range(60):
+        texts.append(np.concatenate([x for i in r.integers(0, len(words), 4) for x in (words[i], r.integers(0, 3, r.integers(0, 4)).astype(np.uint8))]))
+    texts[0] = texts[1] = texts[30] = texts[31] = texts[0][:0]  # nothing, and less than a string, between others
+    texts[2], texts[32] = texts[2][: length - 1], texts[32][:length]
+    offsets = np.cumsum([0, *map(len, texts)])
+    docs = Texts(np.concatenate(texts), offsets, r.permutation(60) - 20, np.arange(60) != 7)
+    start, count, doc, place, anchor, stretch = suffix_dedup.blocks(docs, length, part)
+    size = count.astype(np.int64) + length - 1
+    strings = [(int(docs.ids[d]), docs.data[i : i + length].tobytes()) for s, c, d in zip(start, count, doc) for i in range(s, s + c)]
+    assert sorted(strings) == sorted((int(i), t[k : k + length].tobytes()) for i, t, known in zip(docs.ids, texts, docs.known) if known for k in range(len(t) - length + 1))
+    least = {}
+    for i, t in strings:
+        least[t] = min(least.get(t, i), i)
+    owner = suffix_dedup.anchored_owners(docs.data, start, size, place.astype(np.int64), docs.ids[doc], length, part)
+    assert owner.tolist() == [least[t] for _, t in strings]
+
+
 def brute_words(rows, n=13):
     data = [(i, (t or "").encode().split()) for i, t in rows]
     owner = {}
