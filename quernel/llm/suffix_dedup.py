@@ -395,8 +395,8 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
             low = np.nonzero(names_.shared[names_.which])[0]
             low = low[lowest[at[low]] < names_.ids[low]]
             for group, e in names_.by_group(low):
-                found = gathered(owner, first[at[e]], count[at[e]])
-                out.append((group, names_.stretch[e].tobytes(), pack(count[at[e]].astype(np.uint64)), int(found.min()), pack((found - found.min()).astype(np.uint64))))
+                k = count[at[e]]
+                out.append((group, names_.stretch[e].tobytes(), pack(k.astype(np.uint64)), pack_flags(gathered(owner, first[at[e]], k) < np.repeat(names_.ids[e], k))))
         return columns_of(out, told)
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -411,16 +411,17 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
         del step
         if len(answers) and len(stretch):
             key = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("stretch").to_pylist()])
-            counts = np.concatenate([unpack(x).astype(np.int64) for x in answers.column("counts").to_pylist()])
-            owner = np.concatenate([unpack(x).astype(np.int64) + b for x, b in zip(answers.column("owners").to_pylist(), answers.column("least_id").to_pylist())])
+            each = [unpack(x).astype(np.int64) for x in answers.column("counts").to_pylist()]
+            lost = np.concatenate([unpack_flags(x, int(k.sum())) for x, k in zip(answers.column("lost").to_pylist(), each)])
+            counts = np.concatenate(each)
             first, by = np.cumsum(counts) - counts, np.argsort(key)
-            rest = np.nonzero(~whole)[0]
+            rest = np.nonzero(~whole)[0]  # those with the least id of the group, for which the ranges have judged
             told_, at = places_among(key[by], stretch[rest])
             told_, at = rest[told_], by[at]
             for lo in range(0, len(told_), 1 << 17):
                 t, f = told_[lo : lo + (1 << 17)], first[at[lo : lo + (1 << 17)]]
                 sizes = count[t].astype(np.int64)
-                hit[stretches_of(start[t], sizes)[gathered(owner, f, sizes) < np.repeat(ids[t], sizes)]] = True
+                hit[stretches_of(start[t], sizes)[gathered(lost, f, sizes)]] = True
         removed, spans, kept = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
         for a, z in texts.chunks(CHUNK_BYTES):
             lo, hi = int(texts.offsets[a]), int(texts.offsets[z])
@@ -447,14 +448,14 @@ def repeated_bytes(docs: DataFrame, length: int = 50, part: int = 24, id_column:
     named = pa.schema([("range", pa.int32()), ("\x01group", pa.int32()), ("anchor", pa.binary()), ("stretch", pa.binary()), ("least_id", pa.int64()), ("ids", pa.binary())])
     chosen = pa.schema([("\x01group", pa.int32()), ("stretch", pa.binary())])
     sent = pa.schema([("range", pa.int32()), ("\x01group", pa.int32()), ("body", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("stretch", pa.binary()), ("least_id", pa.int64()), ("ids", pa.binary())])
-    told = pa.schema([("\x01group", pa.int32()), ("stretch", pa.binary()), ("counts", pa.binary()), ("least_id", pa.int64()), ("owners", pa.binary())])
+    told = pa.schema([("\x01group", pa.int32()), ("stretch", pa.binary()), ("counts", pa.binary()), ("lost", pa.binary())])
     by_group = rows.groupBy("\x01group")
     sketches = by_group.applyInArrow(ask, "range int, `\x01group` int, columns binary, twice binary")
     often = sketches.groupBy("range").applyInArrow(merge, "range int, `\x01group` int, often binary, n long")
     names_of = by_group.cogroup(often.groupBy("\x01group")).applyInArrow(name, "range int, `\x01group` int, anchor binary, stretch binary, least_id long, ids binary").groupBy("range")
     senders = names_of.applyInArrow(choose, "`\x01group` int, stretch binary")
     stretches = by_group.cogroup(senders.groupBy("\x01group")).applyInArrow(send, "range int, `\x01group` int, body binary, counts binary, places binary, stretch binary, least_id long, ids binary")
-    owners = names_of.cogroup(stretches.groupBy("range")).applyInArrow(shard, "`\x01group` int, stretch binary, counts binary, least_id long, owners binary")
+    owners = names_of.cogroup(stretches.groupBy("range")).applyInArrow(shard, "`\x01group` int, stretch binary, counts binary, lost binary")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return by_group.cogroup(owners.groupBy("\x01group")).applyInArrow(remove, f"{fields}, n_bytes long, n_removed long, n_spans long, `{kept_to}` binary")
 
